@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def all_statements() -> dict[str, str]:
-    from oracles import crm
+    from oracles import crm, pricing, quality
 
-    return crm.statements()
+    return crm.statements() | quality.statements() | pricing.statements()

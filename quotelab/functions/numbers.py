@@ -15,14 +15,15 @@ def number(df: DataFrame, name: str) -> Column:
         return F.lit(None).cast("double")
     kind = df.schema[name].dataType
     if isinstance(kind, (T.StringType, T.DoubleType, T.FloatType)):
-        value = F.col(name).try_cast("double")
-        return F.when(~F.isnan(value), value)
+        return F.expr(f"nanvl(try_cast(`{name}` as double), null)")
     if isinstance(kind, (T.NumericType, T.BooleanType)):
-        return F.col(name).cast("double")
+        return F.expr(f"cast(`{name}` as double)")
     return F.lit(None).cast("double")
 
 
 def number_or(df: DataFrame, name: str, default: float = 0.0) -> Column:
+    if name not in df.columns:
+        return F.lit(float(default))
     return F.coalesce(number(df, name), F.lit(float(default)))
 
 
@@ -63,3 +64,14 @@ def flag(condition: Column) -> Column:
 def ratio(top: Column, bottom: Column) -> Column:
     """Division that gives NULL for a zero divisor."""
     return F.try_divide(top, F.nullif(bottom, F.lit(0.0)))
+
+
+def evaluated(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns computed exactly once per row.
+
+    ``withColumns`` lets the optimizer substitute a definition wherever the column is used, filters
+    included, which multiplies long chains of dependent rules.  A one-row generator stops that.
+    """
+    values = [column.alias(name) for name, column in columns.items()]
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*values))))

@@ -42,7 +42,7 @@ PRODUCTS = ["photobooth", "miroirbooth", "videobooth", "voguebooth", "ipadbooth"
 
 
 def _or_zero(name: str):
-    return F.coalesce(F.col(name), F.lit(0))
+    return F.expr(f"coalesce(`{name}`, 0)")
 
 
 def status_quality(events: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quotelab.operators import export, history
+from quotelab.config import Config
+from quotelab.operators import costing, export, features, history, ladder, profile, stock_rules
+from quotelab.plans.requests import STOCK, as_requests, fixed_scorer
 from quotelab.sources.star_schema import AS_OF, crm_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,8 +27,40 @@ def plain(df: DataFrame) -> DataFrame:
     return df.withColumns(casts) if casts else df
 
 
+_PLANS: dict = {}
+
+
+def _once(spark: SparkSession, name: str, folder: str, make: Callable[[], object]):
+    """Build a shared plan once per session and folder (plans only, no data is kept)."""
+    place = (spark.sparkContext.applicationId, name, folder)
+    if place not in _PLANS:
+        _PLANS[place] = make()
+    return _PLANS[place]
+
+
+def _tables(spark: SparkSession, folder: str):
+    return _once(spark, "tables", folder, lambda: crm_tables(spark, folder))
+
+
 def _crm(make: Callable[[dict[str, DataFrame]], DataFrame]) -> Query:
-    return lambda spark, folder: plain(make(crm_tables(spark, folder)))
+    return lambda spark, folder: plain(make(_tables(spark, folder)))
+
+
+def _on_quotes(make: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, folder: plain(make(_quotes(spark, folder)))
+
+
+def _quotes(spark: SparkSession, folder: str) -> DataFrame:
+    return _once(
+        spark,
+        "quotes",
+        folder,
+        lambda: export.quote_rows(_tables(spark, folder), AS_OF, after_quote=False),
+    )
+
+
+def _requests(spark: SparkSession, folder: str) -> DataFrame:
+    return _once(spark, "requests", folder, lambda: as_requests(_quotes(spark, folder)))
 
 
 def crm_queries() -> dict[str, Query]:
@@ -44,13 +78,192 @@ def crm_queries() -> dict[str, Query]:
             lambda t: export.outcomes(t["app_event"], t["app_eventdetails"], AS_OF)
         ),
         "wide_quotes": _crm(lambda t: export.wide_quotes(t, AS_OF)),
-        "public_quotes": _crm(
-            lambda t: export.drop_private(export.quote_rows(t, AS_OF, after_quote=False))
-        ),
+        "public_quotes": _on_quotes(export.drop_private),
         "cost_lines": _crm(lambda t: export.cost_lines(t["app_cost"], t["app_namecost"])),
         "export_summary": _crm(lambda t: export.export_summary(t, AS_OF)),
     }
 
 
+def profile_queries() -> dict[str, Query]:
+    counted = ["outcome_class", "outcome_current_status", "request_source"]
+    return {
+        "quality_profile": _on_quotes(profile.profile),
+        "top_values": _on_quotes(lambda q: profile.top_values_report(q, counted)),
+        "missing_columns": _on_quotes(profile.missingness),
+    }
+
+
+BUILT_FEATURES = [
+    "request_month", "request_weekday_iso", "request_is_weekend", "request_hour",
+    "request_is_outside_business_hours", "request_daypart", "event_is_very_last_minute",
+    "event_is_last_minute", "event_is_long_lead", "event_lead_time_bucket", "prior_signature_rate",
+    "prior_days_since_last_request", "product_is_multi", "product_premium_count", "product_has_premium",
+    "product_bundle_signature", "option_quantity_total", "request_total_items",
+    "event_request_completeness_score", "event_missing_information_count", "price_proposed_minus_gross",
+    "price_proposed_to_gross_ratio", "price_discount_rate", "venue_capacity_max", "venue_price_midpoint",
+]
+ALIGNED_NUMERIC = ["event_lead_time_days", "option_count", "product_photobooth", "venue_rating"]
+ALIGNED_CATEGORIES = ["event_city", "option_mur_floral_style", "request_source", "venue_type"]
+
+
+def _built(quotes: DataFrame) -> DataFrame:
+    """All derived features; two made-up venue columns exercise the one-sided cases."""
+    key = F.col("request_event_id")
+    with_venue = quotes.withColumns(
+        {
+            "venue_capacity_seated": F.when(key % 3 == 0, key % 200).cast("int"),
+            "venue_capacity_cocktail": F.when(key % 2 == 0, key % 300).cast("int"),
+            "venue_price_min": F.when(key % 4 != 0, (key % 5000).cast("double")),
+            "venue_price_max": F.when(key % 5 != 0, (key % 7000).cast("double")),
+        }
+    )
+    return _rounded(features.prepare_features(with_venue).select("request_event_id", *BUILT_FEATURES))
+
+
+def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """Doubles rounded, since engines may differ in the last bits."""
+    return df.withColumns(
+        {f.name: F.round(f.name, places) for f in df.schema if isinstance(f.dataType, T.DoubleType)}
+    )
+
+
+def feature_queries() -> dict[str, Query]:
+    return {
+        "built_features": _on_quotes(_built),
+        "aligned_features": _on_quotes(
+            lambda q: features.align_features(
+                q, ALIGNED_NUMERIC, ALIGNED_CATEGORIES, keep=["request_event_id"]
+            )
+        ),
+    }
+
+
+CONFIG = Config()
+KEY = "request_id"
+
+
+def _priced(make) -> Query:
+    """A query over requests derived from the quotes, with the built-in price list."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        catalogue = costing.default_catalogue(spark)
+        return plain(_rounded(make(_requests(spark, folder), catalogue)))
+
+    return run
+
+
+def _items(requests: DataFrame, _catalogue: DataFrame) -> DataFrame:
+    return costing.cost_items(requests).select(
+        KEY, F.posexplode("items").alias("position", "item")
+    ).select(KEY, "position", "item.code", "item.quantity")
+
+
+def _costs(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
+    return costing.direct_cost(requests, catalogue, KEY).select(
+        KEY, "cost_status", "direct_cost", "catalogue_floor", "catalogue_gross", "double_charge_risk",
+        F.size(F.coalesce("cost_details", F.array())).alias("cost_lines"),
+    )
+
+
+def _bounds(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
+    return ladder.bounds_of(requests, catalogue, CONFIG, KEY).select(
+        KEY, "price_status", "gross_eur", "minimum_price", "maximum_price", "first_price", "last_price"
+    )
+
+
+def _discounts(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
+    prices = ladder.price_ladder(ladder.bounds_of(requests, catalogue, CONFIG, KEY), CONFIG)
+    return ladder.apply_discounts(prices).select(
+        KEY, "price_eur", "price_option_discount", "price_product_discount", "price_global_discount",
+        "price_total_declared_discount",
+    )
+
+
+def _candidates(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
+    return ladder.candidates_of(requests, catalogue, fixed_scorer, CONFIG, KEY).select(
+        KEY, *ladder.CANDIDATE
+    )
+
+
+FLAT = [
+    "recommended_price_eur", "all_constraints_satisfied", "estimated_signature_probability",
+    "estimated_direct_margin_eur", "estimated_expected_direct_margin_eur", "price_catalog_gross_eur",
+    "direct_cost_eur", "catalogue_floor_price_eur", "price_signal_reliable",
+    "probability_drop_across_tested_range", "review_reason",
+]
+
+
+def _recommendations(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
+    return ladder.recommend(requests, catalogue, fixed_scorer, CONFIG, KEY).select(
+        KEY, *FLAT, F.size("tested_candidates").cast("long").alias("tested")
+    )
+
+
+def _rejected(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
+    return ladder.rejected(ladder.bounds_of(requests, catalogue, CONFIG, KEY), KEY)
+
+
+def _listed(column: str, *fields: str):
+    """Array of structs as one text, for comparison across engines."""
+    return F.array_join(
+        F.transform(
+            column,
+            lambda e: F.concat_ws(":", *[F.coalesce(e[f].cast("string"), F.lit("?")) for f in fields]),
+        ),
+        ",",
+    ).alias(column)
+
+
+def _availability(requests: DataFrame, _catalogue: DataFrame) -> DataFrame:
+    return stock_rules.availability(requests).select(
+        KEY, "availability_status", "requested_products_available",
+        _listed("requested_products", "code", "requested_quantity", "available_quantity"),
+        _listed("unavailable_requested_products", "code", "requested_quantity", "available_quantity"),
+        _listed("alternative_products", "code", "available_quantity"),
+    )
+
+
+def _strategies(requests: DataFrame, _catalogue: DataFrame) -> DataFrame:
+    return stock_rules.strategy(requests, CONFIG, AS_OF).select(KEY, *stock_rules.STRATEGY)
+
+
+def _stock_recommendations(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
+    return stock_rules.recommend_with_stock(
+        requests, catalogue, fixed_scorer, CONFIG, KEY, AS_OF
+    ).select(
+        KEY, "recommendation_status", "event_date", *FLAT, "pricing_objective", "fill_date_mode",
+        "availability_status",
+    )
+
+
+def _stock_as_of(quotes: DataFrame) -> DataFrame:
+    stocked = history.stock_as_of(quotes, STOCK)
+    free = [
+        F.col("available_products")[code].alias(f"free_{code.lower()}") for code in sorted(STOCK)
+    ]
+    return _rounded(
+        stocked.select(
+            "request_event_id", "bookings_on_date", "date_requested_product_bookings",
+            "date_utilization_ratio", "available_requested_product_ratio", *free,
+        )
+    )
+
+
+def pricing_queries() -> dict[str, Query]:
+    return {
+        "cost_items": _priced(_items),
+        "direct_costs": _priced(_costs),
+        "price_bounds": _priced(_bounds),
+        "candidate_discounts": _priced(_discounts),
+        "scored_candidates": _priced(_candidates),
+        "recommendations": _priced(_recommendations),
+        "rejected_requests": _priced(_rejected),
+        "availability": _priced(_availability),
+        "pricing_strategy": _priced(_strategies),
+        "stock_recommendations": _priced(_stock_recommendations),
+        "stock_as_of": _on_quotes(_stock_as_of),
+    }
+
+
 def queries() -> dict[str, Query]:
-    return crm_queries()
+    return crm_queries() | profile_queries() | feature_queries() | pricing_queries()

@@ -19,26 +19,21 @@ AS_OF = "2001-01-01"
 
 def _conform(df: DataFrame, name: str) -> DataFrame:
     """Cast to the declared schema; absent columns are NULL."""
-    return df.select(
+    have = set(df.columns)
+    return df.selectExpr(
         *[
-            (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            f"cast({f.name if f.name in have else 'null'} as {f.dataType.simpleString()}) as {f.name}"
             for f in schema(name)
         ]
     )
 
 
-def _order_lines(lineitem: DataFrame, part: DataFrame) -> DataFrame:
-    """Per order: exact cents before and after discount, and lines per part type."""
-    kinds = ["STANDARD", "ECONOMY", "MEDIUM", "PROMO", "SMALL", "LARGE"]
-    typed = lineitem.join(
-        part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"), "left"
-    )
+def _order_lines(lineitem: DataFrame) -> DataFrame:
+    """Per order: exact cents before and after discount."""
     cents = F.expr("cast(round(l_extendedprice * 100) as bigint)")
     kept = F.expr("100 - cast(round(l_discount * 100) as bigint)")
-    return typed.groupBy("l_orderkey").agg(
-        F.sum(cents).alias("gross_cents"),
-        F.sum(cents * kept).alias("net_cents"),
-        *[F.sum(F.expr(f"case when p_type = '{k}' then 1 else 0 end")).alias(k.lower()) for k in kinds],
+    return lineitem.groupBy("l_orderkey").agg(
+        F.sum(cents).alias("gross_cents"), F.sum(cents * kept).alias("net_cents")
     )
 
 
@@ -74,17 +69,25 @@ def crm_tables(spark: SparkSession, folder: str) -> Lazy:
 
 
 def _orders(source: Mapping) -> DataFrame:
-    """Orders with their creation time and the exact gross and net price of their lines."""
-    lines = _order_lines(source["lineitem"], source["part"])
-    joined = source["orders"].join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    """Orders with their creation time."""
+    return source["orders"].selectExpr(
+        "*", "o_orderdate + make_dt_interval(0, 0, 0, (o_custkey * 7919) % 86400) as created"
+    )
+
+
+def _priced_orders(source: Mapping) -> DataFrame:
+    """Orders with the exact gross and net price of their lines."""
+    lines = _order_lines(source["lineitem"])
+    joined = _orders(source).join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return joined.selectExpr(
         "*",
-        "o_orderdate + make_dt_interval(0, 0, 0, (o_custkey * 7919) % 86400) as created",
         "cast((gross_cents div 200) / 100.0D as decimal(12,2)) as gross",
         "cast((net_cents div 20000) / 100.0D as decimal(12,2)) as net",
     )
+
+
 def _events(source: Mapping) -> DataFrame:
-    return _orders(source).selectExpr(
+    return _priced_orders(source).selectExpr(
         "o_orderkey as id",
         "concat('D', lpad(cast(o_orderkey as string), 9, '0')) as num_devis",
         "created as created_at",
@@ -140,13 +143,16 @@ def _details(source: Mapping) -> DataFrame:
 
 
 def _products(source: Mapping) -> DataFrame:
-    return _orders(source).selectExpr(
-        "o_orderkey as id",
-        "least(standard, 2) as photobooth",
-        "least(economy, 1) as miroirbooth",
-        "least(medium, 1) as videobooth",
-        "least(promo, 1) as voguebooth",
-        "case when o_orderkey % 50 = 0 then 1 else 0 end as ipadbooth",
+    """Machines asked for, from the part types of the order lines."""
+    kinds = {"photobooth": "STANDARD", "miroirbooth": "ECONOMY", "videobooth": "MEDIUM", "voguebooth": "PROMO"}
+    parts = source["part"].select("p_partkey", "p_type")
+    typed = source["lineitem"].join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
+    most = {"photobooth": 2}
+    return (
+        typed.groupBy(F.col("l_orderkey").alias("id"))
+        .agg(*[F.count_if(F.col("p_type") == kind).alias(name) for name, kind in kinds.items()])
+        .withColumns({name: F.least(F.col(name), F.lit(most.get(name, 1))) for name in kinds})
+        .withColumn("ipadbooth", F.when(F.col("id") % 50 == 0, 1).otherwise(0))
     )
 
 
@@ -155,10 +161,10 @@ def _options(source: Mapping) -> DataFrame:
         "o_orderkey as id",
         "case when o_orderkey % 6 = 0 then 1 else 0 end as MurFloral",
         "case when o_orderkey % 12 = 0 then 'boheme' end as mur_floral_style",
-        "least(small, 1) as Phonebooth",
+        "case when o_orderkey % 5 < 2 then 1 else 0 end as Phonebooth",
         "case when o_orderkey % 7 = 0 then 1 end as Fond360",
         "case when o_orderkey % 15 = 0 then 1 else 0 end as PanneauFontaine",
-        "least(large, 1) as VideoLivreOr",
+        "case when o_orderkey % 11 < 3 then 1 end as VideoLivreOr",
         "o_orderkey % 8 * 40 as magnets",
         "case when o_orderkey % 16 = 0 then 150 end as PorteCles",
         "case when o_orderkey % 40 = 1 then 1 else 0 end as livraison",
@@ -169,7 +175,7 @@ def _options(source: Mapping) -> DataFrame:
 
 
 def _deposits(source: Mapping) -> DataFrame:
-    return _orders(source).where("o_orderstatus = 'F'").selectExpr(
+    return _priced_orders(source).where("o_orderstatus = 'F'").selectExpr(
         "o_orderkey as id",
         "cast(round(gross * 30) / 100.0D as decimal(12,2)) as montant_acompte",
         "o_orderpriority as mode_payement",
