@@ -213,7 +213,7 @@ fill AS (
 SELECT r.request_id, CASE WHEN gone THEN 'PRODUCT_UNAVAILABLE' ELSE 'OK' END AS recommendation_status,
   CAST(r.event_date AS VARCHAR) AS event_date,
   CASE WHEN gone THEN NULL WHEN used THEN f.price_eur ELSE c.price_eur END AS recommended_price_eur,
-  CASE WHEN NOT gone THEN c.satisfied END AS all_constraints_satisfied,
+  CASE WHEN NOT gone THEN CAST(c.satisfied AS VARCHAR) END AS all_constraints_satisfied,
   CASE WHEN gone THEN NULL WHEN used THEN f.signature_probability ELSE c.signature_probability END
     AS estimated_signature_probability,
   CASE WHEN gone THEN NULL WHEN used THEN f.direct_margin_eur ELSE c.direct_margin_eur END
@@ -223,7 +223,7 @@ SELECT r.request_id, CASE WHEN gone THEN 'PRODUCT_UNAVAILABLE' ELSE 'OK' END AS
   CASE WHEN NOT gone THEN c.gross_eur END AS price_catalog_gross_eur,
   CASE WHEN NOT gone THEN c.direct_cost END AS direct_cost_eur,
   CASE WHEN NOT gone THEN c.catalogue_floor END AS catalogue_floor_price_eur,
-  CASE WHEN NOT gone THEN c.reliable END AS price_signal_reliable,
+  CASE WHEN NOT gone THEN CAST(c.reliable AS VARCHAR) END AS price_signal_reliable,
   CASE WHEN NOT gone THEN round_even(c.drop, 4) END AS probability_drop_across_tested_range,
   CASE WHEN gone THEN 'Au moins un produit demandé est indisponible à cette date. '
       || 'Proposer un produit disponible ou une autre date avant de calculer le prix.'
@@ -312,7 +312,11 @@ def statements() -> dict[str, str]:
             f"SELECT request_id, {_FLAT}, reason AS review_reason, tested FROM chosen", *chosen
         ),
         "rejected_requests": with_quotes(_MESSAGES, *bounded),
-        "availability": with_quotes("SELECT * FROM available", *base, AVAILABILITY),
+        "availability": with_quotes(
+            "SELECT * REPLACE (CAST(requested_products_available AS VARCHAR) AS requested_products_available) "
+            "FROM available",
+             *base, AVAILABILITY,
+        ),
         "pricing_strategy": with_quotes(
             "SELECT *, pricing_objective = 'fill_date' AS fill_date_mode FROM strategies", *base, STRATEGY
         ),

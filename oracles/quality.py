@@ -11,7 +11,7 @@ IMPORTANT = [
 ]
 
 PROFILE = """
-SELECT COUNT(*) AS rows, CAST(72 AS BIGINT) AS columns,
+SELECT COUNT(*) AS rows, CAST(70 AS BIGINT) AS columns,
   COUNT(*) - COUNT(DISTINCT request_event_id) AS duplicate_event_ids,
   MIN(request_created_at_utc) AS request_date_min, MAX(request_created_at_utc) AS request_date_max,
   COUNT(*) FILTER (t) AS training_eligible_rows,
@@ -47,10 +47,10 @@ def missing(column: str) -> str:
 FEATURES = """
 features AS (
   SELECT *,
-    CAST(month(request_created_at_utc) AS INTEGER) AS request_month,
-    CAST(isodow(request_created_at_utc) AS INTEGER) AS request_weekday_iso,
+    CAST(month(request_created_at_utc) AS DOUBLE) AS request_month,
+    CAST(isodow(request_created_at_utc) AS DOUBLE) AS request_weekday_iso,
     CASE WHEN isodow(request_created_at_utc) >= 6 THEN 1.0::DOUBLE ELSE 0 END AS request_is_weekend,
-    CAST(hour(request_created_at_utc) AS INTEGER) AS request_hour,
+    CAST(hour(request_created_at_utc) AS DOUBLE) AS request_hour,
     CASE WHEN hour(request_created_at_utc) < 8 OR hour(request_created_at_utc) >= 19 THEN 1.0::DOUBLE ELSE 0 END
       AS request_is_outside_business_hours,
     CASE WHEN hour(request_created_at_utc) < 6 THEN 'NUIT' WHEN hour(request_created_at_utc) < 12 THEN 'MATIN'

@@ -17,7 +17,7 @@ from quotelab.functions.predicates import (
     untouched_status,
 )
 from quotelab.operators.history import with_prior_history
-from quotelab.session import bounded
+from quotelab.session import bounded, left_join_spread
 
 # Output column -> option column of the CRM.
 OPTION_FLAGS = {
@@ -104,18 +104,9 @@ def outcomes(events: DataFrame, details: DataFrame, as_of) -> DataFrame:
 
 
 def _optional(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Left join on a nullable key, dropping the right-hand id.
-
-    Rows without key would all hash to one task; a second key spreads them.  It is 0 on every row
-    that can match, and derived from the id on the right so that it stays a hash key of the join.
-    """
-    side = right.withColumnRenamed("id", "_id").withColumn("_spread", F.pmod(F.col("_id"), F.lit(1)))
-    spread = F.when(F.col(key).isNull(), F.pmod(F.xxhash64("id"), F.lit(4096))).otherwise(0)
-    return (
-        left.withColumn("_null_spread", spread.cast("long"))
-        .join(side, (F.col(key) == F.col("_id")) & (F.col("_null_spread") == F.col("_spread")), "left")
-        .drop("_id", "_spread", "_null_spread")
-    )
+    """Left join on a nullable key, dropping the right-hand id."""
+    side = right.withColumnRenamed("id", "_id")
+    return left_join_spread(left, side, key, "_id", F.col(key).isNull(), "id")
 
 
 def quote_rows(tables: dict[str, DataFrame], as_of, after_quote: bool = True) -> DataFrame:

@@ -9,9 +9,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quotelab.config import Config
-from quotelab.operators import costing, export, features, history, ladder, profile, stock_rules
+from quotelab.functions.words import normalize_text
+from quotelab.operators import (
+    costing,
+    export,
+    features,
+    history,
+    ladder,
+    profile,
+    stock_rules,
+    venues,
+)
 from quotelab.plans.requests import STOCK, as_requests, fixed_scorer
-from quotelab.sources.star_schema import AS_OF, crm_tables
+from quotelab.session import configure, materialize
+from quotelab.sources.star_schema import (
+    AS_OF,
+    crm_tables,
+    lookup_places,
+    source_tables,
+    venue_overrides,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -216,7 +233,7 @@ def _listed(column: str, *fields: str):
 
 def _availability(requests: DataFrame, _catalogue: DataFrame) -> DataFrame:
     return stock_rules.availability(requests).select(
-        KEY, "availability_status", "requested_products_available",
+        KEY, "availability_status", F.col("requested_products_available").cast("string"),
         _listed("requested_products", "code", "requested_quantity", "available_quantity"),
         _listed("unavailable_requested_products", "code", "requested_quantity", "available_quantity"),
         _listed("alternative_products", "code", "available_quantity"),
@@ -228,9 +245,11 @@ def _strategies(requests: DataFrame, _catalogue: DataFrame) -> DataFrame:
 
 
 def _stock_recommendations(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
-    return stock_rules.recommend_with_stock(
+    priced = stock_rules.recommend_with_stock(
         requests, catalogue, fixed_scorer, CONFIG, KEY, AS_OF
-    ).select(
+    )
+    unset = ["all_constraints_satisfied", "price_signal_reliable"]
+    return priced.withColumns({c: F.col(c).cast("string") for c in unset}).select(
         KEY, "recommendation_status", "event_date", *FLAT, "pricing_objective", "fill_date_mode",
         "availability_status",
     )
@@ -265,5 +284,93 @@ def pricing_queries() -> dict[str, Query]:
     }
 
 
+def _places(spark: SparkSession, folder: str) -> DataFrame:
+    queries = venues.lookup_queries(_quotes(spark, folder))
+    return lookup_places(source_tables(spark, folder), queries)
+
+
+def _enriched(confidence) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        quotes = _quotes(spark, folder)
+        overrides = venue_overrides(quotes)
+        enriched = venues.enrich(quotes, _places(spark, folder), overrides, confidence=confidence)
+        return plain(
+            _rounded(
+                enriched.select("request_event_id", *venues.VENUE_COLUMNS, "venue_enrichment_status")
+            )
+        )
+
+    return run
+
+
+def _enrichment_counts(spark: SparkSession, folder: str) -> DataFrame:
+    enriched = _enriched(venues.overlap_confidence)(spark, folder)
+    return profile.top_values(enriched, "venue_enrichment_status")
+
+
+def _normalized(spark: SparkSession, folder: str) -> DataFrame:
+    configure(spark)
+    documents = source_tables(spark, folder)["documents"]
+    return documents.select("doc_id", normalize_text("text").alias("words"))
+
+
+def _overlap(confidence) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        queries = venues.lookup_queries(_quotes(spark, folder))
+        scored = venues.match_score(queries, _places(spark, folder), confidence)
+        return _rounded(scored.select("query_hash", "pos", "confidence"))
+
+    return run
+
+
+def _place_scores(spark: SparkSession, folder: str) -> DataFrame:
+    scored = venues.venue_scores(_places(spark, folder))
+    return scored.select(
+        "query_hash", "pos", "premium_score", "notability_score", "is_private_address"
+    )
+
+
+def _read_pages(spark: SparkSession, folder: str) -> DataFrame:
+    configure(spark)
+    return venues.page_text(source_tables(spark, folder)["pages"])
+
+
+def _page_text(spark: SparkSession, folder: str) -> DataFrame:
+    return _read_pages(spark, folder).select(
+        "url", F.char_length("text").alias("characters"), F.size("links").alias("links"),
+        "capacity_seated", "capacity_cocktail",
+    )
+
+
+# The given pages are no venue sites: their language folders stand for the reception pages.
+PATH_WORDS = ["en", "fr", "de", "es"]
+
+
+def _sites(make) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        read = materialize(_read_pages(spark, folder), "pages")
+        return make(read.select(F.col("url").alias("website")), read, PATH_WORDS)
+
+    return run
+
+
+def venue_queries() -> dict[str, Query]:
+    return {
+        "normalized_texts": _normalized,
+        "lookup_queries": _on_quotes(
+            lambda q: venues.lookup_queries(q).select("query_hash", "query_norm").distinct()
+        ),
+        "place_overlap": _overlap(venues.overlap_confidence),
+        "place_match": _overlap(venues.match_confidence),
+        "place_scores": _place_scores,
+        "enriched_quotes": _enriched(venues.overlap_confidence),
+        "matched_quotes": _enriched(venues.match_confidence),
+        "enrichment_status_counts": _enrichment_counts,
+        "page_text": _page_text,
+        "site_pages": _sites(venues.site_pages),
+        "site_capacity": _sites(venues.site_capacity),
+    }
+
+
 def queries() -> dict[str, Query]:
-    return crm_queries() | profile_queries() | feature_queries() | pricing_queries()
+    return venue_queries() | crm_queries() | profile_queries() | feature_queries() | pricing_queries()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETTINGS = {
@@ -70,3 +70,18 @@ def fits(df: DataFrame, max_rows: int) -> bool:
 def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only after counting; otherwise leave the join to AQE."""
     return F.broadcast(df) if fits(df, max_rows) else df
+
+
+def left_join_spread(
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str, hopeless: Column, row: str
+) -> DataFrame:
+    """Left join where rows that can never match (``hopeless``: no key, blank key) are spread out.
+
+    They would all hash to one task.  A second join key is 0 on every row that can match and a hash
+    of ``row`` elsewhere; on the right it is derived from the key, so that it stays a hash key.
+    """
+    side = right.withColumn("_spread", F.pmod(F.xxhash64(right_key), F.lit(1)))
+    spread = F.when(hopeless, F.pmod(F.xxhash64(row), F.lit(4096))).otherwise(0).cast("long")
+    same = (F.col(left_key) == F.col(right_key)) & (F.col("_left_spread") == F.col("_spread"))
+    joined = left.withColumn("_left_spread", spread).join(side, same, "left")
+    return joined.drop("_left_spread", "_spread", right_key)

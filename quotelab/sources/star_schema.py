@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quotelab.session import configure
@@ -241,3 +242,62 @@ _VIEWS = {
     "app_cost": _costs,
     "app_namecost": _names,
 }
+
+
+def lookup_places(source: Mapping, queries: DataFrame) -> DataFrame:
+    """Candidate places per lookup: the first five suppliers of the nation named in the query.
+
+    Lookups whose hash starts with 0 stand for failed ones.
+    """
+    by_nation = W.partitionBy("s_nationkey").orderBy("s_suppkey")
+    five = (
+        source["supplier"]
+        .withColumn("pos", F.row_number().over(by_nation) - 1)
+        .where("pos < 5")
+        .selectExpr(
+            "s_nationkey",
+            "pos",
+            "concat(element_at(array('Château ', 'Domaine ', 'Salle '), cast(s_suppkey % 3 as int) + 1), s_suppkey)"
+            " as display_name",
+            "concat(s_suppkey % 7, ' rue Nation-', s_nationkey, ', ', lpad(1000 + s_nationkey * 37, 5, '0'))"
+            " as formatted_address",
+            "element_at(array('event_venue', 'premise', 'hotel'), cast(s_suppkey % 3 as int) + 1) as primary_type",
+            "case s_suppkey % 4 when 0 then array('event_venue', 'street_address') when 1 then array('premise') "
+            "when 2 then cast(null as array<string>) else array('hotel') end as types",
+            "case when s_suppkey % 9 <> 0 then 2.5D + (s_suppkey % 11) / 4D end as rating",
+            "case when s_suppkey % 8 <> 0 then cast(s_suppkey * 37 % 5000 as int) end as user_rating_count",
+            "case when s_suppkey % 3 <> 0 then concat('https://venue', s_suppkey, '.example.com') end as website_uri",
+            "element_at(array('PRICE_LEVEL_FREE', 'PRICE_LEVEL_INEXPENSIVE', 'PRICE_LEVEL_MODERATE', "
+            "'PRICE_LEVEL_EXPENSIVE', 'PRICE_LEVEL_VERY_EXPENSIVE', null), cast(s_suppkey % 6 as int) + 1)"
+            " as price_level",
+        )
+    )
+    named = queries.withColumn(
+        "_nation", F.regexp_extract("query_norm", "nation ([0-9]+)", 1).try_cast("int")
+    )
+    failed = F.when(F.col("query_hash").startswith("0"), "HTTP_ERROR_TimeoutError")
+    return (
+        named.select("query_hash", "_nation")
+        .distinct()
+        .join(five, F.col("_nation") == F.col("s_nationkey"))
+        .withColumn("status", failed)
+        .drop("_nation", "s_nationkey")
+    )
+
+
+def venue_overrides(quotes: DataFrame) -> DataFrame:
+    """Verified venues for some keys: those of every 60th client's quotes with an address."""
+    keys = quotes.where("request_event_id % 450 = 2").select("event_venue_anonymous_key").distinct()
+    return keys.selectExpr(
+        "event_venue_anonymous_key as match_key",
+        "concat('Domaine ', substring(event_venue_anonymous_key, 1, 4)) as venue_name",
+        "'event_venue' as venue_type",
+        "'180' as venue_capacity_seated",
+        "' ' as venue_capacity_cocktail",
+        "'5000' as venue_price_min",
+        "'9000.5' as venue_price_max",
+        "'75' as venue_premium_score",
+        "'80' as venue_notability_score",
+        "case when substring(event_venue_anonymous_key, 1, 1) < '8' then 'https://example.com' else '' end"
+        " as source_url",
+    )
