@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def all_statements() -> dict[str, str]:
-    from oracles import crm, enrichment, pricing, quality
+    from oracles import crm, enrichment, models, pricing, quality
 
-    return crm.statements() | quality.statements() | pricing.statements() | enrichment.statements()
+    return crm.statements() | quality.statements() | pricing.statements() | enrichment.statements() | models.statements()

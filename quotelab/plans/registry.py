@@ -12,14 +12,19 @@ from quotelab.config import Config
 from quotelab.functions.words import normalize_text
 from quotelab.operators import (
     costing,
+    evaluation,
     export,
     features,
     history,
     ladder,
     profile,
     stock_rules,
+    training,
     venues,
 )
+from quotelab.operators.evaluation import CREATED
+from quotelab.operators.training import Sizes
+from quotelab.plans import train
 from quotelab.plans.requests import STOCK, as_requests, fixed_scorer
 from quotelab.session import configure, materialize
 from quotelab.sources.star_schema import (
@@ -372,5 +377,123 @@ def venue_queries() -> dict[str, Query]:
     }
 
 
+def _scored(quotes: DataFrame) -> DataFrame:
+    """Trainable quotes with the fixed scorer's probability for the price that was proposed."""
+    prepared = features.prepare_features(evaluation.trainable_rows(quotes))
+    return fixed_scorer(prepared).withColumnRenamed("raw_probability", "probability")
+
+
+def _trainable(quotes: DataFrame) -> DataFrame:
+    return evaluation.trainable_rows(quotes).select("request_event_id", "target_signed", "price_proposed")
+
+
+def _split(quotes: DataFrame) -> DataFrame:
+    rows = evaluation.trainable_rows(quotes)
+    older = evaluation.temporal_condition(rows, CONFIG.temporal_validation_fraction)
+    return rows.select("request_event_id", F.when(older, "train").otherwise("validation").alias("part"))
+
+
+def _one_row(df: DataFrame, values: dict) -> DataFrame:
+    row = {k: round(v, 6) if isinstance(v, float) else v for k, v in values.items()}
+    return df.sparkSession.createDataFrame([tuple(row.values())], list(row))
+
+
+def _metrics(quotes: DataFrame) -> DataFrame:
+    scored = _scored(quotes).select("target_signed", "probability")
+    return _one_row(quotes, evaluation.metrics(scored))
+
+
+def _selection(quotes: DataFrame) -> DataFrame:
+    """The scorer against the naive rate on the newer part, with the gate's verdict."""
+    rows = _scored(quotes).select("request_event_id", CREATED, "target_signed", "probability")
+    train, test = evaluation.temporal_split(rows, CONFIG.temporal_validation_fraction)
+    steadier = test.withColumn("probability", F.col("probability") * 0.8 + 0.1)
+    scores = {
+        "logistic_regression": evaluation.metrics(test),
+        "random_forest": evaluation.metrics(steadier),
+    }
+    naive = evaluation.baseline(train, test)
+    chosen = evaluation.choose_model(scores)
+    return _one_row(
+        quotes,
+        {
+            "selected_model": chosen,
+            "brier_logistic": scores["logistic_regression"]["brier_score"],
+            "brier_forest": scores["random_forest"]["brier_score"],
+            "naive_probability": naive["constant_probability"],
+            "naive_brier": naive["brier_score"],
+            "naive_log_loss": naive["log_loss"],
+            "validation_status": evaluation.gate(scores[chosen], naive),
+        },
+    )
+
+
+def _class_counts(quotes: DataFrame) -> DataFrame:
+    rows = evaluation.trainable_rows(quotes)
+    return rows.groupBy("target_signed").agg(F.count("*").alias("rows"))
+
+
+def _pilot(quotes: DataFrame) -> DataFrame:
+    """Pilot groups by parity of the quote id; a late rest payment stands for a cancellation."""
+    key = F.col("request_event_id")
+    outcomes = quotes.select(
+        F.when(key % 2 == 0, "control").otherwise("model").alias("arm"),
+        "target_signed",
+        F.col("signed_price").cast("double"),
+        (F.col("product_count") * 100.0).alias("direct_cost"),
+        F.when((key % 40 == 0) & (F.col("target_signed") == 1), 1).otherwise(0).alias("cancelled"),
+    )
+    return _rounded(evaluation.pilot_kpis(outcomes), 4)
+
+
+# Small models: the registered queries show the whole path, not the best fit.
+SMALL = Sizes(trees=10, depth=5, iterations=50, vocabulary=2_000, hashed=512)
+
+
+def _validation(spark: SparkSession, folder: str):
+    return _once(
+        spark, "validation", folder, lambda: train.validate(_quotes(spark, folder), CONFIG, SMALL)
+    )
+
+
+def _training_report(spark: SparkSession, folder: str) -> DataFrame:
+    return train.report_frame(spark, train.report(_validation(spark, folder)))
+
+
+def _importance(spark: SparkSession, folder: str) -> DataFrame:
+    validation = _validation(spark, folder)
+    model = validation.models["logistic_regression"]
+    return training.importance(model, validation.test, repeats=2, seed=CONFIG.random_seed)
+
+
+def _model_recommendations(spark: SparkSession, folder: str) -> DataFrame:
+    """Prices from the trained price model instead of the fixed scorer."""
+    bundle = train.Bundle(
+        *[_validation(spark, folder).models["logistic_regression"]] * 2,
+        {"model_name": "logistic_regression", "price_model_name": "logistic_regression"},
+    )
+    catalogue = costing.default_catalogue(spark)
+    return plain(
+        ladder.recommend(_requests(spark, folder), catalogue, bundle.price_scorer, CONFIG, KEY).select(
+            KEY, *FLAT
+        )
+    )
+
+
+def training_queries() -> dict[str, Query]:
+    return {
+        "trainable_rows": _on_quotes(_trainable),
+        "class_counts": _on_quotes(_class_counts),
+        "temporal_split": _on_quotes(_split),
+        "scored_metrics": _on_quotes(_metrics),
+        "model_selection": _on_quotes(_selection),
+        "reliability": _on_quotes(lambda q: _rounded(evaluation.reliability(_scored(q)))),
+        "pilot_kpis": _on_quotes(_pilot),
+        "training_report": _training_report,
+        "feature_importance": _importance,
+        "model_recommendations": _model_recommendations,
+    }
+
+
 def queries() -> dict[str, Query]:
-    return venue_queries() | crm_queries() | profile_queries() | feature_queries() | pricing_queries()
+    return training_queries() | venue_queries() | crm_queries() | profile_queries() | feature_queries() | pricing_queries()
