@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quotelab.session import materialize
+
 TARGET_ROWS = 1_000_000
 MAX_BLOCKS = 4096
 
@@ -97,27 +99,28 @@ def running(
 def kth_smallest(df: DataFrame, order: str, k: int, target_rows: int = TARGET_ROWS) -> tuple:
     """The k-th smallest value (1-based, repeats counted) and the number of rows below it.
 
-    Only block counts reach the driver; the ordered scan touches the one block that holds rank k.
+    One pass over ``df`` counts equal values; only block counts reach the driver, and the ordered
+    scan touches the one block that holds rank k.
     """
-    values = df.where(F.col(order).isNotNull()).select(order)
-    cuts = cut_points(values, order, target_rows)
-    blocked = with_block(values, order, cuts)
-    below = 0
-    wanted = 0.0
-    for row in blocked.groupBy("block").count().orderBy("block").collect():  # at most MAX_BLOCKS rows
+    counted = df.where(F.col(order).isNotNull()).groupBy(order).agg(F.count("*").alias("n"))
+    points = materialize(counted, "counts")
+    blocked = with_block(points, order, cut_points(points, order, target_rows))
+    totals = blocked.groupBy("block").agg(F.sum("n").alias("n")).orderBy("block")
+    below, wanted = 0, 0.0
+    for row in totals.collect():  # at most MAX_BLOCKS rows
         wanted = row["block"]
-        if below + row["count"] >= k:
+        if below + row["n"] >= k:
             break
-        below += row["count"]
-    points = blocked.where(F.col("block") == wanted).groupBy("block", order).count()
+        below += row["n"]
     upto = W.partitionBy("block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     hit = (
-        points.withColumn("upto", F.sum("count").over(upto))
+        blocked.where(F.col("block") == wanted)
+        .withColumn("upto", F.sum("n").over(upto))
         .where(F.col("upto") >= k - below)
         .orderBy(order)
         .first()
     )
-    return hit[order], below + hit["upto"] - hit["count"]
+    return hit[order], below + hit["upto"] - hit["n"]
 
 
 def medians(df: DataFrame, columns: list[str], target_rows: int = TARGET_ROWS) -> dict[str, float]:
@@ -131,11 +134,11 @@ def medians(df: DataFrame, columns: list[str], target_rows: int = TARGET_ROWS) -
     values = df.selectExpr(f"stack({len(columns)}, {pairs}) as (feature, value)").where(
         F.col("value").isNotNull() & ~F.isnan("value")
     )
-    points = values.groupBy("feature", "value").agg(F.count("*").alias("n"))
-    blocks = min(MAX_BLOCKS, math.ceil(df.count() / target_rows))
+    points = materialize(values.groupBy("feature", "value").agg(F.count("*").alias("n")), "counts")
+    blocks = min(MAX_BLOCKS, math.ceil(points.count() / target_rows))
     if blocks > 1:
         shares = [i / blocks for i in range(1, blocks)]
-        sketch = values.groupBy("feature").agg(
+        sketch = points.groupBy("feature").agg(
             F.percentile_approx("value", shares, max(10_000, 4 * blocks)).alias("cuts")
         )
         # One row per column name of the table, so the broadcast cannot grow with the data.

@@ -399,20 +399,21 @@ def _one_row(df: DataFrame, values: dict) -> DataFrame:
 
 
 def _metrics(quotes: DataFrame) -> DataFrame:
-    scored = _scored(quotes).select("target_signed", "probability")
+    scored = materialize(_scored(quotes).select("target_signed", "probability"), "scored")
     return _one_row(quotes, evaluation.metrics(scored))
 
 
 def _selection(quotes: DataFrame) -> DataFrame:
     """The scorer against the naive rate on the newer part, with the gate's verdict."""
-    rows = _scored(quotes).select("request_event_id", CREATED, "target_signed", "probability")
-    train, test = evaluation.temporal_split(rows, CONFIG.temporal_validation_fraction)
-    steadier = test.withColumn("probability", F.col("probability") * 0.8 + 0.1)
+    columns = ["request_event_id", CREATED, "target_signed", "probability"]
+    rows = materialize(_scored(quotes).select(*columns), "scored")
+    older, newer = evaluation.temporal_split(rows, CONFIG.temporal_validation_fraction)
+    steadier = newer.withColumn("probability", F.col("probability") * 0.8 + 0.1)
     scores = {
-        "logistic_regression": evaluation.metrics(test),
+        "logistic_regression": evaluation.metrics(newer),
         "random_forest": evaluation.metrics(steadier),
     }
-    naive = evaluation.baseline(train, test)
+    naive = evaluation.baseline(older, newer)
     chosen = evaluation.choose_model(scores)
     return _one_row(
         quotes,

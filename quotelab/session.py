@@ -21,6 +21,8 @@ STARTUP = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 BROADCAST_ROWS = 200_000
 
+_FALLBACK: dict[str, str] = {}
+
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and benchmarks."""
@@ -50,14 +52,17 @@ def shared_folder(spark: SparkSession) -> str:
     """Folder all executors see; taken from the session, set here only when missing."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="quotelab-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        application = spark.sparkContext.applicationId
+        if application not in _FALLBACK:
+            _FALLBACK[application] = tempfile.mkdtemp(prefix="quotelab-")
+        folder = _FALLBACK[application]
     return folder.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, cutting its lineage."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    application = df.sparkSession.sparkContext.applicationId
+    path = f"{shared_folder(df.sparkSession)}/quotelab-{application}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
