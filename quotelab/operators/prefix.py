@@ -67,7 +67,8 @@ def running(
             *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(n) for n, c in sums.items()],
             *[F.max(c).over(inside).alias(n) for n, c in latest.items()],
         )
-    blocked = with_block(points, order, cuts)
+    # Written once: the block totals and the sums inside the blocks both read it.
+    blocked = materialize(with_block(points, order, cuts), "blocks")
     carry_names = {n: f"_carry_{n}" for n in [*sums, *latest]}
     totals = blocked.groupBy(*keys, "block").agg(
         *[F.sum(c).alias(n) for n, c in sums.items()], *[F.max(c).alias(n) for n, c in latest.items()]

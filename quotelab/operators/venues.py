@@ -323,7 +323,8 @@ def enrich(
     fetcher's own failures arrive as candidates with a ``status`` and become the row's status.
     With ``pages`` the capacities stated on the venue's site are added.
     """
-    queries = lookup_queries(quotes)
+    # Far fewer than quotes, and normalized in Python: written once, used for matching and joining.
+    queries = materialize(lookup_queries(quotes), "lookups")
     failed = (
         places.where(F.col("status").isNotNull())
         .groupBy("query_hash")

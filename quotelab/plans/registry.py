@@ -53,7 +53,7 @@ _PLANS: dict = {}
 
 
 def _once(spark: SparkSession, name: str, folder: str, make: Callable[[], object]):
-    """Build a shared plan once per session and folder (plans only, no data is kept)."""
+    """Build a shared plan or table once per session and folder."""
     place = (spark.sparkContext.applicationId, name, folder)
     if place not in _PLANS:
         _PLANS[place] = make()
@@ -73,12 +73,14 @@ def _on_quotes(make: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _quotes(spark: SparkSession, folder: str) -> DataFrame:
-    return _once(
-        spark,
-        "quotes",
-        folder,
-        lambda: export.quote_rows(_tables(spark, folder), AS_OF, after_quote=False),
-    )
+    """The quote history, written once like the export file that all later steps start from."""
+
+    def make() -> DataFrame:
+        return materialize(
+            export.quote_rows(_tables(spark, folder), AS_OF, after_quote=False), "quotes"
+        )
+
+    return _once(spark, "quotes", folder, make)
 
 
 def _requests(spark: SparkSession, folder: str) -> DataFrame:
@@ -290,8 +292,13 @@ def pricing_queries() -> dict[str, Query]:
 
 
 def _places(spark: SparkSession, folder: str) -> DataFrame:
-    queries = venues.lookup_queries(_quotes(spark, folder))
-    return lookup_places(source_tables(spark, folder), queries)
+    """Lookup answers, kept once like a cache of fetched places."""
+
+    def make() -> DataFrame:
+        queries = venues.lookup_queries(_quotes(spark, folder))
+        return materialize(lookup_places(source_tables(spark, folder), queries), "places")
+
+    return _once(spark, "places", folder, make)
 
 
 def _enriched(confidence) -> Query:
