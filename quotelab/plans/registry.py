@@ -504,4 +504,11 @@ def training_queries() -> dict[str, Query]:
 
 
 def queries() -> dict[str, Query]:
-    return training_queries() | venue_queries() | crm_queries() | profile_queries() | feature_queries() | pricing_queries()
+    return (
+        crm_queries()
+        | profile_queries()
+        | feature_queries()
+        | pricing_queries()
+        | venue_queries()
+        | training_queries()
+    )
