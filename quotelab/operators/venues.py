@@ -151,37 +151,14 @@ def page_text(pages: DataFrame) -> DataFrame:
     return pages.select("url", "html").mapInPandas(read_pages, PAGE_SCHEMA)
 
 
-def _host(url: Column) -> Column:
-    return F.try_parse_url(url, F.lit("AUTHORITY"))
-
-
-def _absolute(base: Column, link: Column) -> Column:
-    """Resolve a link against the page it stands on."""
-    bare = F.regexp_replace(link, r"^\s+|\s+$", "")
-    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
-    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    page = F.regexp_replace(base, r"[?#].*$", "")
-    folder = F.when(page == root, F.concat(root, F.lit("/"))).otherwise(
-        F.regexp_replace(page, r"[^/]*$", "")
-    )
-    return (
-        F.when(bare.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), bare)
-        .when(bare.startswith("//"), F.concat(scheme, F.lit(":"), bare))
-        .when(bare.startswith("/"), F.concat(root, bare))
-        .when(bare.startswith("#"), F.concat(F.regexp_replace(base, r"#.*$", ""), bare))
-        .when(bare.startswith("?"), F.concat(page, bare))
-        .otherwise(F.concat(folder, F.regexp_replace(bare, r"^(\./)+", "")))
-    )
-
-
 def site_links(read: DataFrame, words: list[str] | None = None) -> DataFrame:
     """Links (from_url, pos, url) to pages of the same host whose path speaks of receptions."""
-    links = read.select(F.col("url").alias("from_url"), F.posexplode("links").alias("pos", "link"))
-    targets = links.withColumn("url", _absolute(F.col("from_url"), F.col("link")))
-    path = F.lower(F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("")))
-    wanted = F.regexp_replace(path, "[^a-z0-9]+", " ").rlike("|".join(words or SITE_WORDS))
-    return targets.where((_host(F.col("from_url")) == _host(F.col("url"))) & wanted).select(
-        "from_url", "pos", "url"
+    links = read.select(
+        F.col("url").alias("from_url"), F.col("host").alias("own"), F.posexplode("links").alias("pos", "link")
+    )
+    wanted = F.col("link.path").rlike("|".join(words or SITE_WORDS))
+    return links.where((F.col("own") == F.col("link.host")) & wanted).select(
+        "from_url", "pos", "link.url"
     )
 
 

@@ -127,7 +127,7 @@ def test_site_pages_follow_links_in_order(spark):
             ("https://a.fr", "<a href='/x'>0</a><a href='/salle-1'>gone</a><a href='/salle-2'>2</a><a href='/salle-3'>3</a><a href='/salle-4'>4</a>"),
             ("https://a.fr/salle-2", "<a href='/salle-9'>9</a>"), ("https://a.fr/salle-3", ""), ("https://a.fr/salle-4", ""),
             ("https://a.fr/salle-9", ""), ("http://b.fr/index.html", "<a href='reception'>r</a><a href='reception'>r</a>"),
-            ("http://b.fr/reception", "<a href='index.html'>i</a><a href='../salle'>s</a><a href='?salle'>q</a>"),
+            ("http://b.fr/salle", ""), ("http://b.fr/reception", "<a href='index.html'>i</a><a href='http://[bad/salle'>b</a><a href='../salle'>s</a><a href='?salle'>q</a>"),
         ],
         "url string, html string",
     )
@@ -136,7 +136,9 @@ def test_site_pages_follow_links_in_order(spark):
     assert [(r.url, r.step) for r in got if r.website == "https://a.fr"] == [
         ("https://a.fr", 1), ("https://a.fr/salle-2", 2), ("https://a.fr/salle-3", 3),
     ]
-    assert [r.url for r in got if r.website.startswith("http://b")] == ["http://b.fr/index.html", "http://b.fr/reception"]
+    assert [r.url for r in got if r.website.startswith("http://b")] == [
+        "http://b.fr/index.html", "http://b.fr/reception", "http://b.fr/salle",
+    ]
     assert {r.website for r in got} == {"https://a.fr", "http://b.fr/index.html"}
 
 
