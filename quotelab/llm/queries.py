@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quotelab.llm import decontaminate
+from quotelab.llm import decontaminate, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_winnowing_decontamination": decontaminate.op1_winnowing_decontamination}
+    return {
+        "op1_winnowing_decontamination": decontaminate.op1_winnowing_decontamination,
+        "op2_bounded_packing": packing.op2_bounded_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
