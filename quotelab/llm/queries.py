@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quotelab.llm import decontaminate, packing
+from quotelab.llm import debruijn, decontaminate, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_winnowing_decontamination": decontaminate.op1_winnowing_decontamination,
         "op2_bounded_packing": packing.op2_bounded_packing,
+        "op4_debruijn_substring_dedup": debruijn.op4_debruijn_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_winnowing_decontamination": decontaminate.SQL}
+    return {
+        "op1_winnowing_decontamination": decontaminate.SQL,
+        "op4_debruijn_substring_dedup": debruijn.SQL,
+    }
