@@ -5,8 +5,9 @@ of them that still holds it (best fit); when none does and all places are taken,
 emitted.  Sequences that a task leaves unfinished are merged afterwards in groups of tasks, by the same
 rule.  Only placements travel, never token ids, so that memory and shuffles stay small.
 
-Tokens come from a public tokenizer file.  It drops white space, so a text's ids are those of its
-blank-separated chunks in order: each distinct chunk is tokenized once and the rest is lookup.
+Tokens come from a public tokenizer file.  It drops white space and splits texts before it
+merges, so a text's ids are those of its units in order: each distinct unit is tokenized once by a
+worker and the rest is lookup.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotelab.llm.common import numbers, prepared, table, texts, written
-from quotelab.llm.tokens import nonspace_bytes, pieces, words_of
+from quotelab.llm.tokens import Words, nonspace_bytes, pieces, words_of
 
 LENGTH = 2048
 OPEN_WINDOWS = 64
@@ -31,19 +33,48 @@ END_ID = 1
 LEAST_CUT = 32
 #: Unfinished sequences of so many tasks are merged by one task.
 MERGE_TASKS = 64
-#: Distinct chunks whose ids a task remembers.
-REMEMBERED = 400_000
+#: Distinct units whose ids a Python worker remembers before it starts anew.
+REMEMBERED = 1_000_000
 
 PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, task long, finished boolean"
 
 
+def token_units(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """Units that the tokenizer's own splitting never joins, so that each has its ids for itself.
+
+    A blank-separated chunk is cut between letters, single digits and other signs.  Letters are those
+    of ASCII and the two-byte Latin ones; a chunk with an apostrophe (the splitter binds endings like
+    ``'s``) or with any other character stays whole.  The splitter ignores case, so units are lower-cased.
+    """
+    letter = np.zeros(256, bool)
+    letter[65:91] = letter[97:123] = True
+    kind = np.where(letter, 1, 3).astype(np.uint8)
+    kind[0x30:0x3A] = 2
+    kind[nonspace_bytes() == 0] = 0
+    kinds = kind[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3) if len(data) else np.zeros(0, np.int64)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kinds[lead] = kinds[lead + 1] = 1
+    odd = (data == 0x27) | ((data >= 0x80) & (kinds != 1))
+    chunks = words_of(data, offsets, nonspace_bytes())
+    strange = np.concatenate(([0], np.cumsum(odd)))
+    whole = strange[chunks.ends] > strange[chunks.starts]
+    for start, end in zip(chunks.starts[whole].tolist(), chunks.ends[whole].tolist(), strict=True):
+        kinds[start:end] = 4
+    cut = np.zeros(len(data), bool)
+    cut[1:] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == 2)
+    return words_of(data, offsets, nonspace_bytes(), lower=True, cut=cut)
+
+
 class ChunkTokenizer:
-    """Token ids of whole texts from ids of their blank-separated chunks."""
+    """Token ids of whole texts from ids of their units, each distinct unit tokenized once."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.remembered = remembered
         self.clear()
 
     def clear(self) -> None:
@@ -52,27 +83,30 @@ class ChunkTokenizer:
         self.count = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
+    def _learn(self, hashes: np.ndarray, units: list[str]) -> None:
+        got = []
+        for i in range(0, len(units), 2000):
+            got += [e.ids for e in self.tokenizer.encode_batch(units[i : i + 2000], add_special_tokens=False)]
         count = np.fromiter(map(len, got), np.int64, len(got))
-        ids = np.fromiter((i for one in got for i in one), np.uint32, int(count.sum()))
+        ids = np.fromiter(chain.from_iterable(got), np.uint32, int(count.sum()))
         first = len(self.ids) + np.cumsum(count) - count
         self.ids = np.concatenate((self.ids, ids))
         keys = np.concatenate((self.keys, hashes))
-        order = np.argsort(keys)
+        order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
         self.first = np.concatenate((self.first, first))[order]
         self.count = np.concatenate((self.count, count))[order]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of consecutive texts, and where each text's ids begin (one entry more than texts)."""
-        words = words_of(data, offsets, nonspace_bytes())
+        words = token_units(data, offsets)
         distinct, at, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
-        if len(self.keys) > REMEMBERED:
+        if len(self.keys) > self.remembered:
             self.clear()
-        new = ~np.isin(distinct, self.keys, assume_unique=True)
+        slot = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
+        new = self.keys[slot] != distinct if len(self.keys) else np.ones(len(distinct), bool)
         if new.any():
-            raw = data.tobytes()
+            raw = words.data.tobytes()
             spans = zip(words.starts[at[new]].tolist(), words.ends[at[new]].tolist(), strict=True)
             self._learn(distinct[new], [raw[a:b].decode() for a, b in spans])
         slot = np.searchsorted(self.keys, distinct)[inverse]
@@ -82,6 +116,16 @@ class ChunkTokenizer:
         return self.ids[take], np.concatenate(([0], ends))[words.first]
 
 
+_TOKENIZERS: dict[str, ChunkTokenizer] = {}
+
+
+def tokenizer_of(path: str) -> ChunkTokenizer:
+    """One tokenizer for each Python worker: what it has learnt serves later tasks too."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = ChunkTokenizer(path)
+    return _TOKENIZERS[path]
+
+
 class Windows:
     """A bounded set of open sequences; placements of finished ones go to ``done``."""
 
@@ -159,7 +203,7 @@ def pack(
     prepared(documents.sparkSession)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, chunks = TaskContext.get().partitionId(), ChunkTokenizer(tokenizer)
+        task, chunks = TaskContext.get().partitionId(), tokenizer_of(tokenizer)
         windows = Windows(length, open_windows, least_cut)
         for batch in batches:
             column = batch.column(0).to_pylist()

@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that are worked on at once; a longer text is a piece of its own.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -98,8 +98,13 @@ def pieces(column: pa.Array, size: int = PIECE_BYTES) -> Iterator[tuple[int, int
         start = stop
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray, lower: bool = False) -> Words:
-    """Words (maximal runs of ``word_byte`` bytes, never across documents) with their hashes."""
+def words_of(
+    data: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray, lower: bool = False, cut: np.ndarray | None = None
+) -> Words:
+    """Words (maximal runs of ``word_byte`` bytes, never across documents) with their hashes.
+
+    ``cut`` marks bytes at which a word ends and another begins.
+    """
     if lower:
         data = lower_table()[data]
     inside = word_byte[data]
@@ -107,6 +112,8 @@ def words_of(data: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray, lower
     begins[1:] &= ~inside[:-1]
     heads = offsets[:-1][offsets[:-1] < offsets[1:]]
     begins[heads] |= inside[heads]
+    if cut is not None:
+        begins |= cut & inside
     starts = np.flatnonzero(begins)
     stops = np.zeros(len(data) + 1, bool)
     stops[1:] = inside
