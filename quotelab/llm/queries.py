@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quotelab.llm import debruijn, decontaminate, packing
+from quotelab.llm import debruijn, decontaminate, jaccard, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_winnowing_decontamination": decontaminate.op1_winnowing_decontamination,
         "op2_bounded_packing": packing.op2_bounded_packing,
+        "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
         "op4_debruijn_substring_dedup": debruijn.op4_debruijn_substring_dedup,
     }
 
@@ -20,5 +21,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_winnowing_decontamination": decontaminate.SQL,
+        "op3_ngram_jaccard_join": jaccard.SQL,
         "op4_debruijn_substring_dedup": debruijn.SQL,
     }
