@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quotelab.llm import debruijn, decontaminate, jaccard, packing
+from quotelab.llm import debruijn, decontaminate, jaccard, language, packing, quality, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_bounded_packing": packing.op2_bounded_packing,
         "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
         "op4_debruijn_substring_dedup": debruijn.op4_debruijn_substring_dedup,
+        "op5_fourier_quality": quality.op5_fourier_quality,
+        "op7_warc_round_trip": warc.op7_warc_round_trip,
+        "op9_kneser_ney_language": language.op9_kneser_ney_language,
     }
 
 
@@ -23,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_winnowing_decontamination": decontaminate.SQL,
         "op3_ngram_jaccard_join": jaccard.SQL,
         "op4_debruijn_substring_dedup": debruijn.SQL,
+        "op7_warc_round_trip": warc.SQL,
     }
