@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quotelab.llm import debruijn, decontaminate, jaccard, language, packing, quality, warc
+from quotelab.llm import debruijn, decontaminate, jaccard, language, maxent, packing, quality, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_fourier_quality": quality.op5_fourier_quality,
         "op7_warc_round_trip": warc.op7_warc_round_trip,
         "op9_kneser_ney_language": language.op9_kneser_ney_language,
+        "op10_maxent_scores": maxent.op10_maxent_scores,
     }
 
 
