@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quotelab.llm import debruijn, decontaminate, jaccard, language, maxent, packing, quality, warc
+from quotelab.llm import debruijn, decontaminate, jaccard, language, maxent, packing, quality, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
         "op4_debruijn_substring_dedup": debruijn.op4_debruijn_substring_dedup,
         "op5_fourier_quality": quality.op5_fourier_quality,
+        "op6_impact_top_k": topk.op6_impact_top_k,
         "op7_warc_round_trip": warc.op7_warc_round_trip,
         "op9_kneser_ney_language": language.op9_kneser_ney_language,
         "op10_maxent_scores": maxent.op10_maxent_scores,
@@ -27,5 +28,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_winnowing_decontamination": decontaminate.SQL,
         "op3_ngram_jaccard_join": jaccard.SQL,
         "op4_debruijn_substring_dedup": debruijn.SQL,
+        "op6_impact_top_k": topk.SQL,
         "op7_warc_round_trip": warc.SQL,
     }
