@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from quotelab.llm import debruijn, decontaminate, jaccard, language, maxent, packing, quality, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_winnowing_decontamination": decontaminate.op1_winnowing_decontamination,
         "op2_bounded_packing": packing.op2_bounded_packing,
         "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
