@@ -34,6 +34,8 @@ PERCENT = 80
 CELL_BITS = 18
 SLICES = 16
 FLUSH_BYTES = 32 << 20
+#: Column blocks in which surviving pairs are verified.
+BLOCKS = 2
 
 POSTING = np.dtype([("node", "<u8"), ("at", "<i4"), ("hash", "<u8"), ("size", "<i4")])
 
@@ -168,35 +170,59 @@ def postings(documents: DataFrame, counts: np.ndarray, k: int, percent: int) ->
 
 
 def packed_sets(documents: DataFrame, k: int) -> DataFrame:
+    """``doc, size`` and the set as ``BLOCKS`` packed ranges of its hashes, each ascending."""
+    edges = (np.arange(1, BLOCKS, dtype=U64) << U64(32)) // U64(BLOCKS) << U64(32)
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = numbers(batch, "doc_id")
             for start, stop, data, offsets in pieces(texts(batch)):
                 hashes, first = shingle_sets(data, offsets, k)
-                rows = [hashes[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[start:stop]), pa.array(rows, pa.binary())], names=["doc", "set"])
+                columns: list[list[bytes]] = [[] for _ in range(BLOCKS)]
+                for a, b in zip(first[:-1], first[1:], strict=True):
+                    for column, part in zip(columns, np.split(hashes[a:b], np.searchsorted(hashes[a:b], edges)), strict=True):
+                        column.append(part.tobytes())
+                packed = [pa.array(c, pa.binary()) for c in columns]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[start:stop]), pa.array(np.diff(first)), *packed],
+                    names=["doc", "size", *(f"block{i}" for i in range(BLOCKS))],
+                )
 
-    return documents.mapInArrow(of, "doc long, set binary")
+    return documents.mapInArrow(of, "doc long, size long, " + ", ".join(f"block{i} binary" for i in range(BLOCKS)))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` whose whole sets reach the threshold."""
+    """Pairs ``a, b`` whose whole sets reach the threshold; overlaps are added up block by block.
+
+    Each block of columns is a job of its own, so that only its part of the sets is in exchange files.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+            overlap = np.zeros(batch.num_rows, np.int64)
+            for i, (x, y) in enumerate(zip(batch.column(3), batch.column(4), strict=True)):
                 x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
                 if len(x) > len(y):
                     x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                linked[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(linked))
-
-    one = pairs.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("x")), "a")
-    both = one.join(sets.select(F.col("doc").alias("b"), F.col("set").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(of, "a long, b long")
+                if len(x):
+                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                    overlap[i] = (y[at] == x).sum()
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(overlap)], names=["a", "b", "sizes", "overlap"])
+
+    counted = []
+    for i in range(BLOCKS):
+        one = pairs.join(sets.select(F.col("doc").alias("a"), F.col("size").alias("p"), F.col(f"block{i}").alias("x")), "a")
+        heads = pairs.select("b").distinct()
+        other = sets.select(F.col("doc").alias("b"), F.col("size").alias("q"), F.col(f"block{i}").alias("y")).join(heads, "b", "left_semi")
+        both = one.join(other, "b").select("a", "b", (F.col("p") + F.col("q")).alias("sizes"), "x", "y")
+        # A repeated row has its set twice: the pair counts once.
+        rows = both.mapInArrow(of, "a long, b long, sizes long, overlap long").groupBy("a", "b").agg(F.max("sizes").alias("sizes"), F.max("overlap").alias("overlap"))
+        counted.append(written(rows, f"overlaps-{i}"))
+    total = counted[0]
+    for more in counted[1:]:
+        total = total.unionByName(more)
+    total = total.groupBy("a", "b").agg(F.max("sizes").alias("sizes"), F.sum("overlap").alias("overlap"))
+    return total.where(100 * F.col("overlap") >= percent * (F.col("sizes") - F.col("overlap"))).select("a", "b")
 
 
 def possible(one: str, other: str, percent: int) -> F.Column:
