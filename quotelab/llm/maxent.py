@@ -244,7 +244,10 @@ def train(documents: DataFrame, model: MaxEnt, rounds: int = ROUNDS) -> MaxEnt:
     return model
 
 
+#: What a text's words that are not frequent add to its sums.
+SUM = np.dtype([("row", "<i8"), ("n_known", "<i8"), ("base", "<f8")])
 SENT = "part int, payload binary, known boolean, row long, doc_id long, n_tokens long, n_known long, base double, context double"
+SCORED = "doc_id long, n_tokens long, n_known long, base double, context double"
 
 
 def scored(documents: DataFrame, counts: DataFrame, model: MaxEnt) -> DataFrame:
@@ -317,17 +320,33 @@ def scored(documents: DataFrame, counts: DataFrame, model: MaxEnt) -> DataFrame:
         if len(first):
             base = np.add.reduceat(use["n"] * np.log10(n + 0.5), first)
             known = np.add.reduceat(np.where(n > 0, use["n"], 0).astype(np.int64), first)
-            rows = use["row"][first]
-            for i in range(0, len(rows), 50_000):
-                j = slice(i, i + 50_000)
-                yield rows_of(len(rows[j]), row=rows[j], n_known=known[j], base=base[j])
+            sums = np.empty(len(first), SUM)
+            sums["row"], sums["n_known"], sums["base"] = use["row"][first], known, base
+            out = list(dealt(sums["row"] % parts, sums))
+            yield rows_of(len(out), part=[p for p, _ in out], payload=[b for _, b in out])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, sums = [], []
+        for batch in batches:
+            own.append(batch.filter(batch.column(1).is_null()).select(names[3:]))
+            sums += [unpacked(x, SUM) for x in batch.column(1) if x.is_valid]
+        rows = pa.Table.from_batches(own).sort_by("row").combine_chunks() if own else None
+        if rows is None or not rows.num_rows:
+            return
+        at, base, known = rows.column("row").to_numpy(), rows.column("base").to_numpy().copy(), rows.column("n_known").to_numpy().copy()
+        if sums:
+            all_ = np.concatenate(sums)
+            where = np.searchsorted(at, all_["row"])
+            base += np.bincount(where, all_["base"], len(at))
+            known += np.bincount(where, all_["n_known"], len(at)).astype(np.int64)
+        out = rows.select(["doc_id", "n_tokens"]).append_column("n_known", pa.array(known)).append_column("base", pa.array(base))
+        yield from out.append_column("context", rows.column("context")).to_batches(50_000)
 
     packed = documents.select("doc_id", "text").mapInArrow(send, SENT)
     empty = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in SENT.split(", ")[3:]]
     known = counts.select("part", "payload", F.lit(True).alias("known"), *empty)
     back = packed.unionByName(known).repartition(parts, "part").mapInArrow(answer, SENT)
-    sums = [F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("context").alias("context")]
-    return back.groupBy("row").agg(*sums)
+    return back.repartition(parts, "part").mapInArrow(add, SCORED)
 
 
 def language_model_scores(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
