@@ -30,12 +30,12 @@ def space_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return words_of(data, offsets, nonspace_bytes())
 
 
-def marked(spans: pa.Array, first: np.ndarray, start: int) -> np.ndarray:
+def marked(spans: pa.Array, first: np.ndarray, start: int, kind: np.dtype = SPANS) -> np.ndarray:
     """Which units of consecutive documents lie in a span; ``first``: where each document's units begin."""
     cover = np.zeros(first[-1] + 1, np.int64)
     for d in range(len(first) - 1):
         if spans[start + d].is_valid:
-            rows = np.frombuffer(spans[start + d].as_buffer(), SPANS)
+            rows = np.frombuffer(spans[start + d].as_buffer(), kind)
             np.add.at(cover, np.minimum(first[d] + rows["at"], first[d + 1]), 1)
             np.add.at(cover, np.minimum(first[d] + rows["at"] + rows["length"], first[d + 1]), -1)
     return np.cumsum(cover[:-1]) > 0

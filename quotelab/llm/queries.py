@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quotelab.llm import debruijn, decontaminate, jaccard, language, maxent, packing, quality, topk, warc
+from quotelab.llm import debruijn, decontaminate, jaccard, language, maxent, packing, quality, suffixes, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_fourier_quality": quality.op5_fourier_quality,
         "op6_impact_top_k": topk.op6_impact_top_k,
         "op7_warc_round_trip": warc.op7_warc_round_trip,
+        "op8_difference_cover_dedup": suffixes.op8_difference_cover_dedup,
         "op9_kneser_ney_language": language.op9_kneser_ney_language,
         "op10_maxent_scores": maxent.op10_maxent_scores,
     }
