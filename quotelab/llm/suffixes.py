@@ -26,8 +26,8 @@ from quotelab.llm.tokens import BYTE_VALUE, Words, documents_of, pieces, sliding
 
 U64 = np.uint64
 WIDTH = 50
-#: Ranges of minima for each shuffle partition of the session: each is sorted in one task's memory.
-SPLIT = 4
+#: For each shuffle partition of the session: tasks that sort, and ranges of minima, sorted one after another.
+TASKS, RANGES = 4, 64
 FLUSH_BYTES = 16 << 20
 RUN = np.dtype([("doc", "<i8"), ("at", "<i4"), ("length", "<i4")])
 SPAN = np.dtype([("at", "<i4"), ("length", "<i4")])
@@ -134,7 +134,7 @@ def gather(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
 def copied_runs(documents: DataFrame, anchors: DataFrame, width: int) -> DataFrame:
     """``doc_id, spans``: packed spans of bytes to remove."""
     parts = parts_of(documents.sparkSession)
-    fine = SPLIT * parts
+    ranges = RANGES * parts
     gram = width // 2
 
     def batch_of(rows: list[tuple[int, bool, bytes]]) -> pa.RecordBatch:
@@ -149,9 +149,9 @@ def copied_runs(documents: DataFrame, anchors: DataFrame, width: int) -> DataFra
         lowest = np.empty(len(rows), np.int64)
         lowest[order] = np.repeat(rows["doc"][order][at], np.diff(np.append(at, len(order)))[: len(at)])
         copy = rows["doc"] > lowest  # the whole piece is in an earlier document of this task
-        out = [(p, True, b) for p, b in dealt(rows["doc"][copy] % fine, rows[copy])]
+        out = [(p, True, b) for p, b in dealt(rows["doc"][copy] % parts, rows[copy])]
         mine = np.flatnonzero(~copy)
-        part = part_of(low[mine], fine)
+        part = part_of(low[mine], ranges)
         order = np.argsort(part, kind="stable")
         mine, part = mine[order], part[order]
         for a, b in spans_of(grouped(part), len(part)):
@@ -225,7 +225,7 @@ def copied_runs(documents: DataFrame, anchors: DataFrame, width: int) -> DataFra
                     held.setdefault(part.as_py(), []).append(payload)
         for part in sorted(held):
             rows = flagged(held.pop(part))
-            yield batch_of([(p, True, b) for p, b in dealt(rows["doc"] % fine, rows)])
+            yield batch_of([(p, True, b) for p, b in dealt(rows["doc"] % parts, rows)])
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [unpacked(x, RUN) for batch in batches for x in batch.column(2)]
@@ -239,7 +239,7 @@ def copied_runs(documents: DataFrame, anchors: DataFrame, width: int) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(rows["doc"][first[i : i + 20_000]]), pa.array(lists[i : i + 20_000], pa.binary())], names=["doc_id", "spans"])
 
     packed = documents.join(anchors, "doc_id").select("doc_id", "text", "anchors").mapInArrow(ask, PACKED)
-    found = packed.repartition(fine, "part").mapInArrow(answer, PACKED)
+    found = packed.repartition(TASKS * parts, "part").mapInArrow(answer, PACKED)
     return found.repartition(parts, "part").mapInArrow(collect, "doc_id long, spans binary")
 
 
