@@ -83,7 +83,7 @@ class Shard:
         if self.out is not None and self.size + len(record) > self.roll:
             yield self.close()
         if self.out is None:
-            self.out = self.system.open_output_stream(self._names()[0])
+            self.out = self.system.open_output_stream(self._names()[0], compression=None)
             self.size, self.records, self.sha, self.first = 0, 0, hashlib.sha256(), page
         self.out.write(record)
         self.sha.update(record)
@@ -172,7 +172,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 rows = []
-                with system.open_input_stream(f"{path}/{name}") as stream:
+                with system.open_input_stream(f"{path}/{name}", compression=None) as stream:
                     for headers, block in members(stream):
                         http, _, payload = block.partition(b"\r\n\r\n")
                         size = next(int(x.split(b": ")[1]) for x in http.split(b"\r\n") if x.startswith(b"Content-Length: "))
