@@ -30,11 +30,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = debruijn.substring_dedup(docs)
+    aside = {c: f"_given_{c}" for c in docs.columns if c in debruijn.RESULT}  # columns named like a result
+    cut = debruijn.substring_dedup(docs.withColumnsRenamed(aside))
     if "n_chars" in docs.columns:
         size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
         cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, size).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+    return cut.drop(*debruijn.RESULT).withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

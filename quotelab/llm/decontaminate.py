@@ -198,7 +198,9 @@ def op1_winnowing_decontamination(spark: SparkSession, folder: str) -> DataFrame
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with the columns that came in."""
-    return decontaminate(documents, benchmark).where("NOT contaminated").select(*documents.columns)
+    aside = {c: f"_given_{c}" for c in documents.columns if c in RESULT}  # columns named like a result
+    clean = decontaminate(documents.withColumnsRenamed(aside), benchmark).where("NOT contaminated")
+    return clean.drop(*RESULT).withColumnsRenamed({v: k for k, v in aside.items()}).select(*documents.columns)
 
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
