@@ -49,9 +49,11 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors see; taken from the session, set here only when missing."""
+    """Folder all executors see; taken from the session, a temporary one only on a local master without it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         application = spark.sparkContext.applicationId
         if application not in _FALLBACK:
             _FALLBACK[application] = tempfile.mkdtemp(prefix="quotelab-")

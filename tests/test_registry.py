@@ -1,10 +1,13 @@
 """Registered queries: every SQL has a query, names are unique, the flagship runs."""
 
 import __spark_entry__ as entry
+from oracles import all_statements
+from quotelab.plans import registry
 
 
 def test_every_statement_has_a_query():
-    queries, statements = entry.queries(), entry.oracle_sql()
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    queries, statements = registry.queries(), all_statements()
     assert set(statements) <= set(queries)
     without = set(queries) - set(statements)
     assert without == {
