@@ -35,7 +35,7 @@ CELL_BITS = 18
 SLICES = 16
 FLUSH_BYTES = 32 << 20
 #: Column blocks in which surviving pairs are verified.
-BLOCKS = 2
+BLOCKS = 4
 
 POSTING = np.dtype([("node", "<u8"), ("at", "<i4"), ("hash", "<u8"), ("size", "<i4")])
 
