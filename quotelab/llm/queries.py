@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quotelab.llm import debruijn, decontaminate, jaccard, language, maxent, packing, quality, suffixes, topk, warc
+from quotelab.llm import debruijn, decontaminate, jaccard, language, maxent, packing, quality, repair, suffixes, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_difference_cover_dedup": suffixes.op8_difference_cover_dedup,
         "op9_kneser_ney_language": language.op9_kneser_ney_language,
         "op10_maxent_scores": maxent.op10_maxent_scores,
+        "op11_conversation_repair": repair.op11_conversation_repair,
     }
 
 
@@ -33,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_debruijn_substring_dedup": debruijn.SQL,
         "op6_impact_top_k": topk.SQL,
         "op7_warc_round_trip": warc.SQL,
+        "op11_conversation_repair": repair.SQL,
     }
