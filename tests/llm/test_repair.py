@@ -182,7 +182,7 @@ def test_every_edit_sequence_of_small_shapes():
                     stack += [(STEP[state, x], at + 1, audit + "R", cost + more + 3) for x in "ua" if (state, x) in STEP]
         return best
 
-    rules = [("ua", "Ā"), ("bd", "ā"), ("ĀĀ", "Ă"), ("UA", "ă")]
+    rules = [("ua", "Ā"), ("bb", "ā"), ("ĀĀ", "Ă"), ("UA", "ă")]
     with_rules, without = repair.Evaluator(rules), repair.Evaluator([])
     for n in range(4):
         for shape in map("".join, itertools.product("suaxUAd", repeat=n)):
