@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quotelab.llm import debruijn, decontaminate, gnat, jaccard, language, maxent, packing, quality, repair, suffixes, topk, warc
+from quotelab.llm import debruijn, decontaminate, gnat, jaccard, language, maxent, packing, quality, repair, secret_scan, suffixes, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_kneser_ney_language": language.op9_kneser_ney_language,
         "op10_maxent_scores": maxent.op10_maxent_scores,
         "op11_conversation_repair": repair.op11_conversation_repair,
+        "op12_guess_cost_secrets": secret_scan.op12_guess_cost_secrets,
         "op13_gnat_hard_negatives": gnat.op13_gnat_hard_negatives,
     }
 
