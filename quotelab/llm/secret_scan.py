@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quotelab.llm.common import prepared, table, texts
+from quotelab.llm.common import prepared, table, texts, written
 
 # The base patterns in their order, with the least length of what counts.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -156,8 +156,15 @@ def dictionary(docs: DataFrame, words: int = WORDS) -> dict[str, int]:
                     yield out()
         yield out()
 
-    counted = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    best = counted.orderBy(F.desc("n"), "word").limit(words).collect()
+    counted = written(docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # Words by the eighth of a power of two of their count, to leave rare ones out before tasks report their best.
+    eighth = F.floor(F.log2("n") * 8)
+    enough, least = 0, 0
+    for r in counted.groupBy(eighth.alias("eighth")).count().orderBy(F.desc("eighth")).collect():
+        least, enough = r["eighth"], enough + r["count"]
+        if enough >= words:
+            break
+    best = counted.where(eighth >= least).orderBy(F.desc("n"), "word").limit(words).collect()
     return {r["word"]: rank for rank, r in enumerate(best, 1)}
 
 
