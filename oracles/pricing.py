@@ -153,12 +153,6 @@ chosen AS (
     'Validation humaine obligatoire pendant la phase pilote.') AS reason
   FROM ranked WHERE place = 1)"""
 
-_FLAT = """price_eur AS recommended_price_eur, satisfied AS all_constraints_satisfied,
-  signature_probability AS estimated_signature_probability, direct_margin_eur AS estimated_direct_margin_eur,
-  expected_direct_margin_eur AS estimated_expected_direct_margin_eur, gross_eur AS price_catalog_gross_eur,
-  direct_cost AS direct_cost_eur, catalogue_floor AS catalogue_floor_price_eur, reliable AS price_signal_reliable,
-  round_even(drop, 4) AS probability_drop_across_tested_range"""
-
 _REQUESTED = [
     ("PHOTOBOOTH", "product_photobooth", "stock_photo"),
     ("MIROIRBOOTH", "product_miroirbooth", "stock_miroir"),
@@ -210,33 +204,34 @@ fill AS (
     FROM candidates c JOIN signals s ON s.request_id = c.request_id
     WHERE c.signature_probability >= 0.6 AND c.direct_margin_eur >= 150
       AND (s.drop >= 0.05::DOUBLE OR c.price_eur <= c.gross_eur * 1.1::DOUBLE)) WHERE spot = 1)
-SELECT r.request_id, CASE WHEN gone THEN 'PRODUCT_UNAVAILABLE' ELSE 'OK' END AS recommendation_status,
+SELECT r.request_id, CASE WHEN gone THEN 'PRODUCT_UNAVAILABLE' ELSE e.price_status END AS recommendation_status,
   CAST(r.event_date AS VARCHAR) AS event_date,
-  CASE WHEN gone THEN NULL WHEN used THEN f.price_eur ELSE c.price_eur END AS recommended_price_eur,
-  CASE WHEN NOT gone THEN CAST(c.satisfied AS VARCHAR) END AS all_constraints_satisfied,
-  CASE WHEN gone THEN NULL WHEN used THEN f.signature_probability ELSE c.signature_probability END
+  CASE WHEN gone THEN NULL WHEN used THEN f.price_eur ELSE e.recommended_price_eur END AS recommended_price_eur,
+  CASE WHEN NOT gone THEN e.all_constraints_satisfied END AS all_constraints_satisfied,
+  CASE WHEN gone THEN NULL WHEN used THEN f.signature_probability ELSE e.estimated_signature_probability END
     AS estimated_signature_probability,
-  CASE WHEN gone THEN NULL WHEN used THEN f.direct_margin_eur ELSE c.direct_margin_eur END
+  CASE WHEN gone THEN NULL WHEN used THEN f.direct_margin_eur ELSE e.estimated_direct_margin_eur END
     AS estimated_direct_margin_eur,
-  CASE WHEN gone THEN NULL WHEN used THEN f.expected_direct_margin_eur ELSE c.expected_direct_margin_eur END
+  CASE WHEN gone THEN NULL WHEN used THEN f.expected_direct_margin_eur ELSE e.estimated_expected_direct_margin_eur END
     AS estimated_expected_direct_margin_eur,
-  CASE WHEN NOT gone THEN c.gross_eur END AS price_catalog_gross_eur,
-  CASE WHEN NOT gone THEN c.direct_cost END AS direct_cost_eur,
-  CASE WHEN NOT gone THEN c.catalogue_floor END AS catalogue_floor_price_eur,
-  CASE WHEN NOT gone THEN CAST(c.reliable AS VARCHAR) END AS price_signal_reliable,
-  CASE WHEN NOT gone THEN round_even(c.drop, 4) END AS probability_drop_across_tested_range,
+  CASE WHEN NOT gone THEN e.price_catalog_gross_eur END AS price_catalog_gross_eur,
+  CASE WHEN NOT gone THEN e.direct_cost_eur END AS direct_cost_eur,
+  CASE WHEN NOT gone THEN e.catalogue_floor_price_eur END AS catalogue_floor_price_eur,
+  CASE WHEN NOT gone THEN e.price_signal_reliable END AS price_signal_reliable,
+  CASE WHEN NOT gone THEN e.probability_drop_across_tested_range END AS probability_drop_across_tested_range,
   CASE WHEN gone THEN 'Au moins un produit demandé est indisponible à cette date. '
       || 'Proposer un produit disponible ou une autre date avant de calculer le prix.'
-    WHEN used THEN c.reason || ' Date vide ou prioritaire : le prix favorise la signature sans '
-      || 'descendre sous 150 € de marge directe.' ELSE c.reason END AS review_reason,
-  r.pricing_objective, r.pricing_objective = 'fill_date' AS fill_date_mode, r.availability_status
+    WHEN used THEN e.review_reason || ' Date vide ou prioritaire : le prix favorise la signature sans '
+      || 'descendre sous 150 € de marge directe.' ELSE e.review_reason END AS review_reason,
+  r.pricing_objective, r.pricing_objective = 'fill_date' AS fill_date_mode, r.availability_status,
+  CASE WHEN gone THEN 0 ELSE e.tested END AS tested
 FROM (SELECT q.request_id, q.event_date, s.pricing_objective, a.availability_status,
     coalesce(NOT a.requested_products_available, false) AS gone
   FROM requests q JOIN strategies s ON s.request_id = q.request_id JOIN available a ON a.request_id = q.request_id) r
-LEFT JOIN chosen c ON c.request_id = r.request_id
+JOIN every_request e ON e.request_id = r.request_id
 LEFT JOIN fill f ON f.request_id = r.request_id
-CROSS JOIN LATERAL (SELECT r.pricing_objective = 'fill_date' AND c.satisfied AND f.price_eur IS NOT NULL AS used) u
-WHERE r.gone OR c.request_id IS NOT NULL"""
+CROSS JOIN LATERAL (SELECT coalesce(r.pricing_objective = 'fill_date' AND e.all_constraints_satisfied = 'true'
+  AND f.price_eur IS NOT NULL, false) AS used) u"""
 
 _BOOKED = ["photobooth", "miroirbooth", "videobooth", "voguebooth", "ipadbooth"]
 _OWNED = {"photobooth": 6, "miroirbooth": 3, "videobooth": 3, "voguebooth": 2, "ipadbooth": 1}
@@ -262,20 +257,41 @@ SELECT q.request_event_id, bookings_on_date,
   {", ".join(f"CAST({_free(p)} AS INTEGER) AS free_{_CODES[p]}" for p in _BOOKED)}
 FROM quotes q JOIN booked k ON k.request_event_id = q.request_event_id"""
 
-_MESSAGES = """
-SELECT request_id, price_status,
-  CASE price_status WHEN 'MISSING_MANUAL_COST' THEN 'Coût direct manquant pour : ' || concat_ws(', ',
-      CASE WHEN product_ipadbooth > 0 THEN 'iPadBooth' END, CASE WHEN option_delivery > 0 THEN 'Livraison' END,
-      CASE WHEN option_duration_hours > 5 THEN 'Durée supérieure à 5 heures' END)
-      || '. Renseignez direct_cost_eur dans la demande ou complétez le catalogue.'
-    WHEN 'NO_PRICED_ITEM' THEN 'Aucune prestation tarifée détectée. Renseignez les product_*, catalogue_code '
-      || 'ou direct_cost_eur.'
-    WHEN 'UNKNOWN_CODE' THEN 'Code absent du catalogue : ' || failing_code
-    WHEN 'COST_MISSING' THEN 'Coût direct absent pour ' || failing_code
-      || '. Complétez le catalogue ou fournissez direct_cost_eur.'
-    WHEN 'GROSS_REQUIRED' THEN 'price_catalog_gross doit être renseigné.'
-    ELSE printf('Aucun prix finissant par 90 entre %.2f € et %.2f €.', minimum_price, maximum_price) END AS price_error
-FROM bounds WHERE price_status <> 'OK'"""
+MESSAGES = """
+messages AS (
+  SELECT request_id, price_status,
+    CASE price_status WHEN 'MISSING_MANUAL_COST' THEN 'Coût direct manquant pour : ' || concat_ws(', ',
+        CASE WHEN product_ipadbooth > 0 THEN 'iPadBooth' END, CASE WHEN option_delivery > 0 THEN 'Livraison' END,
+        CASE WHEN option_duration_hours > 5 THEN 'Durée supérieure à 5 heures' END)
+        || '. Renseignez direct_cost_eur dans la demande ou complétez le catalogue.'
+      WHEN 'NO_PRICED_ITEM' THEN 'Aucune prestation tarifée détectée. Renseignez les product_*, catalogue_code '
+        || 'ou direct_cost_eur.'
+      WHEN 'UNKNOWN_CODE' THEN 'Code absent du catalogue : ' || failing_code
+      WHEN 'COST_MISSING' THEN 'Coût direct absent pour ' || failing_code
+        || '. Complétez le catalogue ou fournissez direct_cost_eur.'
+      WHEN 'GROSS_REQUIRED' THEN 'price_catalog_gross doit être renseigné.'
+      ELSE printf('Aucun prix finissant par 90 entre %.2f € et %.2f €.', minimum_price, maximum_price) END AS price_error
+  FROM bounds WHERE price_status <> 'OK')"""
+
+EVERY_REQUEST = """
+every_request AS (
+  SELECT b.request_id, b.price_status, c.price_eur AS recommended_price_eur,
+    CAST(c.satisfied AS VARCHAR) AS all_constraints_satisfied, c.signature_probability AS estimated_signature_probability,
+    c.direct_margin_eur AS estimated_direct_margin_eur,
+    c.expected_direct_margin_eur AS estimated_expected_direct_margin_eur, b.gross_eur AS price_catalog_gross_eur,
+    b.direct_cost AS direct_cost_eur, b.catalogue_floor AS catalogue_floor_price_eur,
+    CAST(c.reliable AS VARCHAR) AS price_signal_reliable, round_even(c.drop, 4) AS probability_drop_across_tested_range,
+    coalesce(c.reason, m.price_error) AS review_reason, coalesce(c.tested, 0) AS tested
+  FROM bounds b LEFT JOIN chosen c ON c.request_id = b.request_id LEFT JOIN messages m ON m.request_id = b.request_id)"""
+
+DOCUMENTS = """
+SELECT request_id, request_month, request_weekday_iso, request_hour, request_daypart,
+  CAST(event_lead_time_days AS DOUBLE) AS event_lead_time_days, event_is_very_last_minute, event_is_last_minute,
+  event_is_long_lead, event_lead_time_bucket, round(prior_signature_rate, 6) AS prior_signature_rate,
+  round(prior_days_since_last_request, 6) AS prior_days_since_last_request,
+  CAST(product_count AS DOUBLE) AS product_count, product_is_multi, product_premium_count, product_bundle_signature,
+  option_quantity_total, request_total_items, event_request_completeness_score
+FROM requests WHERE request_id % 41 NOT IN (7, 8)"""
 
 
 def statements() -> dict[str, str]:
@@ -308,10 +324,17 @@ def statements() -> dict[str, str]:
             "expected_direct_margin_eur, meets_probability_floor FROM candidates",
             *laddered,
         ),
-        "recommendations": with_quotes(
-            f"SELECT request_id, {_FLAT}, reason AS review_reason, tested FROM chosen", *chosen
+        "recommendations": with_quotes("SELECT * FROM every_request", *chosen, MESSAGES, EVERY_REQUEST),
+        "request_features": with_quotes(DOCUMENTS, *base),
+        "request_recommendations": with_quotes(
+            "SELECT * FROM every_request WHERE request_id % 41 NOT IN (7, 8)", *chosen, MESSAGES, EVERY_REQUEST
+        ),
+        "request_rejects": with_quotes(
+            "SELECT request_id, CASE request_id % 41 WHEN 7 THEN 'BROKEN_JSON' ELSE 'NOT_AN_OBJECT' END AS reason "
+            "FROM requests WHERE request_id % 41 IN (7, 8)",
+            *base,
         ),
-        "rejected_requests": with_quotes(_MESSAGES, *bounded),
+        "rejected_requests": with_quotes("SELECT * FROM messages", *bounded, MESSAGES),
         "availability": with_quotes(
             "SELECT * REPLACE (CAST(requested_products_available AS VARCHAR) AS requested_products_available) "
             "FROM available",
@@ -323,6 +346,8 @@ def statements() -> dict[str, str]:
         "stock_recommendations": with_quotes(
             STOCK_CHOICE.split("SELECT r.request_id", 1)[1].join(["SELECT r.request_id", ""]),
             *chosen,
+            MESSAGES,
+            EVERY_REQUEST,
             AVAILABILITY,
             STRATEGY,
             STOCK_CHOICE.split("SELECT r.request_id", 1)[0],

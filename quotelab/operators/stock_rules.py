@@ -29,6 +29,7 @@ FILL_REVIEW = (
     "descendre sous {margin:.0f} € de marge directe."
 )
 UNPROVEN_CEILING = 1.10
+UNAVAILABLE = "PRODUCT_UNAVAILABLE"
 
 AVAILABILITY = [
     "availability_status",
@@ -146,9 +147,12 @@ def days_before_event(requests: DataFrame, as_of=None) -> Column:
                 F.col(name).isNotNull(), F.greatest(whole(number(requests, name)), F.lit(0))
             ).otherwise(given)
     event = _local_day(requests, "event_date")
-    written = [c for c in ("request_created_at_utc", "request_date") if c in requests.columns]
     today = F.current_date() if as_of is None else F.lit(as_of).cast("date")
-    start = F.coalesce(*[_local_day(requests, c) for c in written], today)
+    # The first date that is given counts, readable or not.
+    start = today
+    for name in ("request_date", "request_created_at_utc"):
+        is_given = F.coalesce(text(requests, name) != "", F.lit(False))
+        start = F.when(is_given, F.coalesce(_local_day(requests, name), today)).otherwise(start)
     return F.coalesce(given, F.when(event.isNotNull(), F.greatest(F.datediff(event, start), F.lit(0))))
 
 
@@ -236,9 +240,10 @@ def recommend_with_stock(
     model_name: str = "logistic_regression",
     price_model_name: str = "logistic_regression",
 ) -> DataFrame:
-    """Availability first, then the date strategy, then a price for what is available.
+    """Availability first, then the date strategy, then a price for what is available; one row per request.
 
-    Requests that cannot be served are split off before pricing and never scored.
+    ``recommendation_status`` is OK, PRODUCT_UNAVAILABLE, or why a request can't be priced.  Requests that
+    cannot be served get no candidates.
     """
     # Results get their own names: features keep reading the request columns as they were given.
     context = [*STRATEGY, *AVAILABILITY]
@@ -250,28 +255,26 @@ def recommend_with_stock(
         .drop("_entries")
     )
     missing = F.coalesce(~F.col("_requested_products_available"), F.lit(False))
-    restored = [F.col(f"_{c}").alias(c) for c in context]
-    unavailable = assessed.where(missing).select(
-        key,
-        F.lit("PRODUCT_UNAVAILABLE").alias("recommendation_status"),
-        F.col("_event_day").alias("event_date"),
-        *restored,
-        F.lit(True).alias("requires_human_review"),
-        F.lit(UNAVAILABLE_REVIEW).alias("review_reason"),
+    refused = {
+        "price_status": F.when(missing, UNAVAILABLE),
+        "price_error": F.when(missing, UNAVAILABLE_REVIEW),
+    }
+    carry = ["cost_details", "price_status", "price_error", "_event_day", *carried]
+    candidates = candidates_of(
+        assessed, catalogue, scorer, config, key, carry, as_of, every_request=True, refused=refused
     )
-    carry = ["cost_details", "_event_day", *carried]
-    candidates = candidates_of(assessed.where(~missing), catalogue, scorer, config, key, carry)
     chosen = choose(candidates, config, key, carry).withColumn(
         "fill_date_mode", F.col("_fill_date_mode")
     )
+    served = F.col("price_status") != UNAVAILABLE
     columns = recommendation_columns(config, model_name, price_model_name)
-    priced = apply_fill_date(chosen, config).select(
+    always = ("requires_human_review", "review_reason")
+    return apply_fill_date(chosen, config).select(
         key,
-        F.lit("OK").alias("recommendation_status"),
+        F.col("price_status").alias("recommendation_status"),
         F.col("_event_day").alias("event_date"),
-        *[column.alias(name) for name, column in columns.items()],
-        *restored,
-        "cost_details",
+        *[(c if name in always else F.when(served, c)).alias(name) for name, c in columns.items()],
+        *[F.col(f"_{c}").alias(c) for c in context],
+        F.when(served, F.col("cost_details")).alias("cost_details"),
         "tested_candidates",
     )
-    return priced.unionByName(unavailable, allowMissingColumns=True)

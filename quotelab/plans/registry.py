@@ -26,7 +26,8 @@ from quotelab.operators.evaluation import CREATED
 from quotelab.operators.training import Sizes
 from quotelab.plans import train
 from quotelab.plans.requests import STOCK, as_requests, fixed_scorer
-from quotelab.session import configure, materialize
+from quotelab.session import configure, materialize, work_path
+from quotelab.sources import files
 from quotelab.sources.star_schema import (
     AS_OF,
     crm_tables,
@@ -217,9 +218,14 @@ FLAT = [
 ]
 
 
+# Unset where a request has no price; as text, since engines differ in how they show a missing truth value.
+UNSET = ["all_constraints_satisfied", "price_signal_reliable"]
+
+
 def _recommendations(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
-    return ladder.recommend(requests, catalogue, fixed_scorer, CONFIG, KEY).select(
-        KEY, *FLAT, F.size("tested_candidates").cast("long").alias("tested")
+    priced = ladder.recommend(requests, catalogue, fixed_scorer, CONFIG, KEY, as_of=AS_OF)
+    return priced.withColumns({c: F.col(c).cast("string") for c in UNSET}).select(
+        KEY, "price_status", *FLAT, F.size("tested_candidates").cast("long").alias("tested")
     )
 
 
@@ -255,10 +261,9 @@ def _stock_recommendations(requests: DataFrame, catalogue: DataFrame) -> DataFra
     priced = stock_rules.recommend_with_stock(
         requests, catalogue, fixed_scorer, CONFIG, KEY, AS_OF
     )
-    unset = ["all_constraints_satisfied", "price_signal_reliable"]
-    return priced.withColumns({c: F.col(c).cast("string") for c in unset}).select(
+    return priced.withColumns({c: F.col(c).cast("string") for c in UNSET}).select(
         KEY, "recommendation_status", "event_date", *FLAT, "pricing_objective", "fill_date_mode",
-        "availability_status",
+        "availability_status", F.size("tested_candidates").cast("long").alias("tested"),
     )
 
 
@@ -275,8 +280,59 @@ def _stock_as_of(quotes: DataFrame) -> DataFrame:
     )
 
 
+DOCUMENT_FEATURES = [
+    "request_month", "request_weekday_iso", "request_hour", "request_daypart", "event_lead_time_days",
+    "event_is_very_last_minute", "event_is_last_minute", "event_is_long_lead", "event_lead_time_bucket",
+    "prior_signature_rate", "prior_days_since_last_request", "product_count", "product_is_multi",
+    "product_premium_count", "product_bundle_signature", "option_quantity_total", "request_total_items",
+    "event_request_completeness_score",
+]
+
+
+def _request_lines(spark: SparkSession, folder: str) -> str:
+    """The requests written as JSON lines, some without what can be derived, some broken."""
+
+    def make() -> str:
+        requests = _requests(spark, folder)
+        key = F.col(KEY)
+        derivable = {"event_lead_time_days": key % 2 == 0, "product_count": key % 3 == 0}
+        fields = [c for c in [*files.REQUEST_FIELDS, files.STOCK_FIELD] if c in requests.columns]
+        cells = [F.when(~derivable[c], F.col(c)).alias(c) if c in derivable else c for c in fields]
+        line = F.to_json(F.struct(*cells))
+        broken = F.when(key % 41 == 7, F.left(line, F.char_length(line) - 5)).when(key % 41 == 8, F.concat(F.lit("["), line, F.lit("]")))
+        path = work_path(spark, "request-lines")
+        requests.select(F.coalesce(broken, line).alias("value")).write.text(path)
+        return path
+
+    return _once(spark, "request-lines", folder, make)
+
+
+def _read_back(spark: SparkSession, folder: str) -> DataFrame:
+    read = files.read_requests(spark, _request_lines(spark, folder), lines=True)
+    return read.withColumn(KEY, F.col(KEY).cast("long"))
+
+
+def _request_features(spark: SparkSession, folder: str) -> DataFrame:
+    configure(spark)
+    prepared = features.prepare_features(_read_back(spark, folder), AS_OF, per_row=True)
+    return plain(_rounded(prepared.select(KEY, *DOCUMENT_FEATURES)))
+
+
+def _request_recommendations(spark: SparkSession, folder: str) -> DataFrame:
+    return plain(_rounded(_recommendations(_read_back(spark, folder), costing.default_catalogue(spark))))
+
+
+def _request_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    rejects = files.rejected_documents(spark, _request_lines(spark, folder), lines=True)
+    named = F.regexp_extract("document", r'"request_id":(\d+)', 1).cast("long")
+    return rejects.select(named.alias(KEY), "reason")
+
+
 def pricing_queries() -> dict[str, Query]:
     return {
+        "request_features": _request_features,
+        "request_recommendations": _request_recommendations,
+        "request_rejects": _request_rejects,
         "cost_items": _priced(_items),
         "direct_costs": _priced(_costs),
         "price_bounds": _priced(_bounds),

@@ -61,10 +61,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    application = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/quotelab-{application}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, cutting its lineage."""
-    application = df.sparkSession.sparkContext.applicationId
-    path = f"{shared_folder(df.sparkSession)}/quotelab-{application}/{name}-{uuid.uuid4().hex}"
+    path = work_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

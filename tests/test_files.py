@@ -5,7 +5,7 @@ import json
 import pytest
 
 from quotelab.config import Config, load_config
-from quotelab.operators import costing, ladder
+from quotelab.operators import costing, features, ladder
 from quotelab.sources import files
 
 
@@ -36,22 +36,59 @@ def test_overrides(spark, tmp_path):
     assert rows == {"k1": "new", "k2": "b"}
 
 
+SAMPLE = {
+    "request_created_at_utc": "2026-07-31T09:15:00Z", "request_source": "SITE INTERNET", "request_is_business": False,
+    "prior_last_request_at_utc": None, "event_date": "2027-06-19", "product_miroirbooth": 1, "product_videobooth": True,
+    "price_catalog_gross": 750, "direct_cost_eur": 370, "available_products": {"PHOTOBOOTH": 3, "MIROIRBOOTH": 3},
+}
+
+
 def test_requests_and_reports(spark, tmp_path):
     folder = tmp_path / "requests"
     folder.mkdir()
     request = {"price_catalog_gross": 750, "direct_cost_eur": "370", "available_products": {"PHOTOBOOTH": 3}}
-    (folder / "a.json").write_text(json.dumps(request, indent=2))
+    (folder / "a.json").write_text("\ufeff" + json.dumps(request, indent=2), encoding="utf-8")
     (folder / "b.json").write_text(json.dumps({"request_id": "b", "available_products": 5, "product_photobooth": 1}))
+    (folder / "c.json").write_text('{"price_catalog_gross": 750, ')
+    (folder / "d.json").write_text("[1, 2]")
     requests = files.read_requests(spark, str(folder))
     rows = {r.request_id.rsplit("/", 1)[-1]: r for r in requests.collect()}
+    assert set(rows) == {"a.json", "b"}
     assert rows["a.json"].available_products == {"PHOTOBOOTH": "3"} and rows["b"].available_products is None
     bounds = ladder.bounds_of(requests, costing.default_catalogue(spark), Config())
     assert {r.price_status for r in bounds.collect()} == {"OK"}
+    rejects = {r.source.rsplit("/", 1)[-1]: r.reason for r in files.rejected_documents(spark, str(folder)).collect()}
+    assert rejects == {"c.json": "BROKEN_JSON", "d.json": "NOT_AN_OBJECT"}
     files.write_report(bounds.select("request_id", "cost_details", "price_error"), str(tmp_path / "out"))
     lines = spark.read.text(str(tmp_path / "out")).collect()
     assert len(lines) == 2 and all("price_error" in json.loads(r[0]) for r in lines)
 
 
+def test_gaps_of_a_request_are_derived_per_row(spark, tmp_path):
+    given = {**SAMPLE, "request_id": "given", "event_lead_time_days": 5, "request_daypart": "SOIR"}
+    undated = {"request_id": "undated", "event_date": "2026-08-11", "event_is_weekend": 1}
+    texts = [json.dumps(SAMPLE), "", json.dumps(given), "{oops", json.dumps(undated), "3", "null"]
+    (tmp_path / "lines.json").write_text("\n".join(texts))
+    requests = files.read_requests(spark, str(tmp_path / "lines.json"), lines=True)
+    prepared = features.prepare_features(requests, as_of="2026-08-01", per_row=True).collect()
+    rows = {r.request_id.rsplit("/", 1)[-1].split("#")[0]: r for r in prepared}
+    sample = rows["lines.json"]
+    assert (sample.event_lead_time_days, sample.event_lead_time_bucket) == (323, "PLUS_180_JOURS")
+    assert (sample.request_is_business, sample.product_videobooth, sample.product_count) == (0, 1, 2)
+    assert sample.request_daypart == "MATIN" and sample.event_month == 6 and sample.prior_signature_rate == 0
+    assert (rows["given"].event_lead_time_days, rows["given"].event_lead_time_bucket) == (5, "0_7_JOURS")
+    assert rows["given"].request_daypart == "SOIR" and rows["given"].event_is_last_minute == 1
+    assert (rows["undated"].event_lead_time_days, rows["undated"].event_is_weekend) == (10, 1)
+    rejects = [(r.document, r.reason) for r in files.rejected_documents(spark, str(tmp_path / "lines.json"), lines=True).collect()]
+    assert sorted(rejects) == [("3", "NOT_AN_OBJECT"), ("null", "NOT_AN_OBJECT"), ("{oops", "BROKEN_JSON")]
+
+
+def test_unnamed_lines_get_different_names(spark, tmp_path):
+    (tmp_path / "lines.json").write_text("\n".join(['{"product_photobooth": 1}'] * 50))
+    names = [r.request_id for r in files.read_requests(spark, str(tmp_path / "lines.json"), lines=True).collect()]
+    assert len(set(names)) == 50
+
+
 def test_history_sink_drops_addresses(spark, tmp_path):
     df = spark.createDataFrame([(1, "rue", "a;b")], "request_event_id long, enrichment_event_address_raw string, c string")
     files.write_history(df, str(tmp_path / "h"))
