@@ -40,8 +40,24 @@ measured AS (SELECT AVG((p - y) * (p - y)) AS a, AVG((q - y) * (q - y)) AS b, AV
 """
 
 
+_CATEGORIES = [
+    "request_source", "request_daypart", "event_postal_code", "event_city", "event_venue_anonymous_key",
+    "event_lead_time_bucket", "product_bundle_signature",
+]
+COUNTED = "counted AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, coalesce({c}, 'INCONNU') AS value, COUNT(*) AS rows FROM features WHERE {TRAINABLE} GROUP BY 2"
+    for c in _CATEGORIES
+) + ")"
+SLOTS = """
+SELECT feature, value, rows, CAST(CASE WHEN rows >= 2
+  THEN row_number() OVER (PARTITION BY feature, rows >= 2 ORDER BY value) - 1
+  ELSE COUNT(*) FILTER (rows >= 2) OVER (PARTITION BY feature) END AS INTEGER) AS slot
+FROM counted"""
+
+
 def statements() -> dict[str, str]:
     return {
+        "category_slots": with_quotes(SLOTS, FEATURES, COUNTED),
         "trainable_rows": with_quotes(
             f"SELECT request_event_id, target_signed, price_proposed FROM quotes WHERE {TRAINABLE}"
         ),

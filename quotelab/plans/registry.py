@@ -510,8 +510,13 @@ def _pilot(quotes: DataFrame) -> DataFrame:
     return _rounded(evaluation.pilot_kpis(outcomes), 4)
 
 
-# Small models: the registered queries show the whole path, not the best fit.
-SMALL = Sizes(trees=10, depth=5, iterations=50, vocabulary=2_000, hashed=512)
+CATEGORIES = [
+    "request_source", "request_daypart", "event_postal_code", "event_city", "event_venue_anonymous_key",
+    "event_lead_time_bucket", "product_bundle_signature",
+]
+
+# A small forest: the registered queries show the whole path, not the best fit.  The linear model is full.
+SMALL = Sizes(trees=10, depth=5)
 
 
 def _validation(spark: SparkSession, folder: str):
@@ -527,7 +532,37 @@ def _training_report(spark: SparkSession, folder: str) -> DataFrame:
 def _importance(spark: SparkSession, folder: str) -> DataFrame:
     validation = _validation(spark, folder)
     model = validation.models["logistic_regression"]
-    return training.importance(model, validation.test, repeats=2, seed=CONFIG.random_seed)
+    return training.importance(model, validation.test, seed=CONFIG.random_seed)
+
+
+def _category_slots(quotes: DataFrame) -> DataFrame:
+    """The column that each value of the trainable rows gets."""
+    rows = features.prepare_features(evaluation.trainable_rows(quotes))
+    encoding = training.fit_encoding(rows, CATEGORIES)
+    return encoding.dictionary.select(
+        "feature", "value", F.col("counts")[0].alias("rows"), F.col("slots")[0].alias("slot")
+    )
+
+
+def _final_bundle(spark: SparkSession, folder: str) -> train.Bundle:
+    """The refitted bundle, saved and read back."""
+
+    def make() -> train.Bundle:
+        path = work_path(spark, "bundle")
+        train.final_bundle(_validation(spark, folder), CONFIG, SMALL).save(path)
+        return train.Bundle.load(spark, path)
+
+    return _once(spark, "bundle", folder, make)
+
+
+def _bundle_recommendations(spark: SparkSession, folder: str) -> DataFrame:
+    """Prices from the bundle that was refitted on all rows, written and reloaded."""
+    bundle = _final_bundle(spark, folder)
+    priced = ladder.recommend(
+        _requests(spark, folder), costing.default_catalogue(spark), bundle.price_scorer, CONFIG, KEY,
+        bundle.model_name, bundle.price_model_name, as_of=AS_OF,
+    )
+    return plain(priced.select(KEY, "price_status", "model_name", "price_model_name", *FLAT))
 
 
 def _model_recommendations(spark: SparkSession, folder: str) -> DataFrame:
@@ -556,6 +591,8 @@ def training_queries() -> dict[str, Query]:
         "training_report": _training_report,
         "feature_importance": _importance,
         "model_recommendations": _model_recommendations,
+        "category_slots": _on_quotes(_category_slots),
+        "bundle_recommendations": _bundle_recommendations,
     }
 
 

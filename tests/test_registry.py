@@ -12,7 +12,7 @@ def test_every_statement_has_a_query():
     without = set(queries) - set(statements)
     assert without == {
         "place_match", "matched_quotes", "page_text", "site_pages", "site_capacity", "training_report",
-        "feature_importance", "model_recommendations",
+        "feature_importance", "model_recommendations", "bundle_recommendations",
     }
 
 
