@@ -31,69 +31,55 @@ def with_prior_history(
 
     An earlier request counts when it was created strictly before this one; its signature counts
     when it was signed strictly before too, that is when max(created, signed) lies before.  Both
-    kinds of facts become points on one time line per client, equal instants are merged before the
-    shuffle, and running sums replace the quadratic self-join.  A client owning a large share of
-    all rows is cut in time blocks (see ``prefix``).
+    kinds of facts become points on one time line per client; the point of a request carries its
+    event, so running sums over the line give each event its history, without self-join or join
+    back.  A client owning a large share of all rows is cut in time blocks (see ``prefix``).  Events
+    without client or time have no history and are spread over lines of their own.
     """
-    requested = F.struct(
-        F.unix_micros(created).alias("at"), F.lit(1).alias("requests"), F.lit(0).alias("signatures")
+    row = F.struct(*[F.col(c) for c in events.columns])
+    placed = F.col(client).isNotNull() & F.col(created).isNotNull()
+    lines = events.select(
+        F.when(placed, F.col(client)).alias("_client"),
+        F.when(placed, F.lit(None)).otherwise(F.monotonically_increasing_id() % 4096).alias("_spread"),
+        F.unix_micros(created).alias("_at"),
+        F.unix_micros(F.when(placed & F.col(signed).isNotNull(), F.greatest(created, signed))).alias("_signed_at"),
+        row.alias("_event"),
+    )
+    kind = lines.schema["_event"].dataType
+    request = F.struct(
+        F.col("_at").alias("at"), F.lit(1).alias("requests"), F.lit(0).alias("signatures"), F.col("_event").alias("event")
     )
     signature = F.struct(
-        F.unix_micros(F.greatest(created, signed)).alias("at"),
-        F.lit(0).alias("requests"),
-        F.lit(1).alias("signatures"),
+        F.col("_signed_at").alias("at"), F.lit(0).alias("requests"), F.lit(1).alias("signatures"), F.lit(None).cast(kind).alias("event")
     )
-    facts = (
-        events.where(F.col(client).isNotNull() & F.col(created).isNotNull())
-        .select(
-            F.col(client).alias("_client"),
-            F.explode(
-                F.when(F.col(signed).isNotNull(), F.array(requested, signature)).otherwise(
-                    F.array(requested)
-                )
-            ).alias("fact"),
-        )
-        .select("_client", "fact.*")
+    facts = F.when(F.col("_signed_at").isNotNull(), F.array(request, signature)).otherwise(F.array(request))
+    points = lines.select("_client", "_spread", F.inline(facts)).withColumn(
+        "request_at", F.when(F.col("requests") > 0, F.col("at"))
     )
-    points = (
-        facts.groupBy("_client", "at")
-        .agg(F.sum("requests").alias("requests"), F.sum("signatures").alias("signatures"))
-        .withColumn("request_at", F.when(F.col("requests") > 0, F.col("at")))
+    before = prefix.running(
+        points,
+        ["_client", "_spread"],
+        "at",
+        sums={"requests_before": "requests", "signatures_before": "signatures"},
+        latest={"last_at": "request_at"},
+        blocks=prefix.block_count(events, target_rows),
+        ties=True,
+        target_rows=target_rows,
+    ).where("requests > 0")
+    known = F.col("_client").isNotNull()
+    return before.select(
+        "event.*",
+        F.when(known, F.col("requests_before")).otherwise(0).cast("long").alias("prior_request_count"),
+        F.when(known, F.col("signatures_before")).otherwise(0).cast("long").alias("prior_signed_count"),
+        F.when(known, F.timestamp_micros("last_at")).alias("prior_last_request_at"),
     )
-    cuts = prefix.cut_points(events.select(F.unix_micros(created).alias("at")), "at", target_rows)
-    before = (
-        prefix.running(
-            points,
-            ["_client"],
-            "at",
-            sums={"prior_request_count": "requests", "prior_signed_count": "signatures"},
-            latest={"last_at": "request_at"},
-            cuts=cuts,
-        )
-        .where(F.col("requests") > 0)
-        .select(
-            "_client",
-            F.timestamp_micros("at").alias("_at"),
-            "prior_request_count",
-            "prior_signed_count",
-            F.timestamp_micros("last_at").alias("prior_last_request_at"),
-        )
-    )
-    joined = events.join(
-        before, (F.col(client) == F.col("_client")) & (F.col(created) == F.col("_at")), "left"
-    )
-    zero = F.lit(0).cast("long")
-    return joined.withColumns(
-        {
-            "prior_request_count": F.coalesce("prior_request_count", zero),
-            "prior_signed_count": F.coalesce("prior_signed_count", zero),
-        }
-    ).drop("_client", "_at")
 
 
 def prior_history(events: DataFrame, **options) -> DataFrame:
     """One row per event id with its strictly-prior client history."""
-    return with_prior_history(events, **options).select(
+    names = {"client": "client_id", "created": "created_at", "signed": "signer_at"}
+    needed = ["id", *[options.get(k, v) for k, v in names.items()]]
+    return with_prior_history(events.select(*needed), **options).select(
         F.col("id").alias("event_id"),
         "prior_request_count",
         "prior_signed_count",
@@ -142,9 +128,6 @@ def stock_as_of(
             *[F.sum(c).alias(c) for c in PRODUCT_CODES],
         )
     )
-    cuts = prefix.cut_points(
-        quotes.select(F.unix_micros("request_created_at_utc").alias("at")), "at", target_rows
-    )
     booked = {c: f"booked_{c}" for c in PRODUCT_CODES}
     before = (
         prefix.running(
@@ -152,7 +135,8 @@ def stock_as_of(
             ["_date"],
             "at",
             sums={"bookings_on_date": "bookings"} | {b: c for c, b in booked.items()},
-            cuts=cuts,
+            blocks=prefix.block_count(quotes, target_rows),
+            target_rows=target_rows,
         )
         .where(F.col("asked") > 0)
         .select("_date", F.timestamp_micros("at").alias("_at"), "bookings_on_date", *booked.values())

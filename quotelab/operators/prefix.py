@@ -1,17 +1,16 @@
 """Exact ordered computations that never put a whole key, or the whole table, in one task.
 
-The order column is cut at sketch quantiles of the *whole* table.  A group (key, block) then holds
-at most about ``rows / blocks`` rows, however skewed the keys are, because one block of the order
-column holds no more than that.  Running sums are computed inside the groups and completed by a
-carry, which is cumulated over at most ``blocks`` totals per key.  The cut points only balance the
-work; results do not depend on them.
+A table that is larger than one block is range-sorted by keys and order into blocks of about
+``target_rows`` rows, however skewed the keys are.  Running sums are computed inside the blocks and
+completed by what came before, which is the running sum over the blocks' totals, at most two a block: the
+same computation on a much smaller table, in as many levels as it takes.  Blocks only balance the work; results do
+not depend on them, and nothing but counts reaches the driver.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,115 +18,111 @@ from pyspark.sql import functions as F
 from quotelab.session import materialize
 
 TARGET_ROWS = 1_000_000
-MAX_BLOCKS = 4096
 
 
-def cut_points(df: DataFrame, order: str, target_rows: int = TARGET_ROWS) -> list[float]:
-    """Ascending values of ``order`` that split the table in blocks of about ``target_rows``."""
-    rows = df.where(F.col(order).isNotNull()).count()
-    blocks = min(MAX_BLOCKS, math.ceil(rows / target_rows))
-    if blocks < 2:
-        return []
-    shares = [i / blocks for i in range(1, blocks)]
-    values = df.agg(
-        F.percentile_approx(F.col(order).cast("double"), shares, max(10_000, 4 * blocks))
-    ).first()[0]
-    return sorted(set(values))
-
-
-def with_block(df: DataFrame, order: str, cuts: list[float], name: str = "block") -> DataFrame:
-    if not cuts:
-        return df.withColumn(name, F.lit(0.0))
-    bucketizer = Bucketizer(
-        splits=[-math.inf, *cuts, math.inf], inputCol="_order", outputCol=name, handleInvalid="keep"
-    )
-    return bucketizer.transform(df.withColumn("_order", F.col(order).cast("double"))).drop("_order")
+def block_count(df: DataFrame, target_rows: int = TARGET_ROWS) -> int:
+    return max(1, math.ceil(df.count() / target_rows))
+
+
+def with_block(df: DataFrame, keys: list[str], order: list[str], blocks: int, name: str = "block") -> DataFrame:
+    """Number the block of every row in the order of keys and ``order``; equal rows share one.
+
+    The result is written, so that blocks stay what they are when a task runs again.
+    """
+    ranged = df.repartitionByRange(blocks, *keys, *order)
+    return materialize(ranged.withColumn(name, F.spark_partition_id()), "blocks")
 
 
 def running(
     points: DataFrame,
     keys: list[str],
-    order: str,
+    order: str | list[str],
     sums: dict[str, str],
     latest: dict[str, str] | None = None,
-    cuts: list[float] | None = None,
+    blocks: int = 1,
     inclusive: bool = False,
+    ties: bool = False,
+    target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """Add running sums and maxima over the rows of the same keys with a smaller ``order``.
 
-    ``points`` has one row per (keys, order).  ``sums`` and ``latest`` map new names to columns.
-    Sums of nothing are 0, maxima of nothing NULL.  ``inclusive`` counts the row itself too.
+    ``points`` has one row per (keys, order).  With ``ties`` it may have several, which don't count for one
+    another; ``order`` is then one long column.  ``sums`` and ``latest`` map new names to columns.  Sums
+    of nothing are 0, maxima of nothing NULL.  ``inclusive`` counts the row itself too.
     """
     latest = latest or {}
-    end = 0 if inclusive else -1
-    if not cuts:
-        inside = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, end)
+    orders = [order] if isinstance(order, str) else list(order)
+
+    def earlier(window: W) -> W:
+        if ties:
+            return window.orderBy(*orders).rangeBetween(W.unboundedPreceding, -1)
+        return window.orderBy(*orders).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+
+    if blocks < 2:
+        inside = earlier(W.partitionBy(*keys))
         return points.select(
             "*",
             *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(n) for n, c in sums.items()],
             *[F.max(c).over(inside).alias(n) for n, c in latest.items()],
         )
-    # Written once: the block totals and the sums inside the blocks both read it.
-    blocked = materialize(with_block(points, order, cuts), "blocks")
-    carry_names = {n: f"_carry_{n}" for n in [*sums, *latest]}
+    blocked = with_block(points, keys, orders, blocks)
     totals = blocked.groupBy(*keys, "block").agg(
-        *[F.sum(c).alias(n) for n, c in sums.items()], *[F.max(c).alias(n) for n, c in latest.items()]
+        *[F.sum(c).alias(f"_of_{n}") for n, c in sums.items()],
+        *[F.max(c).alias(f"_of_{n}") for n, c in latest.items()],
     )
-    earlier = W.partitionBy(*keys).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    carry = totals.select(
-        *keys,
-        "block",
-        *[F.sum(n).over(earlier).alias(carry_names[n]) for n in sums],
-        *[F.max(n).over(earlier).alias(carry_names[n]) for n in latest],
-    )
-    inside = W.partitionBy(*keys, "block").orderBy(order).rowsBetween(W.unboundedPreceding, end)
+    if keys:  # only the first and the last key of a block can go on in another one
+        key = F.struct(*keys)
+        edges = totals.groupBy("block").agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
+        at_edge = key.eqNullSafe(F.col("_first")) | key.eqNullSafe(F.col("_last"))
+        totals = totals.join(edges, "block").where(at_edge).drop("_first", "_last")
+    # The next level numbers blocks of its own.
+    totals = materialize(totals.withColumnRenamed("block", "_lower"), "totals")
+    carry = running(
+        totals,
+        keys,
+        "_lower",
+        {f"_carry_{n}": f"_of_{n}" for n in sums},
+        {f"_carry_{n}": f"_of_{n}" for n in latest},
+        blocks=block_count(totals, max(4, target_rows)),
+        target_rows=target_rows,
+    ).drop(*[f"_of_{n}" for n in [*sums, *latest]])
+    carry = carry.withColumnsRenamed({"_lower": "_key_block"} | {k: f"_key_{k}" for k in keys})
+    inside = earlier(W.partitionBy(*keys, "block"))
     local = blocked.select(
         "*",
         *[F.sum(c).over(inside).alias(f"_in_{n}") for n, c in sums.items()],
         *[F.max(c).over(inside).alias(f"_in_{n}") for n, c in latest.items()],
     )
-    zero = F.lit(0)
-    return local.join(carry, [*keys, "block"]).select(
+    same = F.col("block") == F.col("_key_block")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return local.join(carry, same, "left").select(
         *points.columns,
-        *[
-            (F.coalesce(f"_in_{n}", zero) + F.coalesce(carry_names[n], zero)).alias(n)
-            for n in sums
-        ],
-        *[F.greatest(f"_in_{n}", carry_names[n]).alias(n) for n in latest],
+        *[(F.coalesce(f"_in_{n}", F.lit(0)) + F.coalesce(f"_carry_{n}", F.lit(0))).alias(n) for n in sums],
+        *[F.greatest(f"_in_{n}", f"_carry_{n}").alias(n) for n in latest],
     )
 
 
 def kth_smallest(df: DataFrame, order: str, k: int, target_rows: int = TARGET_ROWS) -> tuple:
     """The k-th smallest value (1-based, repeats counted) and the number of rows below it.
 
-    One pass over ``df`` counts equal values; only block counts reach the driver, and the ordered
-    scan touches the one block that holds rank k.
+    One pass over ``df`` counts equal values; only the value found reaches the driver.
     """
     counted = df.where(F.col(order).isNotNull()).groupBy(order).agg(F.count("*").alias("n"))
     points = materialize(counted, "counts")
-    blocked = with_block(points, order, cut_points(points, order, target_rows))
-    totals = blocked.groupBy("block").agg(F.sum("n").alias("n")).orderBy("block")
-    below, wanted = 0, 0.0
-    for row in totals.collect():  # at most MAX_BLOCKS rows
-        wanted = row["block"]
-        if below + row["n"] >= k:
-            break
-        below += row["n"]
-    upto = W.partitionBy("block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    hit = (
-        blocked.where(F.col("block") == wanted)
-        .withColumn("upto", F.sum("n").over(upto))
-        .where(F.col("upto") >= k - below)
-        .orderBy(order)
-        .first()
-    )
-    return hit[order], below + hit["upto"] - hit["n"]
+    below = running(points, [], order, {"below": "n"}, blocks=block_count(points, target_rows), target_rows=target_rows)
+    hit = below.where((F.col("below") < k) & (F.col("below") + F.col("n") >= k)).first()
+    if hit is None:  # fewer than k rows: the largest value
+        n = F.sum("n")
+        last = points.agg(F.max(order).alias(order), F.max_by("n", order).alias("n"), n.alias("all")).first()
+        return last[order], last["all"] - last["n"]
+    return hit[order], hit["below"]
 
 
 def medians(df: DataFrame, columns: list[str], target_rows: int = TARGET_ROWS) -> dict[str, float]:
     """Exact interpolated medians of several numeric columns in one pass over the table.
 
-    Equal values are counted before the shuffle, and only blocks holding a middle rank are ordered.
+    Equal values are counted before the shuffle; a value is a middle one by the number of rows below it.
     """
     if not columns:
         return {}
@@ -136,62 +131,23 @@ def medians(df: DataFrame, columns: list[str], target_rows: int = TARGET_ROWS) -
         F.col("value").isNotNull() & ~F.isnan("value")
     )
     points = materialize(values.groupBy("feature", "value").agg(F.count("*").alias("n")), "counts")
-    blocks = min(MAX_BLOCKS, math.ceil(points.count() / target_rows))
-    if blocks > 1:
-        shares = [i / blocks for i in range(1, blocks)]
-        sketch = points.groupBy("feature").agg(
-            F.percentile_approx("value", shares, max(10_000, 4 * blocks)).alias("cuts")
-        )
-        # One row per column name of the table, so the broadcast cannot grow with the data.
-        points = points.join(F.broadcast(sketch), "feature").withColumn(
-            "block", F.size(F.filter("cuts", lambda c: c <= F.col("value")))
-        )
-    else:
-        points = points.withColumn("block", F.lit(0))
-    totals = points.groupBy("feature", "block").agg(F.sum("n").alias("block_rows"))
-    by_feature = W.partitionBy("feature")
-    earlier = by_feature.orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    placed = totals.select(
-        "feature",
-        "block",
-        "block_rows",
-        F.coalesce(F.sum("block_rows").over(earlier), F.lit(0)).alias("below"),
-        F.sum("block_rows").over(by_feature).alias("all_rows"),
-    )
+    below = running(points, ["feature"], "value", {"below": "n"}, blocks=block_count(points, target_rows), target_rows=target_rows)
+    # One row per column name of the table, so the broadcast cannot grow with the data.
+    totals = points.groupBy("feature").agg(F.sum("n").alias("all_rows"))
+    placed = below.join(F.broadcast(totals), "feature")
     low = F.expr("(all_rows + 1) div 2")
     high = F.expr("all_rows div 2 + 1")
-    middle = placed.where((F.col("below") < high) & (F.col("below") + F.col("block_rows") >= low))
-    inside = W.partitionBy("feature", "block").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    ranked = points.join(middle, ["feature", "block"]).withColumn(
-        "upto", F.col("below") + F.sum("n").over(inside)
-    )
-    first = F.col("upto") - F.col("n")
-    chosen = ranked.where((first < high) & (F.col("upto") >= low))
+    chosen = placed.where((F.col("below") < high) & (F.col("below") + F.col("n") >= low))
     found = chosen.groupBy("feature").agg(
         ((F.min("value") + F.max("value")) / 2).alias("median")
     ).collect()  # one row per column name
     return {row["feature"]: row["median"] for row in found}
 
 
-def spread_rank(df: DataFrame, key: str, hashed: Column, name: str, blocks: int = 1) -> DataFrame:
-    """1-based rank of every row in the order of a hash (ties by ``key``), without a global sort.
-
-    Hash values are uniform, so the blocks are equal shares of the hash range.
-    """
-    ordered = df.withColumn("_hash", hashed)
-    width = 2**63 // max(1, blocks) * 2 + 1
-    ordered = ordered.withColumn(
-        "_block", F.floor((F.col("_hash").cast("double") + F.lit(2.0**63)) / F.lit(float(width)))
-    )
-    counts = ordered.groupBy("_block").agg(F.count("*").alias("_n"))
-    earlier = W.partitionBy(F.lit(0)).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(
-        "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset")
-    )
-    inside = W.partitionBy("_block").orderBy("_hash", key)
-    return (
-        ordered.withColumn("_rank", F.row_number().over(inside))
-        .join(F.broadcast(offsets), "_block")  # one row per block, at most MAX_BLOCKS
-        .withColumn(name, F.col("_rank") + F.col("_offset"))
-        .drop("_hash", "_block", "_rank", "_offset")
-    )
+def spread_rank(
+    df: DataFrame, key: str, hashed: Column, name: str, blocks: int = 1, target_rows: int = TARGET_ROWS
+) -> DataFrame:
+    """1-based rank of every row in the order of a hash (ties by ``key``), without a global sort."""
+    ordered = df.withColumns({"_hash": hashed, "_one": F.lit(1).cast("long")})
+    ranked = running(ordered, [], ["_hash", key], {name: "_one"}, blocks=blocks, inclusive=True, target_rows=target_rows)
+    return ranked.drop("_hash", "_one")

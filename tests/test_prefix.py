@@ -35,7 +35,7 @@ def expected_history(rows):
     return out
 
 
-@pytest.mark.parametrize("target_rows", [1_000_000, 25])
+@pytest.mark.parametrize("target_rows", [1_000_000, 60])
 def test_history_is_strictly_prior(spark, target_rows):
     rows, events = random_events(spark)
     got = {
@@ -48,11 +48,33 @@ def test_history_is_strictly_prior(spark, target_rows):
 def test_hot_client_is_split_in_blocks(spark):
     rows, events = random_events(spark)
     micros = events.select("client_id", F.unix_micros("created_at").alias("at"))
-    cuts = prefix.cut_points(micros, "at", 25)
-    largest = (
-        prefix.with_block(micros, "at", cuts).groupBy("client_id", "block").count().agg(F.max("count"))
-    ).first()[0]
-    assert len(cuts) > 10 and largest <= 40 < sum(1 for r in rows if r[1] == 1)
+    blocked = prefix.with_block(micros, ["client_id"], ["at"], 16)
+    largest = blocked.groupBy("client_id", "block").count().agg(F.max("count")).first()[0]
+    assert blocked.select("block").distinct().count() > 10 and largest <= 60 < sum(1 for r in rows if r[1] == 1)
+
+
+def test_running_sums_over_three_levels(spark):
+    """More blocks than one level of totals holds: totals of blocks are summed in blocks again."""
+    rng = random.Random(11)
+    rows = [(rng.choice([None, 1, 1, 2]), at, rng.randrange(9), rng.randrange(100)) for at in rng.sample(range(5000), 300)]
+    points = spark.createDataFrame(rows, "k int, at long, n int, m int")
+    kept = [prefix.block_count(points, 8)]
+    real, seen = prefix.block_count, []
+
+    def counting(df, target_rows):
+        seen.append(real(df, target_rows))
+        return seen[-1]
+
+    prefix.block_count = counting
+    try:
+        got = prefix.running(points, ["k"], "at", {"before": "n"}, {"top": "m"}, blocks=kept[0], target_rows=8).collect()
+    finally:
+        prefix.block_count = real
+    assert kept[0] == 38 and len(seen) >= 2 and seen[0] > 1  # blocks, blocks of their totals, and on
+    for r in got:
+        earlier = [x for x in rows if x[0] == r.k and x[1] < r["at"]]
+        assert r.before == sum(x[2] for x in earlier) and r.top == max((x[3] for x in earlier), default=None)
+    assert len(got) == 300
 
 
 @pytest.mark.parametrize("target_rows", [1_000_000, 20])
