@@ -14,7 +14,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quotelab.functions.numbers import evaluated
-from quotelab.functions.words import PAGE_SCHEMA, normalize_text, read_pages, sequence_ratio
+from quotelab.functions.words import (
+    PAGE_SCHEMA,
+    largest_size,
+    normalize_text,
+    read_pages,
+    sequence_ratio,
+    stated_sizes,
+)
 from quotelab.session import bounded, left_join_spread, materialize
 
 # Place types, words and points of the venue scores.
@@ -65,7 +72,7 @@ def _tokens(text: Column) -> Column:
 def lookup_queries(quotes: DataFrame) -> DataFrame:
     """Distinct lookups (query_hash, query_norm): one per normalized address or name.
 
-    Raw texts are made distinct before Python normalizes them, so a venue asked for by a large share
+    Raw texts are made distinct before they are normalized, so a venue asked for by a large share
     of all quotes is normalized once.
     """
     query = F.trim(F.coalesce(F.col(QUERY), F.lit("")))
@@ -148,7 +155,14 @@ def venue_scores(places: DataFrame) -> DataFrame:
 
 def page_text(pages: DataFrame) -> DataFrame:
     """Text, links and stated capacities of every page, whole pages, one pass."""
-    return pages.select("url", "html").mapInPandas(read_pages, PAGE_SCHEMA)
+    read = pages.select("url", "html").mapInPandas(read_pages, PAGE_SCHEMA)
+    worded = evaluated(read, {"_words": normalize_text("text")})
+    sized = evaluated(worded, {"_sizes": stated_sizes(F.col("_words"))})
+    return sized.select(
+        *read.columns,
+        largest_size(F.col("_sizes"), True).alias("capacity_seated"),
+        largest_size(F.col("_sizes"), False).alias("capacity_cocktail"),
+    )
 
 
 def site_links(read: DataFrame, words: list[str] | None = None) -> DataFrame:
@@ -156,7 +170,7 @@ def site_links(read: DataFrame, words: list[str] | None = None) -> DataFrame:
     links = read.select(
         F.col("url").alias("from_url"), F.col("host").alias("own"), F.posexplode("links").alias("pos", "link")
     )
-    wanted = F.col("link.path").rlike("|".join(words or SITE_WORDS))
+    wanted = normalize_text(F.col("link.path")).rlike("|".join(words or SITE_WORDS))
     return links.where((F.col("own") == F.col("link.host")) & wanted).select(
         "from_url", "pos", "link.url"
     )

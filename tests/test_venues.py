@@ -1,6 +1,9 @@
 """Venue jobs on small fixtures, against the standard library where there is no SQL."""
 
 import difflib
+import re
+import sys
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,20 +29,37 @@ PLACE = (
         ("200 personnes pour un repas assis, max 350 places cocktail", (200, None)),
     ],
 )
-def test_stated_capacity(text, expected):
-    seated, standing = words.stated_capacity(text)
+def test_stated_capacity(spark, text, expected):
+    sizes = words.stated_sizes(words.normalize_text(F.lit(text)))
+    seated, standing = spark.range(1).select(words.largest_size(sizes, True), words.largest_size(sizes, False)).first()
     if text.startswith("200"):
         assert seated == 350  # both sizes stand within reach of the seated words
     else:
         assert (seated, standing) == expected
 
 
-def test_page_content_keeps_script_text_and_links():
-    text, links = words.page_content(
-        "<html><script>var a = 1;</script><p>Salle &amp;\n\n  jardin</p><a href='/x'>ici</a><a>non</a><a href=''>vide</a>"
+def test_page_parts_keep_script_text_and_links():
+    text, links = words.page_parts(
+        "<!DOCTYPE html><html><!-- <a href='no'> --><script>var a = '<b>';</script><p title='a > b'>Salle &amp;\n\n  jardin</p>"
+        "<a class=\"k\" href='/x?a=1&amp;b=2'>ici</a><a>non</a><a href=''>vide</a><abbr href='/no'>x</abbr>1 < 2<A HREF=/y>fin"
     )
-    assert text.split() == ["var", "a", "=", "1;", "Salle", "&", "jardin", "ici", "non", "vide"]
-    assert links == ["/x"]
+    assert text.split() == ["var", "a", "=", "'<b>';", "Salle", "&", "jardin", "ici", "non", "vide", "x", "1", "<", "2", "fin"]
+    assert links == ["/x?a=1&b=2", "/y"]
+    assert words.page_parts(None) == ("", []) and words.page_parts("<a href='x")[1] == []
+
+
+def plain_words(value):
+    """The definition of normalized text, character by character."""
+    bare = [c for c in unicodedata.normalize("NFKD", value) if not unicodedata.combining(c)]
+    return " ".join(re.findall("[a-z0-9]+", "".join(bare).lower()))
+
+
+def test_every_character_is_normalized_like_its_decomposition(spark):
+    texts = [f"x{chr(c)}Y" for c in range(1, sys.maxunicode + 1, 1) if not 0xD800 <= c < 0xE000 and unicodedata.name(chr(c), "")]
+    rows = [(t,) for t in texts if not t[1].isalnum() or unicodedata.normalize("NFKD", t) != t or ord(t[1]) < 0x2000]
+    got = spark.createDataFrame(rows, "t string").select("t", words.normalize_text("t").alias("w")).collect()
+    assert len(got) > 10_000
+    assert [r.t for r in got if r.w != plain_words(r.t)] == []
 
 
 def test_normalization_splits_ligatures_and_accents(spark):
@@ -83,11 +103,11 @@ def quotes_and_places(spark):
 def test_match_score_is_the_sequence_ratio_and_word_overlap(spark):
     quotes, places, keys = quotes_and_places(spark)
     assert keys["Domaine du Lac, 77100 Meaux"] == keys["DOMAINE du lac 77100 meaux"]
-    norm = {v: words.plain_words(k) for k, v in keys.items()}
+    norm = {v: plain_words(k) for k, v in keys.items()}
     scored = venues.match_score(venues.lookup_queries(quotes), places.where("status is null")).collect()
     assert len(scored) == 4
     for r in scored:
-        query, candidate = norm[r.query_hash], words.plain_words(f"{r.display_name} {r.formatted_address}")
+        query, candidate = norm[r.query_hash], plain_words(f"{r.display_name} {r.formatted_address}")
         ratio = difflib.SequenceMatcher(None, query, candidate).ratio()
         overlap = len(set(query.split()) & set(candidate.split())) / len(set(query.split()))
         assert r.confidence == pytest.approx(round(0.55 * ratio + 0.45 * overlap, 4), abs=1e-4)
