@@ -282,10 +282,14 @@ def jaccard_components(documents: DataFrame, k: int = SHINGLE, percent: int = PE
 
 
 def one_of_each(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows whose ``doc_id`` is the smallest of its group of near duplicates; all columns stay."""
+    """The rows whose ``doc_id`` is the smallest of its group of near duplicates; all columns stay.
+
+    Rows without an id can't be compared by it and all stay.
+    """
     groups = jaccard_components(documents, k, percent)
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return documents.join(kept, "doc_id", "left_semi").select(*documents.columns)
+    named = documents.join(kept, "doc_id", "left_semi").select(*documents.columns)
+    return named.unionByName(documents.where("doc_id is null"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:

@@ -12,6 +12,7 @@ worker and the rest is lookup.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -73,7 +74,9 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Strings that are one id wherever they stand, and part the text around them.
+        self.special = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.found = re.compile(b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or b"(?!)")
         self.remembered = remembered
         self.clear()
 
@@ -99,6 +102,31 @@ class ChunkTokenizer:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of consecutive texts, and where each text's ids begin (one entry more than texts)."""
+        raw = data.tobytes()
+        if not self.found.search(raw):
+            return self._encode(data, offsets)
+        # Texts are parted at special strings; the parts are encoded like texts and joined by their ids.
+        starts, stops, owner, special = [], [], [], []
+        for text, (start, stop) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            for hit in self.found.finditer(raw, start, stop):
+                starts.append(start)
+                stops.append(hit.start())
+                owner.append(text)
+                special.append(self.special[hit[0]])
+                start = hit.end()
+            starts.append(start)
+            stops.append(stop)
+            owner.append(text)
+            special.append(-1)
+        parts = b"".join(raw[a:b] for a, b in zip(starts, stops, strict=True))
+        sizes = np.array(stops) - np.array(starts)
+        ids, at = self._encode(np.frombuffer(parts, np.uint8), np.concatenate(([0], np.cumsum(sizes))).astype(offsets.dtype))
+        ends = np.flatnonzero(np.array(special) >= 0)
+        ids = np.insert(ids, at[ends + 1], np.array(special, np.int64)[ends].astype(np.uint32))
+        per_text = np.bincount(owner, np.diff(at) + (np.array(special) >= 0), len(offsets) - 1).astype(np.int64)
+        return ids, np.concatenate(([0], np.cumsum(per_text)))
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         words = token_units(data, offsets)
         distinct, at, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
         if len(self.keys) > self.remembered:

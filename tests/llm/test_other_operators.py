@@ -53,6 +53,22 @@ def test_packing_is_a_round_trip(spark, length, open_windows):
     assert len(sequences) <= math.ceil(total / length) + 3 * open_windows
 
 
+def test_special_strings_have_the_tokenizers_own_ids():
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    tokenizer, chunks = Tokenizer.from_file(path), packing.ChunkTokenizer(path)
+    texts = [
+        "plain", "<|endoftext|>", "a<|endoftext|>b", "", "x <|startoftext|><|endoftext|> é\u0301 y", "<|ENDOFTEXT|> <|endoftext|",
+        "don<|endoftext|>'t", "<|endoftext|>" * 3, "tail<|startoftext|>", "e<|endoftext|>\u0301", "<|endof", "text|> after",
+    ]
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+    ids, at = chunks.encode(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    for i, text in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_packing_nothing(spark):
     assert packing.pack(documents(spark, []), packing.tokenizer_path()).count() == 0
 

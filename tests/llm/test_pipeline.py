@@ -56,6 +56,13 @@ def test_every_stage(spark, hard):
         assert rows_of(docs) == sorted(map(tuple, want), key=repr), name
 
 
+def test_rows_without_an_id_stay(spark):
+    docs = documents(spark, [(None, "one two three four five six"), (1, "one two three four five six"), (2, "one two three four five six"), (None, None)])
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        docs = stage(spark, docs, SMALL)
+        assert sorted((r["doc_id"] for r in docs.collect()), key=str) == [1, None, None], name
+
+
 def test_run_reads_documents_and_returns_pieces(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.columns[:7] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 0
