@@ -69,6 +69,8 @@ def _split(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     A hash held by one document is sent once.  Of one that more hold, the two outer documents are
     sent, which tells the receiver that it is shared, and all holders are known here.
     """
+    if not len(rows):  # no text as long as a window
+        return rows, rows
     rows, at, run = _runs(rows)
     last = np.append(at[1:], len(rows)) - 1
     known = (rows["doc"][at] != rows["doc"][last])[run]
