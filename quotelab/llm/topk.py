@@ -1,13 +1,14 @@
 """Exact top-k inner-product search over an impact-ordered index, score at a time.
 
-Vectors become integer weights.  A block of the index holds, for each dimension and weight, the posting
-segment of vectors with that weight.  A query's impact on a segment is its own weight times the
-segment's; impacts are quantised into levels and segments are processed level by level, highest first,
-adding up scores.  After each level the rest of a vector's score is bounded by what its dimensions can
-still add; a vector whose bound lies below the k-th best exact score known so far can't enter.  When at
-most ``rescore`` vectors are left, or no level is, processing stops and those are rescored exactly.
-
-Blocks of the index meet blocks of the stated queries; each pair of blocks yields at most k rows a query.
+Vectors become integer weights.  A block of the index quantises each weight's impact to its power of two
+and keeps, for each level of impacts, the posting segments of its dimensions.  The segments are processed
+level by level, highest impact first, adding up scores for a group of queries at once.  After each level
+what a vector can still gain is bounded by the norm of its postings that were not processed; a vector
+whose bound lies below a score that ``k`` vectors surely reach can't enter.  A query stops as soon as at
+most ``rescore`` vectors are left, or no level is, and those are rescored exactly.
+
+The first block of the index, a sample dealt by hash, meets all stated queries first; the k-th score that
+each query finds there is proof against vectors of the other blocks.
 """
 
 from __future__ import annotations
@@ -19,146 +20,195 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quotelab.llm.common import grouped, prepared, spans_of, table, written
+from quotelab.llm.common import prepared, table, written
 
 SCALE = 64
 K = 20
-QUERY_BLOCK = 512
+QUERY_BLOCK = 4096
 INDEX_BLOCK = 8192
-#: Impact levels, as shares of the largest impact of the query on the block.
-LEVELS = (0.5, 0.25, 0.12, 0.05, 0.0)
-RESCORE = 64
+#: Weights that a block or a group holds at most on average, whatever the width of its vectors.
+BLOCK_VALUES = 1 << 21
+#: A level ends at the power of two below which at most this share of the block's squared weights is left.
+LEVELS = (0.25, 0.05, 0.005)
+RESCORE = 256
+#: Scores that one task holds at once.
+SCORES = 1 << 21
+LONGEST, SMALLEST = 2**63 - 1, -(2**63)
+#: Rounding of a sum of products against the product of the norms, and underflow.
+ROUNDING, UNDERFLOW = 2.0**-50, 1e-290
 
-VECTOR = "id long, width int, weights binary"
+VECTOR = "id long, weights array<double>"
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """``id, width, weights``: floor(scale * x) of each component as packed 32-bit integers.
+    """``id, weights``: floor(scale * x) of each component, whole numbers held as doubles.
 
-    Vectors that are null, empty, or hold null or non-finite components are left out.
+    Vectors that are null, empty, or hold components that are null or not finite, before or after they
+    are scaled, are left out.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, width, out = [], [], []
+            ids, out = [], []
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 values = x.values
                 if not x.is_valid or i is None or not len(values) or values.null_count:
                     continue
-                values = values.to_numpy().astype(float)
+                with np.errstate(over="ignore"):
+                    values = np.floor(scale * values.to_numpy().astype(float))
                 if np.isfinite(values).all():
                     ids.append(i)
-                    width.append(len(values))
-                    out.append(np.clip(np.floor(scale * values), -(2**31) + 1, 2**31 - 1).astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(width, pa.int32()), pa.array(out, pa.binary())], names=["id", "width", "weights"])
+                    out.append(values)
+            ends = np.cumsum([0, *map(len, out)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*out, np.zeros(0)])))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], names=["id", "weights"])
 
     return vectors.mapInArrow(of, VECTOR)
 
 
+def scaled_down(weights: np.ndarray) -> tuple[np.ndarray, int]:
+    """``weights`` divided by a power of two, so that none exceeds 1, and its exponent."""
+    exponent = int(np.frexp(np.abs(weights).max(initial=0.0))[1])
+    return np.ldexp(weights, -exponent), exponent
+
+
 class Block:
-    """Posting segments of some vectors: per dimension, vectors by descending weight."""
+    """Posting segments of some vectors of one width, by descending quantised impact."""
 
     def __init__(self, ids: np.ndarray, weights: np.ndarray) -> None:
         self.ids, self.weights = ids, weights
-        self.order = np.argsort(-weights, axis=0, kind="stable").astype(np.int32)
-        dims = weights.shape[1]
-        self.segments = []  # (dimension, weight, from, to) of each segment
-        for j in range(dims):
-            sorted_ = weights[self.order[:, j], j]
-            at = grouped(sorted_)
-            self.segments += [(j, int(sorted_[a]), a, b) for a, b in spans_of(at, len(sorted_))]
-        table_ = np.array(self.segments, np.int64)
-        self.dim, self.weight, self.start, self.stop = table_.T
-        self.flat = self.order.T.ravel()
-        self.low, self.high = weights.min(axis=0), weights.max(axis=0)
-
-    def search(self, query: np.ndarray, own: int, k: int, floor: int | None, rescore: int = RESCORE) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and exact scores of all vectors that can be among the ``k`` best; ``floor`` is a score
-        that ``k`` vectors of other blocks reach already."""
-        n, impact = len(self.ids), query[self.dim] * self.weight
-        ceiling = np.maximum(query * self.low, query * self.high)
-        top = max(int(impact.max()), 1)
-        score, left = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        left += int(ceiling.sum())  # what the unprocessed dimensions of a vector can add at most
-        alive = np.arange(n)
-        done = np.zeros(len(impact), bool)
-        for share in LEVELS:
-            now = (impact >= share * top) & ~done & (impact > 0)
+        self.most = float(np.abs(weights).max(initial=0.0))
+        small, self.exponent = scaled_down(weights)
+        impact = np.frexp(small)[1]  # the quantised impact: a power of two
+        energy = np.square(small)
+        lowest, highest = int(impact[small != 0].min(initial=0)), int(impact[small != 0].max(initial=0))
+        cuts, total = [], energy.sum()
+        if lowest > highest - 64:  # impacts further apart than doubles tell are one level
+            below = [energy[impact <= e].sum() for e in range(lowest, highest + 1)]
+            cuts = sorted({lowest + int(np.searchsorted(below, share * total, "right")) - 1 for share in LEVELS}, reverse=True)
+        rounding = weights.shape[1] * ROUNDING * np.sqrt(energy.sum(axis=1))
+        self.levels = []  # dimensions, their postings of the level, and the norm of a vector's postings below it
+        done = np.zeros(small.shape, bool)
+        for cut in [*(c for c in cuts if lowest <= c < highest), None]:
+            now = ~done if cut is None else (impact > cut) & ~done
             done |= now
-            count = self.stop[now] - self.start[now]
-            base = self.dim[now] * n + self.start[now]
-            total = int(count.sum())
-            take = self.flat[np.repeat(base - (np.cumsum(count) - count), count) + np.arange(total)]
-            score += np.bincount(take, np.repeat(impact[now], count), n).astype(np.int64)
-            # A processed dimension has given its exact part, an unprocessed one at most what is below the level.
-            left -= np.bincount(take, np.repeat(ceiling[self.dim[now]], count), n).astype(np.int64)
-            bound = score + left
-            if floor is not None:
-                alive = alive[bound[alive] >= floor]
-            if len(alive) > max(rescore, k):
-                best = alive[np.argpartition(-bound[alive], k)[: k + 1]]
-                exact = self.weights[best] @ query
-                exact = np.sort(exact[self.ids[best] != own])[::-1]
-                if len(exact) >= k:
-                    floor = int(exact[k - 1]) if floor is None else max(floor, int(exact[k - 1]))
-                    alive = alive[bound[alive] >= floor]
-            if len(alive) <= max(rescore, k):
-                break
-        alive = alive[self.ids[alive] != own]
-        exact = self.weights[alive] @ query
-        if len(alive) > k:
-            keep = np.lexsort((self.ids[alive], -exact))[:k]
-            alive, exact = alive[keep], exact[keep]
-        return alive, exact
+            dims = np.flatnonzero((now & (small != 0)).any(axis=0))
+            rest = np.sqrt(np.where(done, 0.0, energy).sum(axis=1)) * (1 + 2.0**-40) + rounding
+            self.levels.append((dims, np.where(now, small, 0.0)[:, dims], rest))
+
+    def exact(self, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Scores of some rows as longs; what doesn't fit is held at the ends of a long."""
+        weights = self.weights[rows]
+        if len(query) * self.most * float(np.abs(query).max(initial=0.0)) < 2**53:
+            return (weights @ query).astype(np.int64)
+        whole = [int(x) for x in query]
+        sums = (sum(int(a) * b for a, b in zip(row, whole, strict=True)) for row in weights)
+        return np.fromiter((min(max(s, SMALLEST), LONGEST) for s in sums), np.int64, len(rows))
+
+    def search(self, queries: np.ndarray, owns: np.ndarray, floors: list, k: int, rescore: int = RESCORE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each query its place, ids and exact scores of the at most ``k`` vectors here that can be among
+        its ``k`` best.  A query's own id is no candidate; its floor is a score that ``k`` vectors of another
+        block reach, or None."""
+        n = len(self.ids)
+        small, exponent = scaled_down(queries)
+        down = -(exponent + self.exponent)
+        norm = np.sqrt(np.square(small).sum(axis=1))
+        floor = np.array([-np.inf if f is None or f == SMALLEST else np.ldexp(float(f), down) for f in floors])
+        top, bottom = np.ldexp(float(LONGEST), down), np.ldexp(float(SMALLEST), down)
+        score = np.zeros((len(queries), n))
+        at = np.minimum(np.searchsorted(self.ids, owns), n - 1)
+        mine = np.flatnonzero(self.ids[at] == owns)
+        score[mine, at[mine]] = -np.inf
+        open_ = np.arange(len(queries))
+        for step, (dims, postings, rest) in enumerate(self.levels):
+            score += small[open_][:, dims] @ postings.T
+            gain = norm[open_, None] * rest + UNDERFLOW
+            if n >= k:
+                found = np.partition(score - gain, n - k, axis=1)[:, n - k]
+                found = np.minimum(found, top)  # beyond a long all scores tie
+                floor[open_] = np.maximum(floor[open_], np.where(found <= bottom, -np.inf, found))
+            least = floor[open_] - np.abs(floor[open_]) * ROUNDING
+            alive = score + gain >= np.where(np.isneginf(least) | np.isnan(least), -np.inf, least)[:, None]
+            closed = (alive.sum(axis=1) <= max(rescore, k)) | (step == len(self.levels) - 1)
+            for j in np.flatnonzero(closed).tolist():
+                q = int(open_[j])
+                rows = np.flatnonzero(alive[j])
+                rows = rows[self.ids[rows] != owns[q]]
+                exact = self.exact(queries[q], rows)
+                best = np.lexsort((self.ids[rows], ~exact))[:k]  # ~x falls as x rises, for every long
+                yield q, self.ids[rows[best]], exact[best]
+            score, open_ = score[~closed], open_[~closed]
+            if not len(open_):
+                return
+
+
+def _search(k: int):
+    def of(key: tuple, frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(list(frames)).combine_chunks()
+        out: list[list] = [[], [], []]
+        widths = np.array([len(x) for x in held.column("weights")])
+        for width in np.unique(widths):
+            some = held.filter(pa.array(widths == width))
+            ids, is_query = some.column("id").to_numpy(), some.column("query").to_numpy()
+            if is_query.all() or not is_query.any():
+                continue
+            weights = some.column("weights").combine_chunks().flatten().to_numpy().reshape(len(ids), int(width))
+            order = np.flatnonzero(~is_query)[np.argsort(ids[~is_query])]
+            block = Block(ids[order], weights[order])
+            asked = np.flatnonzero(is_query)
+            floors = some.column("floor").to_pylist()
+            step = max(1, SCORES // len(block.ids))
+            for a in range(0, len(asked), step):
+                rows = asked[a : a + step]
+                for q, found, score in block.search(weights[rows], ids[rows], [floors[r] for r in rows], k):
+                    out[0] += [int(ids[rows[q]])] * len(found)
+                    out[1] += found.tolist()
+                    out[2] += score.tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
+
+    return of
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE, query_block: int = QUERY_BLOCK, index_block: int = INDEX_BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each of ``queries`` the ``k`` best of ``vectors``.
 
     Both are ``(id, vector)`` frames; a query's own id is no candidate.  Ties go to the smaller id.
-    Repeated rows are one vector (the first by its weights); vectors of another width than the query's
-    are no candidates.  Unusable vectors take no part, neither as queries.
+    Rows that repeat an id are one vector (the smallest, component by component); vectors of another
+    width than the query's are no candidates.  Unusable vectors take no part, neither as queries; other
+    columns neither.  Scores are exact whatever the size of the weights; one that no long can hold is the
+    nearest long, and such scores tie.
     """
     prepared(vectors.sparkSession)
 
     def once(df: DataFrame) -> DataFrame:
-        return df.groupBy("id").agg(F.min(F.struct("width", "weights")).alias("x")).select("id", "x.*")
-
-    index = written(once(quantised(vectors, scale)), "vectors")
-    asked = written(once(quantised(queries, scale)), "queries")
-    n, m = index.count(), asked.count()
-    blocks, groups = max(1, -(-n // index_block)), max(1, -(-m // query_block))
-    place = F.xxhash64("id")
-    index = index.withColumn("block", F.pmod(place, F.lit(blocks)).cast("int"))
-    asked = asked.withColumn("group", F.pmod(place, F.lit(groups)).cast("int"))
-    # Each block of the index meets each block of the stated queries once.
-    left = index.select("block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(False).alias("query"), "id", "width", "weights")
-    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "group", F.lit(True).alias("query"), "id", "width", "weights")
-    both = left.unionByName(right)
-
-    def search(key: tuple, frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches(list(frames))
-        out: list[list] = [[], [], []]
-        widths = held.column("width").to_numpy()
-        for width in np.unique(widths):
-            some = held.filter(pa.array(widths == width))
-            ids, is_query = some.column("id").to_numpy(), some.column("query").to_numpy()
-            weights = np.frombuffer(b"".join(some.column("weights").to_pylist()), "<i4").reshape(len(ids), int(width)).astype(np.int64)
-            if is_query.all() or not is_query.any():
-                continue
-            order = np.argsort(ids[~is_query])
-            block = Block(ids[~is_query][order], weights[~is_query][order])
-            for own, query in zip(ids[is_query].tolist(), weights[is_query], strict=True):
-                at, score = block.search(query, own, k, None)
-                out[0] += [own] * len(at)
-                out[1] += block.ids[at].tolist()
-                out[2] += score.tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
-
-    found = both.groupBy("block", "group").applyInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+        return quantised(df.select("id", "vector"), scale).groupBy("id").agg(F.min("weights").alias("weights"))
+
+    def dealt(df: DataFrame, rows: int) -> tuple[DataFrame, int]:
+        n, values = df.agg(F.count("*"), F.coalesce(F.sum(F.size("weights")), F.lit(0))).first()
+        places = max(1, -(-n // rows), -(-values // BLOCK_VALUES))
+        return df.withColumn("place", F.pmod(F.xxhash64("id"), F.lit(places)).cast("int")), places
+
+    index, blocks = dealt(written(once(vectors), "vectors"), index_block)
+    asked, groups = dealt(written(once(queries), "queries"), query_block)
+
+    def met(from_: int, to: int, asked: DataFrame) -> DataFrame:
+        """Blocks ``from_`` to ``to`` of the index meet each group of the stated queries once."""
+        some = index.where(F.col("place").between(from_, to))
+        all_groups, all_blocks = (F.explode(F.sequence(F.lit(a), F.lit(b))) for a, b in ((0, groups - 1), (from_, to)))
+        left = some.select(F.col("place").alias("block"), all_groups.alias("group"), F.lit(False).alias("query"), "id", "weights", F.lit(None).cast("long").alias("floor"))
+        right = asked.select(all_blocks.alias("block"), F.col("place").alias("group"), F.lit(True).alias("query"), "id", "weights", "floor")
+        return left.unionByName(right).groupBy("block", "group").applyInArrow(_search(k), "query_id long, vec_id long, score long")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    found = met(0, 0, asked.withColumn("floor", F.lit(None).cast("long")))
+    if blocks > 1:
+        found = written(ranked(found), "first-block")
+        floors = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+        found = found.drop("rank").unionByName(met(1, blocks - 1, asked.join(floors, "id", "left")))
+    return ranked(found)
 
 
 def op6_impact_top_k(spark: SparkSession, folder: str) -> DataFrame:

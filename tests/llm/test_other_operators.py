@@ -103,6 +103,26 @@ def test_search_with_ties_repeats_and_unusable_vectors(spark):
     assert topk.top_k(given.limit(0), given.limit(0)).count() == 0
 
 
+def test_search_of_large_weights(spark):
+    """Scores are exact far beyond what doubles tell apart; beyond a long they are held at its ends and tie."""
+    random = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in random.normal(size=8)]) for i in range(120)]
+    rows += [(i, [float(x) for x in np.round(random.normal(size=8) * 3e7)]) for i in range(120, 300)]
+    rows += [(300, [1e8, *[0.0] * 7]), (301, [1e8 + 1, *[0.0] * 7]), (320, [1e8, 1.0, *[0.0] * 6]), (340, [0.0] * 8)]
+    rows += [(i, [1e200 * (i - 380.5), *[1.0] * 7]) for i in range(360, 400)]
+    rows += [(400, [1e307] * 8), (420, [1e308] * 8)]
+    given = spark.createDataFrame(rows, "id long, vector array<double>")
+    weights = {i: [math.floor(64 * x) for x in v] for i, v in rows if math.isfinite(64 * max(v))}
+    expected = []
+    for q in (i for i in weights if i % 20 == 0):
+        scores = {i: sum(a * b for a, b in zip(weights[q], w, strict=True)) for i, w in weights.items() if i != q}
+        held = sorted((-min(max(s, -(2**63)), 2**63 - 1), i) for i, s in scores.items())
+        expected += [(q, n, i, -s) for n, (s, i) in enumerate(held[:20], 1)]
+    for blocks in ({}, {"query_block": 7, "index_block": 60}):
+        out = topk.top_k(given, given.where("id % 20 = 0"), 20, **blocks)
+        assert sorted_rows(out, "query_id", "rank", "vec_id", "score") == sorted(expected, key=repr)
+
+
 def test_search_of_the_small_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").select("vec_id", "embedding").collect()]
     out = sorted_rows(topk.op6_impact_top_k(spark, SMALL), "query_id", "rank", "vec_id", "score")
