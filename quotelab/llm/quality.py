@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quotelab.llm import isotonic
 from quotelab.llm.common import prepared, table, texts, written
@@ -168,20 +169,20 @@ def train(described_rows: DataFrame, labels: DataFrame, seed: int = SEED) -> Mod
     a, b, n = normal_equations(fitted, features)
     weights = np.linalg.solve(a + RIDGE * max(n, 1) / FOURIER * np.eye(len(b)), b)
     model = Model(features, weights, isotonic.Isotonic(np.zeros(0), np.zeros(0), -0.5, 1.5))
-    calibration = scored(rows.where("fold = 1").withColumn("doc_id", F.col("y").cast("long")), model)  # y rides along
-    model.calibrated = isotonic.fit(calibration.select("raw", F.col("doc_id").alias("y")), "raw", "y", -0.5, 1.5)
+    model.calibrated = isotonic.fit(scored(rows.where("fold = 1"), model, "y").select("raw", "y"), "raw", "y", -0.5, 1.5)
     return model
 
 
-def scored(rows: DataFrame, model: Model) -> DataFrame:
+def scored(rows: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
+    """``raw`` and calibrated ``score`` of each row's statistics, beside its ``key``."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = shared.value.raw(_matrix(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw), pa.array(shared.value.calibrated(raw))], names=["doc_id", "raw", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw), pa.array(shared.value.calibrated(raw))], names=[key, "raw", "score"])
 
-    return rows.select("doc_id", "x").mapInArrow(of, "doc_id long, raw double, score double")
+    return rows.select(key, "x").mapInArrow(of, T.StructType([rows.schema[key], *T._parse_datatype_string("raw double, score double")]))
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -189,18 +190,33 @@ def quality_scores(documents: DataFrame, labels: DataFrame, threshold: float = T
 
     Learnt from labelled rows whose crc32 of ``doc_id`` (as text) leaves a remainder by 5; repeated
     labels count repeatedly, null ones not at all.  Without any labels every score is 0.5.  Null texts
-    are scored as empty ones.  Only the text enters a score.
+    are scored as empty ones.  Only the text enters a score.  Rows without an id are not held out, and
+    are not learnt from either.
     """
     prepared(documents.sparkSession)
     rows = written(described(documents), "statistics")
     out = scored(rows, train(rows, labels))
-    return out.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def good_documents(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows whose document is predicted to be of quality 1; all columns stay."""
-    bad = quality_scores(documents, labels, threshold).where("predicted = 0").select("doc_id").distinct()
-    return documents.join(bad, "doc_id", "left_anti").select(*documents.columns)
+    """The rows whose text is predicted to be of quality 1; all columns stay, whatever their names.
+
+    Each row is judged by its own text in the same map that passes it on: no document is shuffled, and
+    null or repeated ids are nothing special.
+    """
+    prepared(documents.sparkSession)
+    model = train(written(described(documents), "statistics"), labels)
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(at).cast(pa.string())
+            good = [shared.value.calibrated(shared.value.raw(statistics(data, offsets))) >= threshold for _, _, data, offsets in pieces(column.fill_null(""))]
+            yield batch.filter(pa.array(np.concatenate([*good, np.zeros(0, bool)])))
+
+    at = [c.lower() for c in documents.columns].index("text")
+    return documents.mapInArrow(of, documents.schema)
 
 
 def op5_fourier_quality(spark: SparkSession, folder: str) -> DataFrame:
