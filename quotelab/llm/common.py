@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def not_named(columns: Iterable[str], names: Iterable[str]) -> list[str]:
+    """The columns that have none of the names, in any case."""
+    taken = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in taken]
+
+
+def set_aside(documents: DataFrame, names: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``documents`` with columns called like one of ``names``, in any case, under unused names, and the
+    way back from these."""
+    taken, moved = {c.lower() for c in (*documents.columns, *names)}, {}
+    for c in set(documents.columns) - set(not_named(documents.columns, names)):
+        new = f"given_{c}"
+        while new.lower() in taken:
+            new = f"_{new}"
+        taken.add(new.lower())
+        moved[c] = new
+    return documents.withColumnsRenamed(moved), {new: c for c, new in moved.items()}
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     """The string column with nulls as empty texts."""
     column = batch.column(batch.schema.get_field_index(name))

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quotelab.llm.common import prepared, table, texts
-from quotelab.llm.first_copy import SPANS, Words, all_spans
+from quotelab.llm.common import not_named, numbers, prepared, set_aside, table, texts
+from quotelab.llm.first_copy import SPANS, Words, all_spans, with_bases
 from quotelab.llm.tokens import nonspace_bytes, pieces, words_of
 
 WINDOW = 50
@@ -30,14 +30,16 @@ def space_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return words_of(data, offsets, nonspace_bytes())
 
 
-def marked(spans: pa.Array, first: np.ndarray, start: int, kind: np.dtype = SPANS) -> np.ndarray:
-    """Which units of consecutive documents lie in a span; ``first``: where each document's units begin."""
+def marked(spans: pa.Array, first: np.ndarray, start: int, bases: np.ndarray, kind: np.dtype = SPANS) -> np.ndarray:
+    """Which units of consecutive texts lie in a span; ``first``: where each text's units begin, ``bases``:
+    where its coordinates do."""
     cover = np.zeros(first[-1] + 1, np.int64)
     for d in range(len(first) - 1):
         if spans[start + d].is_valid:
             rows = np.frombuffer(spans[start + d].as_buffer(), kind)
-            np.add.at(cover, np.minimum(first[d] + rows["at"], first[d + 1]), 1)
-            np.add.at(cover, np.minimum(first[d] + rows["at"] + rows["length"], first[d + 1]), -1)
+            begin = first[d] - int(bases[start + d]) + rows["at"].astype(np.int64)
+            np.add.at(cover, np.clip(begin, first[d], first[d + 1]), 1)
+            np.add.at(cover, np.clip(begin + rows["length"], first[d], first[d + 1]), -1)
     return np.cumsum(cover[:-1]) > 0
 
 
@@ -68,45 +70,55 @@ def substring_dedup(documents: DataFrame, window: int = WINDOW, keep_text: bool
     Added: ``n_words``, ``n_removed``, ``kept_sha256`` (of the kept words joined by one space) and, with
     ``keep_text``, ``text`` as it remains: unchanged when nothing is removed, else the kept words joined
     by one space.  Null texts have no words and stay null.  Rows without ``doc_id`` are judged against
-    nothing.  Rows that repeat an id are one document; the span coordinates of an id that has several
-    different texts are those of all of them.  Columns named like a result are replaced.
+    nothing.  Rows that repeat an id belong to one document, and each is cut by its own text.  Columns
+    named like a result, in any case, are replaced; others may have any name.
     """
     prepared(documents.sparkSession)
-    names = [c for c in documents.columns if c not in RESULT and (keep_text or c != "text")]
-    given = documents.withColumn("_text", F.col("text").cast("string")).select(*names, "_text")
-    own = given.where("doc_id IS NOT NULL").select("doc_id", F.col("_text").alias("text"))
+    names = [c for c in not_named(documents.columns, RESULT) if keep_text or c != "text"]
+    given = F.struct(*(F.col(f"`{c}`") for c in names if c != "text")).alias("given")
+    rows = with_bases(documents.select("doc_id", F.col("text").cast("string"), given), "words")
+    own = rows.where("doc_id IS NOT NULL").select("doc_id", "text", "base")
     spans = all_spans(own, space_words, window, "words")
     schema = T.StructType(
         [*(T.StructField(c, T.StringType()) if c == "text" else documents.schema[c] for c in names),
          *(T.StructField(k, T._parse_datatype_string(v)) for k, v in RESULT.items())]
     )
-    return given.join(spans, "doc_id", "left").select(*names, "_text", "spans").mapInArrow(_removed(names), schema)
+    return rows.join(spans, "doc_id", "left").select("text", "base", "given", "spans").mapInArrow(_removed(names), schema)
 
 
 def _removed(names: list[str]):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fields = batch.schema.names
-            spans = batch.column(fields.index("spans"))
-            for start, stop, data, offsets in pieces(texts(batch, "_text")):
+            old, bases, spans = batch.column(0), numbers(batch, "base"), batch.column(3)
+            for start, stop, data, offsets in pieces(texts(batch)):
                 words = space_words(data, offsets)
-                removed = marked(spans, words.first, start)
+                removed = marked(spans, words.first, start, bases)
                 kept, bounds = kept_words(words, removed)
                 gone = np.diff(np.concatenate(([0], np.cumsum(removed)))[words.first])
                 raw = memoryview(kept)
                 digests = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                part = batch.slice(start, stop - start)
-                columns = {c: part.column(fields.index(c)) for c in names}
+                columns = iter(batch.column(2).slice(start, stop - start).flatten())
                 if "text" in names:
-                    old = part.column(fields.index("_text"))
-                    new = pa.array([kept[a:b].tobytes().decode() if n else None for a, b, n in zip(bounds[:-1], bounds[1:], gone, strict=True)], pa.string())
-                    columns["text"] = pa.array([y if n else x for x, y, n in zip(old.to_pylist(), new.to_pylist(), gone, strict=True)], pa.string())
+                    new = [kept[a:b].tobytes().decode() if n else None for a, b, n in zip(bounds[:-1], bounds[1:], gone, strict=True)]
+                    text = pa.array([y if n else x for x, y, n in zip(old.slice(start, stop - start).to_pylist(), new, gone, strict=True)], pa.string())
+                held = [text if c == "text" else next(columns) for c in names]
                 results = [pa.array(np.diff(words.first)), pa.array(gone), pa.array(digests, pa.string())]
-                yield pa.RecordBatch.from_arrays([*columns.values(), *results], names=[*names, *RESULT])
+                yield pa.RecordBatch.from_arrays([*held, *results], names=[*names, *RESULT])
 
     return of
 
 
+def without_repeats(documents: DataFrame) -> DataFrame:
+    """``documents`` with the columns that came in, their texts without the words that ``substring_dedup``
+    removes; ``n_chars``, if there, is brought up to date where words went."""
+    moved, back = set_aside(documents, RESULT)
+    cut = substring_dedup(moved)
+    if "n_chars" in documents.columns:
+        size = F.char_length("text").cast(documents.schema["n_chars"].dataType)
+        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, size).otherwise(F.col("n_chars")))
+    return cut.drop(*RESULT).withColumnsRenamed(back).select(*(f"`{c}`" for c in documents.columns))
+
+
 def op4_debruijn_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup(table(spark, folder, "documents").select("doc_id", "text"), keep_text=False)
 

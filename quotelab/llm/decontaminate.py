@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quotelab.llm.common import numbers, prepared, table, texts, written
+from quotelab.llm.common import not_named, numbers, prepared, set_aside, table, texts, written
 from quotelab.llm.tokens import (
     alphanumeric_bytes,
     documents_of,
@@ -130,23 +130,24 @@ def decontaminate(
 
     Added: ``n_words``, ``n_hit`` (words inside an occurring window), ``n_items``, ``items_sha256``
     (occurring item ids, sorted as strings, comma-joined) and ``contaminated`` (``n_hit > 0`` and
-    ``least_share * n_hit >= n_words``).  Columns of the same names are replaced, all others stay.
+    ``least_share * n_hit >= n_words``).  Columns of the same names, in any case, are replaced; all others
+    stay, whatever their names.  Ids take no part, so that null ones are like others.
     Null and empty texts have no words and are clean; repeated rows are judged row by row; with an
     empty benchmark everything is clean.
     """
     spark = prepared(documents.sparkSession)
     windows = written(item_windows(benchmark, window, gram), "item-windows")
     shards = max(1, -(-windows.count() // shard_rows))
-    names = [c for c in documents.columns if c not in RESULT and (keep_text or c != "text")]
-    documents = documents.withColumn("_text", F.col("text").cast("string")).select(*names, "_text")
-    given = T.StructType([documents.schema[c] for c in names])
+    names = [c for c in not_named(documents.columns, RESULT) if keep_text or c != "text"]
+    schema = T.StructType([documents.schema[c] for c in names])
+    between = T.StructType([T.StructField("text", T.StringType()), T.StructField("given", schema), T.StructField("hit", T.BinaryType()), T.StructField("items", T.ArrayType(T.LongType()))])
+    final = T.StructType([*schema, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in RESULT.items())])
+    documents = documents.select(F.col("text").cast("string"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("given"))
     for s in range(shards):
         some = windows.where(F.pmod(F.xxhash64("window_hash", "item_id"), F.lit(shards)) == s)
         shard = spark.sparkContext.broadcast(Shard(some.toPandas()))
         last = s == shards - 1
-        more = RESULT if last else {"_text": "string", "_hit": "binary", "_items": "array<long>"}
-        schema = T.StructType([*given, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in more.items())])
-        documents = documents.mapInArrow(_apply(shard, gram, names, last, least_share), schema)
+        documents = documents.mapInArrow(_apply(shard, gram, names, last, least_share), final if last else between)
     return documents
 
 
@@ -155,7 +156,7 @@ def _apply(shard, gram: int, names: list[str], last: bool, least_share: int):
         empty = hashlib.sha256(b"").hexdigest()
         for batch in batches:
             fields = batch.schema.names
-            for start, stop, data, offsets in pieces(texts(batch, "_text")):
+            for start, stop, data, offsets in pieces(texts(batch)):
                 words = words_of(data, offsets, alphanumeric_bytes(), lower=True)
                 covered, owners, items = hits(words, shard.value, gram)
                 docs = np.arange(stop - start)
@@ -164,19 +165,17 @@ def _apply(shard, gram: int, names: list[str], last: bool, least_share: int):
                 for d in np.unique(owners):
                     found[int(d)] = items[bounds[d] : bounds[d + 1]]
                 part = batch.slice(start, stop - start)
-                if "_hit" in fields:  # what earlier shards found
-                    for d, (bits, more) in enumerate(zip(part.column("_hit"), part.column("_items"), strict=True)):
+                if "hit" in fields:  # what earlier shards found
+                    for d, (bits, more) in enumerate(zip(part.column("hit"), part.column("items"), strict=True)):
                         a, b = words.first[d], words.first[d + 1]
                         old = np.unpackbits(np.frombuffer(bits.as_py(), np.uint8), count=b - a)
                         covered[a:b] |= old.astype(bool)
                         if len(more):
                             found[d] = np.union1d(found.get(d, np.zeros(0, np.int64)), more.as_py())
-                kept = [part.column(part.schema.get_field_index(c)) for c in names]
                 if not last:
                     bits = [np.packbits(covered[a:b]).tobytes() for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
                     lists = pa.array([found.get(d, []) for d in range(stop - start)], pa.list_(pa.int64()))
-                    text = part.column(part.schema.get_field_index("_text"))
-                    yield pa.RecordBatch.from_arrays([*kept, text, pa.array(bits, pa.binary()), lists], names=[*names, "_text", "_hit", "_items"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(bits, pa.binary()), lists], names=["text", "given", "hit", "items"])
                     continue
                 sums = np.concatenate(([0], np.cumsum(covered)))
                 n_words, n_hit = np.diff(words.first), np.diff(sums[words.first])
@@ -186,7 +185,7 @@ def _apply(shard, gram: int, names: list[str], last: bool, least_share: int):
                     digests[d] = hashlib.sha256(",".join(sorted(map(str, ids.tolist()))).encode()).hexdigest()
                 results = [pa.array(n_words), pa.array(n_hit), pa.array(n_items), pa.array(digests, pa.string())]
                 results.append(pa.array((n_hit > 0) & (least_share * n_hit >= n_words)))
-                yield pa.RecordBatch.from_arrays([*kept, *results], names=[*names, *RESULT])
+                yield pa.RecordBatch.from_arrays([*part.column(1).flatten(), *results], names=[*names, *RESULT])
 
     return of
 
@@ -198,9 +197,9 @@ def op1_winnowing_decontamination(spark: SparkSession, folder: str) -> DataFrame
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with the columns that came in."""
-    aside = {c: f"_given_{c}" for c in documents.columns if c in RESULT}  # columns named like a result
-    clean = decontaminate(documents.withColumnsRenamed(aside), benchmark).where("NOT contaminated")
-    return clean.drop(*RESULT).withColumnsRenamed({v: k for k, v in aside.items()}).select(*documents.columns)
+    moved, back = set_aside(documents, RESULT)
+    clean = decontaminate(moved, benchmark).where("NOT contaminated")
+    return clean.drop(*RESULT).withColumnsRenamed(back).select(*(f"`{c}`" for c in documents.columns))
 
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

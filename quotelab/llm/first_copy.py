@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotelab.llm.common import dealt, grouped, numbers, parts_of, prepared, spans_of, texts, unpacked, written
@@ -79,6 +79,27 @@ def _split(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[outer], rows[known & ~outer]
 
 
+def with_bases(documents: DataFrame, name: str) -> DataFrame:
+    """``documents`` (with ``doc_id`` and ``text``) and ``base``: where the row's coordinates begin.
+
+    An id is one document.  When its rows hold different texts, these lie one behind the other, with a
+    gap, on one line of coordinates, so that spans of one text never mark another; equal texts share
+    theirs.  ``base`` is 0 wherever an id has one text.  An id whose texts exceed 2^31 bytes in all fails.
+    """
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+    keys = documents.where("doc_id IS NOT NULL").select("doc_id", mark.alias("mark"), size.alias("size"))
+    several = keys.groupBy("doc_id").agg(F.min("mark").alias("x"), F.max("mark").alias("y")).where("x <> y").select("doc_id")
+    several = written(several, f"{name}-several-texts")
+    if several.isEmpty():
+        return documents.withColumn("base", F.lit(0))
+    lines = keys.join(several, "doc_id").groupBy("doc_id", "mark").agg(F.max("size").alias("size"))
+    end = F.sum("size").over(Window.partitionBy("doc_id").orderBy("mark")).cast("int")
+    lines = written(lines.select("doc_id", "mark", (end - F.col("size")).cast("int").alias("base")), f"{name}-bases")
+    placed = documents.withColumn("mark", mark).join(lines, ["doc_id", "mark"], "left")
+    return placed.select(*documents.columns, F.coalesce("base", F.lit(0)).alias("base"))
+
+
 def shared_anchors(documents: DataFrame, units: Units, window: int) -> DataFrame:
     """``doc_id, anchors``: packed hashes of the document's anchors that other documents hold too."""
     parts = parts_of(documents.sparkSession)
@@ -153,6 +174,7 @@ def _first(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def copied_spans(documents: DataFrame, anchors: DataFrame, units: Units, window: int) -> DataFrame:
     """``doc_id, spans``: packed runs of windows that also start in a document of smaller id.
 
+    Places count from the ``base`` of a text.
     A run is compacted while its source runs along with it: window ``i`` of a span lies ``i`` units
     behind the span's start both in the document and in the source.
     """
@@ -168,6 +190,7 @@ def copied_spans(documents: DataFrame, anchors: DataFrame, units: Units, window:
         held, size = [], 0
         for batch in batches:
             ids = numbers(batch, "doc_id")
+            bases = numbers(batch, "base")
             lists = batch.column(batch.schema.get_field_index("anchors"))
             for start, stop, data, offsets in pieces(texts(batch)):
                 some = units(data, offsets)
@@ -189,7 +212,7 @@ def copied_spans(documents: DataFrame, anchors: DataFrame, units: Units, window:
                 rows["hash"] = window_hashes(some.hashes, window)[where]
                 rows["check"] = window_hashes(mixed(some.hashes), window)[where] >> U64(32)
                 rows["doc"] = ids[start + owner[where]]
-                rows["at"] = where - some.first[owner[where]]
+                rows["at"] = where - some.first[owner[where]] + bases[start + owner[where]]
                 held.append(rows)
                 size += len(data)
                 if size >= FLUSH_BYTES:
@@ -235,13 +258,13 @@ def copied_spans(documents: DataFrame, anchors: DataFrame, units: Units, window:
                 names=["doc_id", "spans"],
             )
 
-    packed = documents.join(anchors, "doc_id").select("doc_id", "text", "anchors").mapInArrow(ask, PACKED)
+    packed = documents.join(anchors, "doc_id").select("doc_id", "text", "base", "anchors").mapInArrow(ask, PACKED)
     found = packed.repartition(parts, "part").mapInArrow(answer, PACKED)
     return found.repartition(parts, "part").mapInArrow(gather, "doc_id long, spans binary")
 
 
 def all_spans(documents: DataFrame, units: Units, window: int, name: str) -> DataFrame:
-    """Written table ``doc_id, spans`` of ``documents`` (``doc_id`` not null, one row per id)."""
+    """Written table ``doc_id, spans`` of ``documents`` (``doc_id, text, base``; ``doc_id`` not null)."""
     prepared(documents.sparkSession)
     anchors = written(shared_anchors(documents, units, window), f"{name}-anchors")
     return written(copied_spans(documents, anchors, units, window), f"{name}-spans")

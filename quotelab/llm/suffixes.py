@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from quotelab.llm.common import dealt, grouped, numbers, parts_of, prepared, spans_of, table, texts, unpacked, written
 from quotelab.llm.debruijn import marked
-from quotelab.llm.first_copy import PACKED, part_of, shared_anchors
+from quotelab.llm.first_copy import PACKED, part_of, shared_anchors, with_bases
 from quotelab.llm.tokens import BYTE_VALUE, Words, documents_of, pieces, sliding_minimum, whole_windows, window_hashes
 
 U64 = np.uint64
@@ -162,7 +162,8 @@ def copied_runs(documents: DataFrame, anchors: DataFrame, width: int) -> DataFra
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            ids, lists = numbers(batch, "doc_id"), batch.column(batch.schema.get_field_index("anchors"))
+            ids, bases = numbers(batch, "doc_id"), numbers(batch, "base")
+            lists = batch.column(batch.schema.get_field_index("anchors"))
             for start, stop, data, offsets in pieces(texts(batch)):
                 units = byte_units(data, offsets)
                 owner, total = documents_of(offsets), len(data)
@@ -183,7 +184,7 @@ def copied_runs(documents: DataFrame, anchors: DataFrame, width: int) -> DataFra
                 wanted &= good[at]
                 at, ends = at[wanted], ends[wanted]
                 rows = np.empty(len(at), RUN)
-                rows["doc"], rows["at"] = ids[start + owner[at]], at - offsets[owner[at]]
+                rows["doc"], rows["at"] = ids[start + owner[at]], at - offsets[owner[at]] + bases[start + owner[at]]
                 rows["length"] = ends - at + width - 1
                 text = gather(data, at, rows["length"].astype(np.int64))
                 begin = np.cumsum(rows["length"].astype(np.int64)) - rows["length"]
@@ -238,7 +239,7 @@ def copied_runs(documents: DataFrame, anchors: DataFrame, width: int) -> DataFra
         for i in range(0, len(first), 20_000):
             yield pa.RecordBatch.from_arrays([pa.array(rows["doc"][first[i : i + 20_000]]), pa.array(lists[i : i + 20_000], pa.binary())], names=["doc_id", "spans"])
 
-    packed = documents.join(anchors, "doc_id").select("doc_id", "text", "anchors").mapInArrow(ask, PACKED)
+    packed = documents.join(anchors, "doc_id").select("doc_id", "text", "base", "anchors").mapInArrow(ask, PACKED)
     found = packed.repartition(TASKS * parts, "part").mapInArrow(answer, PACKED)
     return found.repartition(parts, "part").mapInArrow(collect, "doc_id long, spans binary")
 
@@ -248,10 +249,11 @@ def suffix_dedup(documents: DataFrame, width: int = WIDTH) -> DataFrame:
 
     Removed is each byte covered by a ``width``-byte string that also starts in a document of smaller
     id; strings are judged on the input and never cross documents.  Null texts are empty.  Rows without
-    an id are judged against nothing; rows that repeat an id are one document.
+    an id are judged against nothing; rows that repeat an id belong to one document, and each is cut by
+    its own text.
     """
     prepared(documents.sparkSession)
-    given = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    given = with_bases(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "bytes")
     own = given.where("doc_id IS NOT NULL")
     anchors = written(shared_anchors(own, byte_units, width), "byte-anchors")
     spans = written(copied_runs(own, anchors, width), "byte-spans")
@@ -259,9 +261,9 @@ def suffix_dedup(documents: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans_ = batch.column(2)
+            bases, spans_ = numbers(batch, "base"), batch.column(3)
             for start, stop, data, offsets in pieces(texts(batch)):
-                removed = marked(spans_, offsets, start, SPAN)
+                removed = marked(spans_, offsets, start, bases, SPAN)
                 heads = removed.copy()
                 heads[1:] &= ~removed[:-1]
                 inner = offsets[:-1][offsets[:-1] < offsets[1:]]
@@ -277,7 +279,7 @@ def suffix_dedup(documents: DataFrame, width: int = WIDTH) -> DataFrame:
                     names=schema.names,
                 )
 
-    return given.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(cut, schema)
+    return given.join(spans, "doc_id", "left").select("doc_id", "text", "base", "spans").mapInArrow(cut, schema)
 
 
 def op8_difference_cover_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -152,3 +152,31 @@ def test_empty_tables(spark):
     assert sorted_rows(decontaminate.decontaminate(some, benchmark), "doc_id", "n_hit", "contaminated") == [(1, 0, False), (2, 0, False)]
     for of in (jaccard.jaccard_components, debruijn.substring_dedup, suffixes.suffix_dedup):
         assert of(none).count() == 0
+
+
+def test_rows_that_repeat_an_id_with_other_texts(spark):
+    """Each is cut by its own text; equal rows are cut alike."""
+    shared, other, third = (" ".join(f"{c}{i}" for i in range(80)) for c in "abc")
+    rows = [(1, shared), (2, shared), (2, other), (2, shared), (2, f"{third} {shared}"), (2, None), (3, other), (3, third), (4, "x")]
+    given = documents(spark, rows)
+    n = len(shared)
+    words_ = [(1, 80, 0), (2, 80, 80), (2, 80, 0), (2, 80, 80), (2, 160, 80), (2, 0, 0), (3, 80, 80), (3, 80, 80), (4, 1, 0)]
+    assert sorted_rows(debruijn.substring_dedup(given), "doc_id", "n_words", "n_removed") == sorted(words_, key=repr)
+    out = suffixes.suffix_dedup(given)
+    assert sorted_rows(out, "doc_id", "n_removed") == sorted([(1, 0), (2, n), (2, 0), (2, n), (2, n), (2, 0), (3, n), (3, n), (4, 0)], key=repr)
+
+
+def test_columns_that_are_named_like_inner_ones(spark):
+    names = ["_text", "spans", "_hit", "given", "base", "hit", "items", "mark", "N_WORDS", "Contaminated"]
+    text = " ".join(f"n{i}" for i in range(80))
+    given = spark.createDataFrame([(i, text, *(f"{c}{i}" for c in names)) for i in (1, 2)], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    items = spark.createDataFrame([(7, "n1 n2 n3")], "item_id long, text string")
+    cut = debruijn.substring_dedup(given)
+    hit = decontaminate.decontaminate(given, items, shard_rows=1)
+    for out, kept in ((cut, [c for c in names if c != "N_WORDS"]), (hit, names[:-2])):
+        assert sorted_rows(out, "doc_id", *kept) == [(i, *(f"{c}{i}" for c in kept)) for i in (1, 2)]
+    assert sorted_rows(cut, "doc_id", "n_words", "n_removed") == [(1, 80, 0), (2, 80, 80)]
+    assert sorted_rows(hit, "doc_id", "n_hit", "n_items") == [(1, 3, 1), (2, 3, 1)]
+    left = debruijn.without_repeats(given).collect()
+    assert sorted((r["doc_id"], r["text"], r["N_WORDS"]) for r in left) == [(1, text, "N_WORDS1"), (2, "", "N_WORDS2")]
+    assert decontaminate.clean_documents(given, items).columns == given.columns
