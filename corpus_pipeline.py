@@ -7,7 +7,8 @@
 5. ``packing``: what is left becomes sequences; one row for each piece.
 
 Stages 1 to 4 return the columns of ``documents``; stage 3 also brings ``n_chars`` up to date.  Rows
-whose ``doc_id`` is null pass stages 1, 3 and 4 like others and leave in stage 2, which needs ids.
+whose ``doc_id`` is null pass stages 1, 2 and 4 by their text alone and are cut in stage 3 by nothing,
+since no document has a smaller id.  Very long texts are read whole.  Columns may have any other names.
 """
 
 from __future__ import annotations
@@ -15,34 +16,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quotelab.llm import debruijn, decontaminate, jaccard, packing, quality
 from quotelab.llm.common import table, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text the classifier accepts; a null or empty text is judged like any other."""
     return quality.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near duplicates; rows without an id all stay."""
     return jaccard.one_of_each(docs)
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    aside = {c: f"_given_{c}" for c in docs.columns if c in debruijn.RESULT}  # columns named like a result
-    cut = debruijn.substring_dedup(docs.withColumnsRenamed(aside))
-    if "n_chars" in docs.columns:
-        size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, size).otherwise(F.col("n_chars")))
-    return cut.drop(*debruijn.RESULT).withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)
+    """Texts lose the words that ``substring_dedup`` removes."""
+    return debruijn.without_repeats(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text is not contaminated; with an empty benchmark all stay."""
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the sequences that hold every document, empty ones too."""
     return packing.pack(docs, packing.tokenizer_path())
 
 
@@ -59,6 +59,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of ``documents`` after all stages; an empty table gives none."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
