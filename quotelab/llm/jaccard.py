@@ -284,11 +284,19 @@ def jaccard_components(documents: DataFrame, k: int = SHINGLE, percent: int = PE
 def one_of_each(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows whose ``doc_id`` is the smallest of its group of near duplicates; all columns stay.
 
-    Rows without an id can't be compared by it and all stay.
+    Of rows that repeat an id and its text one stays, the first by a hash of all columns.  Rows without an
+    id can't be compared by it and all stay.
     """
-    groups = jaccard_components(documents, k, percent)
+    groups = written(jaccard_components(documents, k, percent), "groups")
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
     named = documents.join(kept, "doc_id", "left_semi").select(*documents.columns)
+    twice = groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    twice = written(twice, "repeated-ids")
+    if not twice.isEmpty():
+        row, of_all = F.struct(*documents.columns), F.hash(*documents.columns)
+        same = named.join(twice, "doc_id", "left_semi").select("doc_id", F.xxhash64("text").alias("mark"), row.alias("row"), of_all.alias("order"))
+        one = same.groupBy("doc_id", "mark").agg(F.min_by("row", "order").alias("row")).select("row.*")
+        named = named.join(twice, "doc_id", "left_anti").select(*documents.columns).unionByName(one)
     return named.unionByName(documents.where("doc_id is null"))
 
 

@@ -63,6 +63,13 @@ def test_rows_without_an_id_stay(spark):
         assert sorted((r["doc_id"] for r in docs.collect()), key=str) == [1, None, None], name
 
 
+def test_repeated_rows_become_one(spark):
+    docs = documents(spark, [(1, "one two three four five six"), (1, "one two three four five six"), (2, "one two three four five six"), (3, "x"), (3, "x"), (4, None), (5, "")])
+    out = corpus_pipeline.near_duplicates(spark, docs, SMALL)
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(1, "one two three four five six"), (3, "x"), (4, None), (5, "")]
+    assert out.columns == docs.columns
+
+
 def test_run_reads_documents_and_returns_pieces(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.columns[:7] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 0
