@@ -83,6 +83,16 @@ def grouped(key: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
 
 
+def distinct(rows: np.ndarray, *keys: str) -> np.ndarray:
+    """``rows`` of a structured array in order of ``keys``, one for each value of them."""
+    rows = rows[np.lexsort([rows[key] for key in reversed(keys)])]
+    new = np.ones(len(rows), bool)
+    new[1:] = rows[keys[0]][1:] != rows[keys[0]][:-1]
+    for key in keys[1:]:
+        new[1:] |= rows[key][1:] != rows[key][:-1]
+    return rows[new]
+
+
 def spans_of(at: np.ndarray, total: int) -> Iterator[tuple[int, int]]:
     """Start and end of each run, from where runs start."""
     return zip(at.tolist(), [*at[1:].tolist(), total][: len(at)], strict=True)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotelab.llm.common import dealt, grouped, numbers, parts_of, prepared, spans_of, texts, unpacked, written
+from quotelab.llm.common import dealt, distinct, grouped, numbers, parts_of, prepared, spans_of, texts, unpacked, written
 from quotelab.llm.tokens import Words, documents_of, mixed, pieces, whole_windows, window_hashes, winnowed
 
 U64 = np.uint64
@@ -105,7 +105,7 @@ def shared_anchors(documents: DataFrame, units: Units, window: int) -> DataFrame
     parts = parts_of(documents.sparkSession)
 
     def sent(rows: list[np.ndarray]) -> pa.RecordBatch:
-        send, known = _split(np.unique(np.concatenate(rows)))
+        send, known = _split(distinct(np.concatenate(rows), "hash", "doc"))
         out = [(p, False, b) for p, b in dealt(part_of(send["hash"], parts), send)]
         out += [(p, True, b) for p, b in dealt(known["doc"] % parts, known)]
         return _batch(*map(list, zip(*out, strict=True))) if out else _batch([], [], [])
@@ -119,7 +119,7 @@ def shared_anchors(documents: DataFrame, units: Units, window: int) -> DataFrame
                 at, hashes = anchors_of(some, window)
                 rows = np.empty(len(at), ANCHOR)
                 rows["hash"], rows["doc"] = hashes, ids[start + documents_of(some.first)[at]]
-                held.append(np.unique(rows))
+                held.append(distinct(rows, "hash", "doc"))
                 size += len(data)
                 if size >= FLUSH_BYTES:
                     yield sent(held)
@@ -136,8 +136,7 @@ def shared_anchors(documents: DataFrame, units: Units, window: int) -> DataFrame
         if len(rows):
             last = np.append(at[1:], len(rows)) - 1
             known.append(rows[(rows["doc"][at] != rows["doc"][last])[run]])
-        rows = np.unique(np.concatenate(known)) if known else np.zeros(0, ANCHOR)
-        rows = rows[np.argsort(rows["doc"], kind="stable")]
+        rows = distinct(np.concatenate(known), "doc", "hash") if known else np.zeros(0, ANCHOR)
         at = grouped(rows["doc"])
         lists = [rows["hash"][a:b].tobytes() for a, b in spans_of(at, len(rows))]
         for i in range(0, len(at), 20_000):

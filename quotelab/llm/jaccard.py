@@ -5,7 +5,12 @@ the threshold share a column among the first ``size - ceil(t * size) + 1`` of ea
 of the columns; the order puts rare ones first (by a fixed-size table of counts over all documents), so
 the product of those parts has few entries per column.  It is computed by blocks of columns; overlap
 counts are accumulated per pair, and pairs whose sizes or column positions already rule the threshold
-out are dropped.  Surviving pairs are verified on whole sets.
+out are dropped.
+
+Before any set travels, candidate pairs meet by parity sketches, one bit for each column of a set: two
+sets differ in at least as many columns as their sketches do in bits, so whoever differs in too many is
+out.  What is left goes through the product block by block; after each block a pair whose count and what
+the sizes still allow stay below the bound is discarded, and the last block makes the count exact.
 
 Components need no pair twice: first each row is compared with the smallest row it shares a column with,
 keeping the partner of largest overlap; then only pairs that still lie in different components follow,
@@ -22,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelab.llm.common import dealt, grouped, numbers, parts_of, prepared, table, texts, unpacked, written
+from quotelab.llm.common import dealt, distinct, grouped, parts_of, prepared, table, texts, unpacked, written
 from quotelab.llm.components import components
 from quotelab.llm.first_copy import part_of
 from quotelab.llm.tokens import documents_of, mixed, nonspace_bytes, pieces, whole_windows, window_hashes, words_of
@@ -34,8 +39,10 @@ PERCENT = 80
 CELL_BITS = 18
 SLICES = 16
 FLUSH_BYTES = 32 << 20
-#: Column blocks in which surviving pairs are verified.
+#: Column blocks of the product.
 BLOCKS = 4
+#: A row that very many pairs name is dealt to this many tasks, each with its own copy of the row's set.
+SALTS = 64
 
 POSTING = np.dtype([("node", "<u8"), ("at", "<i4"), ("hash", "<u8"), ("size", "<i4")])
 
@@ -72,11 +79,37 @@ def cells(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> U64(64 - CELL_BITS)).astype(np.int64)
 
 
+def sketches(hashes: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """For each set the parity of its columns in as many bits as it has columns, to the next power of two."""
+    sizes = np.diff(first)
+    width = np.left_shift(1, np.ceil(np.log2(np.maximum(sizes, 64))).astype(np.int64))
+    begin = np.concatenate(([0], np.cumsum(width)))
+    owner = documents_of(first)
+    bit = begin[owner] + (mixed(hashes) & (width - 1).astype(U64)[owner]).astype(np.int64)
+    raw = np.packbits((np.bincount(bit, minlength=begin[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [raw[a:b] for a, b in zip((begin[:-1] // 8).tolist(), (begin[1:] // 8).tolist(), strict=True)]
+
+
+def differing_bits(one: list[bytes], other: list[bytes]) -> np.ndarray:
+    """In how many bits each two sketches differ, once the wider is folded to the width of the other."""
+    out = np.zeros(len(one), np.int64)
+    shapes = np.array([(len(x), len(y)) for x, y in zip(one, other, strict=True)]).reshape(-1, 2)
+    for wide, narrow in np.unique(shapes, axis=0):
+        at = np.flatnonzero((shapes == (wide, narrow)).all(axis=1))
+        least = int(min(wide, narrow))
+        folded = [
+            np.bitwise_xor.reduce(np.frombuffer(b"".join(side[i] for i in at), np.uint8).reshape(len(at), -1, least), axis=1)
+            for side in (one, other)
+        ]
+        out[at] = np.bitwise_count(folded[0] ^ folded[1]).sum(axis=1)
+    return out
+
+
 def described(documents: DataFrame, k: int) -> DataFrame:
-    """One row per document (``cell`` null: id, set size, set digests), and slices of the count table."""
+    """One row per document (``cell`` null: id, set size, set digests, sketch), and slices of the count table."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["cell", "doc_id", "size", "low", "high", "counts"]
+        names = ["cell", "doc_id", "size", "low", "high", "sketch", "counts"]
         counts = np.zeros(1 << CELL_BITS, np.int64)
         for batch in batches:
             ids = batch.column(0)
@@ -86,15 +119,16 @@ def described(documents: DataFrame, k: int) -> DataFrame:
                 n = stop - start
                 digests = [sums(mixed(hashes + U64(salt)), first).view(np.int64) for salt in (1, 2)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(n, pa.int32()), ids.slice(start, n), pa.array(np.diff(first)), *map(pa.array, digests), pa.nulls(n, pa.binary())],
+                    [pa.nulls(n, pa.int32()), ids.slice(start, n), pa.array(np.diff(first)), *map(pa.array, digests),
+                     pa.array(sketches(hashes, first), pa.binary()), pa.nulls(n, pa.binary())],
                     names=names,
-                )
+                )
         if counts.any():
             slices = [x.tobytes() for x in np.split(counts, SLICES)]
             empty = pa.nulls(SLICES, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), empty, empty, empty, empty, pa.array(slices, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), empty, empty, empty, empty, pa.nulls(SLICES, pa.binary()), pa.array(slices, pa.binary())], names=names)
 
-    return documents.select("doc_id", "text").mapInArrow(of, "cell int, doc_id long, size long, low long, high long, counts binary")
+    return documents.select("doc_id", "text").mapInArrow(of, "cell int, doc_id long, size long, low long, high long, sketch binary, counts binary")
 
 
 def count_table(rows: DataFrame) -> np.ndarray:
@@ -120,7 +154,7 @@ def postings(documents: DataFrame, counts: np.ndarray, k: int, percent: int) ->
     table_of_counts = documents.sparkSession.sparkContext.broadcast(counts)
 
     def sent(rows: list[np.ndarray]) -> pa.RecordBatch:
-        send = np.unique(np.concatenate(rows))  # equal sets send their columns once
+        send = distinct(np.concatenate(rows), "hash", "node")  # equal sets send their columns once
         out = list(dealt(part_of(send["hash"], parts), send))
         return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["part", "payload"])
 
@@ -137,7 +171,7 @@ def postings(documents: DataFrame, counts: np.ndarray, k: int, percent: int) ->
                 rows = np.empty(int(some.sum()), POSTING)
                 rows["hash"], rows["node"] = hashes[order][some], node[owner[some]]
                 rows["size"], rows["at"] = sizes[owner[some]], at[some]
-                held.append(np.unique(rows))
+                held.append(distinct(rows, "hash", "node"))
                 size += len(data)
                 if size >= FLUSH_BYTES:
                     yield sent(held)
@@ -170,59 +204,108 @@ def postings(documents: DataFrame, counts: np.ndarray, k: int, percent: int) ->
 
 
 def packed_sets(documents: DataFrame, k: int) -> DataFrame:
-    """``doc, size`` and the set as ``BLOCKS`` packed ranges of its hashes, each ascending."""
+    """``node, size`` and the set as ``BLOCKS`` packed ranges of its hashes, each ascending."""
     edges = (np.arange(1, BLOCKS, dtype=U64) << U64(32)) // U64(BLOCKS) << U64(32)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = numbers(batch, "doc_id")
-            for start, stop, data, offsets in pieces(texts(batch)):
+            for _, _, data, offsets in pieces(texts(batch)):
                 hashes, first = shingle_sets(data, offsets, k)
                 columns: list[list[bytes]] = [[] for _ in range(BLOCKS)]
                 for a, b in zip(first[:-1], first[1:], strict=True):
                     for column, part in zip(columns, np.split(hashes[a:b], np.searchsorted(hashes[a:b], edges)), strict=True):
                         column.append(part.tobytes())
+                node = sums(mixed(hashes + U64(1)), first)
                 packed = [pa.array(c, pa.binary()) for c in columns]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[start:stop]), pa.array(np.diff(first)), *packed],
-                    names=["doc", "size", *(f"block{i}" for i in range(BLOCKS))],
+                    [pa.array(node.view(np.int64)), pa.array(np.diff(first)), *packed],
+                    names=["node", "size", *(f"block{i}" for i in range(BLOCKS))],
                 )
 
-    return documents.mapInArrow(of, "doc long, size long, " + ", ".join(f"block{i} binary" for i in range(BLOCKS)))
+    return documents.select("text").mapInArrow(of, "node long, size long, " + ", ".join(f"block{i} binary" for i in range(BLOCKS)))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` whose whole sets reach the threshold; overlaps are added up block by block.
+def joined(pairs: DataFrame, rows: DataFrame, x: str, y: str) -> DataFrame:
+    """``pairs`` (``a, b``) with the column ``x`` of both nodes, as ``x`` and ``y``.
 
-    Each block of columns is a job of its own, so that only its part of the sets is in exchange files.
+    ``rows`` has one row per ``node``.  A node that very many pairs name is copied for each of ``SALTS``
+    parts of its pairs that there are, so that they spread over as many tasks.
+    """
+    for side, other, name in (("a", "b", x), ("b", "a", y)):
+        salted = pairs.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)))
+        wanted = salted.select(side, "salt").distinct().join(rows.select(F.col("node").alias(side), F.col(x).alias(name)), side)
+        pairs = salted.join(wanted, [side, "salt"]).drop("salt")
+    return pairs
+
+
+def reach(overlap: F.Column, rest: F.Column, sizes: F.Column, percent: int) -> F.Column:
+    """Whether ``overlap`` columns in common, and at most ``rest`` more, can make up the threshold."""
+    return (overlap + rest) * (100 + percent) >= sizes * percent
+
+
+def alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """``a, b, p, q`` (the sizes) of pairs that their sketches do not rule out."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            keep = differing_bits(x, y) * (100 + percent) <= sizes * (100 - percent)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in range(4)], names=["a", "b", "p", "q"])
+
+    some = joined(pairs.select("a", "b"), classes.select(F.col("low").alias("node"), F.struct("size", "sketch").alias("x")), "x", "y")
+    some = some.select("a", "b", F.col("x.size").alias("p"), F.col("y.size").alias("q"), F.col("x.sketch").alias("x"), F.col("y.sketch").alias("y"))
+    return some.mapInArrow(of, "a long, b long, p long, q long")
+
+
+def overlaps(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """How many columns each row of two lists of packed, ascending hashes has in common: one sparse
+    product of the two blocks, of which only the diagonal, the pairs asked for, is formed."""
+    row, column = [], []
+    for side in (x, y):
+        offsets = np.frombuffer(side.buffers()[1], np.int32)[side.offset : side.offset + len(side) + 1].astype(np.int64)
+        raw = side.buffers()[2]
+        data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+        row.append(np.repeat(np.arange(len(side)), np.diff(offsets) // 8))
+        column.append(np.frombuffer(data.tobytes(), U64))
+    row, column = np.concatenate(row), np.concatenate(column)
+    order = np.lexsort((column, row))
+    row, column = row[order], column[order]
+    both = (row[1:] == row[:-1]) & (column[1:] == column[:-1])
+    return np.bincount(row[1:][both], minlength=len(x))
+
+
+def verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs ``a, b`` whose whole sets reach the threshold.
+
+    Overlaps are added up block of columns by block; a pair is discarded as soon as its count and what
+    the rest of its sets allows stay below the bound.  Each block is a job of its own, so that only its
+    part of the sets is in exchange files.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            overlap = np.zeros(batch.num_rows, np.int64)
-            for i, (x, y) in enumerate(zip(batch.column(3), batch.column(4), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                if len(x) > len(y):
-                    x, y = y, x
-                if len(x):
-                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                    overlap[i] = (y[at] == x).sum()
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(overlap)], names=["a", "b", "sizes", "overlap"])
-
-    counted = []
+            x, y = batch.column(2), batch.column(3)
+            seen = [pa.array(np.diff(np.frombuffer(z.buffers()[1], np.int32)[z.offset : z.offset + len(z) + 1]) // 8, pa.int64()) for z in (x, y)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(overlaps(x, y), pa.int64()), *seen], names=["a", "b", "more", "seen_p", "seen_q"])
+
+    left = written(alike(pairs, classes, percent), "alike")
+    asked = left.select(F.col("a").alias("low")).union(left.select("b")).distinct()
+    ids = classes.join(asked, "low", "left_semi").select(F.col("doc").alias("doc_id")).distinct()
+    sets = packed_sets(documents.join(ids, "doc_id", "left_semi"), k)
+    # Rows that repeat an id have its sets repeatedly, one is enough; sets of no pair are left out.
+    sets = sets.join(asked.withColumnRenamed("low", "node"), "node", "left_semi").dropDuplicates(["node"])
+    sets = written(sets, "sets")
+    left = left.select("a", "b", F.col("p").alias("rest_p"), F.col("q").alias("rest_q"), (F.col("p") + F.col("q")).alias("sizes"), F.lit(0).cast("long").alias("overlap"))
     for i in range(BLOCKS):
-        one = pairs.join(sets.select(F.col("doc").alias("a"), F.col("size").alias("p"), F.col(f"block{i}").alias("x")), "a")
-        heads = pairs.select("b").distinct()
-        other = sets.select(F.col("doc").alias("b"), F.col("size").alias("q"), F.col(f"block{i}").alias("y")).join(heads, "b", "left_semi")
-        both = one.join(other, "b").select("a", "b", (F.col("p") + F.col("q")).alias("sizes"), "x", "y")
-        # A repeated row has its set twice: the pair counts once.
-        rows = both.mapInArrow(of, "a long, b long, sizes long, overlap long").groupBy("a", "b").agg(F.max("sizes").alias("sizes"), F.max("overlap").alias("overlap"))
-        counted.append(written(rows, f"overlaps-{i}"))
-    total = counted[0]
-    for more in counted[1:]:
-        total = total.unionByName(more)
-    total = total.groupBy("a", "b").agg(F.max("sizes").alias("sizes"), F.sum("overlap").alias("overlap"))
-    return total.where(100 * F.col("overlap") >= percent * (F.col("sizes") - F.col("overlap"))).select("a", "b")
+        both = joined(left.select("a", "b"), sets.select("node", F.col(f"block{i}").alias("x")), "x", "y")
+        counted = both.select("a", "b", "x", "y").mapInArrow(of, "a long, b long, more long, seen_p long, seen_q long")
+        left = left.join(counted, ["a", "b"]).select(
+            "a", "b", (F.col("rest_p") - F.col("seen_p")).alias("rest_p"), (F.col("rest_q") - F.col("seen_q")).alias("rest_q"),
+            "sizes", (F.col("overlap") + F.col("more")).alias("overlap"),
+        )
+        left = written(left.where(reach(F.col("overlap"), F.least("rest_p", "rest_q"), F.col("sizes"), percent)), f"overlaps-{i}")
+    return left.select("a", "b")
 
 
 def possible(one: str, other: str, percent: int) -> F.Column:
@@ -230,8 +313,7 @@ def possible(one: str, other: str, percent: int) -> F.Column:
     x, y = F.col(f"{one}.size").cast("long"), F.col(f"{other}.size").cast("long")
     rest = F.least(x - F.col(f"{one}.at"), y - F.col(f"{other}.at"))
     # A shared column at these places, where it is the first one, leaves at most ``rest`` in common.
-    fits = (F.least(x, y) * 100 >= F.greatest(x, y) * percent) & (rest * (100 + percent) >= (x + y) * percent)
-    return fits
+    return (F.least(x, y) * 100 >= F.greatest(x, y) * percent) & reach(F.lit(0), rest, x + y, percent)
 
 
 def jaccard_components(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -247,36 +329,38 @@ def jaccard_components(documents: DataFrame, k: int = SHINGLE, percent: int = PE
     rows = written(described(documents, k), "described")
     sizes = rows.where("cell IS NULL").drop("cell", "counts")
     named = sizes.where("doc_id IS NOT NULL")
-    classes = named.where("size > 0").groupBy("low", "high", "size").agg(F.min("doc_id").alias("doc"))
+    classes = named.where("size > 0").groupBy("low", "high", "size").agg(F.min("doc_id").alias("doc"), F.first("sketch").alias("sketch"))
     classes = written(classes, "classes")
     found = postings(documents.where("doc_id IS NOT NULL"), count_table(rows), k, percent)
-    lists = found.withColumnRenamed("node", "low").join(classes.select("low", "doc", F.col("size").alias("of")), "low")
-    lists = written(lists.where("size = of").select("hash", "doc", "size", "at"), "postings")
-    asked = lists.select("doc").distinct()
-    sets = documents.join(asked.withColumnRenamed("doc", "doc_id"), "doc_id")
-    sets = written(packed_sets(sets, k), "sets")
+    lists = found.join(classes.select(F.col("low").alias("node"), "doc"), "node")
+    lists = written(lists, "postings")
 
-    heads = lists.groupBy("hash").agg(F.min_by(F.struct("doc", "size", "at"), "doc").alias("h"))
+    # Copies mostly follow what they were made from: the smallest document is the likeliest partner.
+    heads = lists.groupBy("hash").agg(F.min(F.struct("doc", "node", "size", "at")).alias("h"))
     heads = heads.select("hash", "h.*")
-    met = lists.alias("p").join(heads.alias("q"), "hash").where(F.col("p.doc") > F.col("q.doc"))
-    met = met.where(possible("p", "q", percent)).groupBy(F.col("p.doc").alias("a"), F.col("q.doc").alias("b")).agg(F.count("*").alias("n"))
+    met = lists.alias("p").join(heads.alias("q"), "hash").where(F.struct("p.doc", "p.node") > F.struct("q.doc", "q.node"))
+    met = met.where(possible("p", "q", percent)).groupBy(F.col("p.node").alias("a"), F.col("q.node").alias("b")).agg(F.count("*").alias("n"))
     best = met.groupBy("a").agg(F.max_by("b", F.struct("n", F.negative("b"))).alias("b"))
-    links = written(verified(written(best, "first-pairs"), sets, percent), "first-links")
+    best = written(best, "first-pairs")
+    links = verified(best, documents, classes, k, percent)
 
     labels = components(links)
-    placed = lists.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    placed = written(placed, "placed")
+    placed = lists.drop("doc").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed_up = placed.groupBy("hash").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    placed = placed.join(mixed_up.select("hash"), "hash")
-    cross = placed.alias("p").join(placed.alias("q"), "hash").where("p.doc > q.doc AND p.component <> q.component")
-    cross = cross.where(possible("p", "q", percent)).select(F.col("p.doc").alias("a"), F.col("q.doc").alias("b")).distinct()
+    # Sizes that can link lie in the same step of this scale or in neighbouring ones.
+    step = F.floor(F.log(F.col("size").cast("double")) / np.log(101 / percent))
+    placed = written(placed.join(mixed_up.select("hash"), "hash", "left_semi").withColumn("step", step), "placed")
+    near = placed.withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
+    cross = placed.alias("p").join(near.alias("q"), ["hash", "step"]).where("p.node > q.node AND p.component <> q.component")
+    cross = cross.where(possible("p", "q", percent)).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
     cross = written(cross.join(best, ["a", "b"], "left_anti"), "cross-pairs")
-    more = written(verified(cross, sets, percent), "cross-links")
-    labels = components(links.unionByName(more)) if not more.isEmpty() else labels
+    if not cross.isEmpty():
+        labels = components(links.unionByName(verified(cross, documents, classes, k, percent)))
 
-    known = classes.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left")
-    known = known.select("low", "high", "size", F.coalesce("component", "doc").alias("component"))
-    out = sizes.join(known, ["low", "high", "size"], "left")
+    known = classes.join(labels.withColumnRenamed("node", "low"), "low", "left")
+    known = known.select("low", "high", "size", "doc", F.coalesce("component", "low").alias("group"))
+    known = known.join(known.groupBy("group").agg(F.min("doc").alias("component")), "group").select("low", "high", "size", "component")
+    out = sizes.drop("sketch").join(known, ["low", "high", "size"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"))
 
