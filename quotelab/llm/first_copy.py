@@ -100,13 +100,17 @@ def with_bases(documents: DataFrame, name: str) -> DataFrame:
     return placed.select(*documents.columns, F.coalesce("base", F.lit(0)).alias("base"))
 
 
-def shared_anchors(documents: DataFrame, units: Units, window: int) -> DataFrame:
-    """``doc_id, anchors``: packed hashes of the document's anchors that other documents hold too."""
-    parts = parts_of(documents.sparkSession)
+def shared_anchors(documents: DataFrame, units: Units, window: int, tasks: int = 1) -> DataFrame:
+    """``doc_id, anchors``: packed hashes of the document's anchors that other documents hold too.
+
+    Hashes are compared in ``tasks`` tasks for each shuffle partition of the session.
+    """
+    parts = tasks * parts_of(documents.sparkSession)
 
     def sent(rows: list[np.ndarray]) -> pa.RecordBatch:
         send, known = _split(distinct(np.concatenate(rows), "hash", "doc"))
-        out = [(p, False, b) for p, b in dealt(part_of(send["hash"], parts), send)]
+        # Anchors are minima, so their hashes are small: they are spread by a hash of the hash.
+        out = [(p, False, b) for p, b in dealt(part_of(mixed(send["hash"]), parts), send)]
         out += [(p, True, b) for p, b in dealt(known["doc"] % parts, known)]
         return _batch(*map(list, zip(*out, strict=True))) if out else _batch([], [], [])
 
@@ -146,7 +150,7 @@ def shared_anchors(documents: DataFrame, units: Units, window: int) -> DataFrame
             )
 
     packed = documents.select("doc_id", "text").mapInArrow(ask, PACKED)
-    found = packed.repartition(parts, "part").mapInArrow(answer, "doc_id long, anchors binary")
+    found = packed.repartitionById(parts, "part").mapInArrow(answer, "doc_id long, anchors binary")
     return found.groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors"))
 
 
@@ -258,8 +262,8 @@ def copied_spans(documents: DataFrame, anchors: DataFrame, units: Units, window:
             )
 
     packed = documents.join(anchors, "doc_id").select("doc_id", "text", "base", "anchors").mapInArrow(ask, PACKED)
-    found = packed.repartition(parts, "part").mapInArrow(answer, PACKED)
-    return found.repartition(parts, "part").mapInArrow(gather, "doc_id long, spans binary")
+    found = packed.repartitionById(parts, "part").mapInArrow(answer, PACKED)
+    return found.repartitionById(parts, "part").mapInArrow(gather, "doc_id long, spans binary")
 
 
 def all_spans(documents: DataFrame, units: Units, window: int, name: str) -> DataFrame:

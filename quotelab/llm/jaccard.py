@@ -200,7 +200,7 @@ def postings(documents: DataFrame, counts: np.ndarray, k: int, percent: int) ->
             )
 
     packed = documents.select("doc_id", "text").mapInArrow(send, "part int, payload binary")
-    return packed.repartition(parts, "part").mapInArrow(match, "hash long, node long, size int, at int")
+    return packed.repartitionById(parts, "part").mapInArrow(match, "hash long, node long, size int, at int")
 
 
 def packed_sets(documents: DataFrame, k: int) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from quotelab.llm.common import dealt, grouped, numbers, parts_of, prepared, spans_of, table, texts, unpacked, written
 from quotelab.llm.debruijn import marked
 from quotelab.llm.first_copy import PACKED, part_of, shared_anchors, with_bases
-from quotelab.llm.tokens import BYTE_VALUE, Words, documents_of, pieces, sliding_minimum, whole_windows, window_hashes
+from quotelab.llm.tokens import BYTE_VALUE, Words, documents_of, mixed, pieces, sliding_minimum, whole_windows, window_hashes
 
 U64 = np.uint64
 WIDTH = 50
@@ -151,7 +151,7 @@ def copied_runs(documents: DataFrame, anchors: DataFrame, width: int) -> DataFra
         copy = rows["doc"] > lowest  # the whole piece is in an earlier document of this task
         out = [(p, True, b) for p, b in dealt(rows["doc"][copy] % parts, rows[copy])]
         mine = np.flatnonzero(~copy)
-        part = part_of(low[mine], ranges)
+        part = part_of(mixed(low[mine]), ranges)
         order = np.argsort(part, kind="stable")
         mine, part = mine[order], part[order]
         for a, b in spans_of(grouped(part), len(part)):
@@ -201,20 +201,33 @@ def copied_runs(documents: DataFrame, anchors: DataFrame, width: int) -> DataFra
     def flagged(payloads: list) -> np.ndarray:
         rows, text = (np.concatenate(x) for x in zip(*map(_unpack, payloads), strict=True))
         lengths = rows["length"].astype(np.int64)
-        windows = lengths - width + 1
-        begin = np.cumsum(lengths) - lengths
+        ends = np.cumsum(lengths)
+        # Equal pieces are sorted once: that of the smallest document, whose spans its repeats share.
+        raw, known = memoryview(text), {}
+        group = np.fromiter((known.setdefault(raw[b - n : b].tobytes(), len(known)) for b, n in zip(ends.tolist(), lengths.tolist(), strict=True)), np.int64, len(rows))
+        del known
+        order = np.lexsort((rows["doc"], group))
+        chosen = order[grouped(group[order])]
+        later = rows["doc"] > rows["doc"][chosen][group]
+        windows = lengths[chosen] - width + 1
+        begin = np.cumsum(lengths[chosen]) - lengths[chosen]
         inner = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        piece = np.repeat(np.arange(len(rows)), windows)
-        copies = first_copies(text, rows["doc"][piece], begin[piece] + inner, width)
+        piece = np.repeat(np.arange(len(chosen)), windows)
+        copies = first_copies(gather(text, ends[chosen] - lengths[chosen], lengths[chosen]), rows["doc"][chosen][piece], begin[piece] + inner, width)
         new = copies.copy()
         new[1:] &= ~copies[:-1] | (piece[1:] != piece[:-1])
         last = copies.copy()
         last[:-1] &= ~copies[1:] | (piece[1:] != piece[:-1])
         at, end = np.flatnonzero(new), np.flatnonzero(last)
-        out = np.empty(len(at), RUN)
-        out["doc"], out["at"] = rows["doc"][piece[at]], rows["at"][piece[at]] + inner[at]
-        out["length"] = end - at + width
-        return out
+        count = np.bincount(piece[at], minlength=len(chosen))
+        same = np.flatnonzero(~later)
+        each = count[group[same]]
+        span = np.repeat((np.cumsum(count) - count)[group[same]] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        own = np.repeat(same, each)
+        out = np.empty(len(own), RUN)
+        out["doc"], out["at"] = rows["doc"][own], rows["at"][own] + inner[at[span]]
+        out["length"] = (end - at)[span] + width
+        return np.concatenate((rows[later], out))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -240,8 +253,8 @@ def copied_runs(documents: DataFrame, anchors: DataFrame, width: int) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(rows["doc"][first[i : i + 20_000]]), pa.array(lists[i : i + 20_000], pa.binary())], names=["doc_id", "spans"])
 
     packed = documents.join(anchors, "doc_id").select("doc_id", "text", "base", "anchors").mapInArrow(ask, PACKED)
-    found = packed.repartition(TASKS * parts, "part").mapInArrow(answer, PACKED)
-    return found.repartition(parts, "part").mapInArrow(collect, "doc_id long, spans binary")
+    found = packed.repartitionById(TASKS * parts, "part").mapInArrow(answer, PACKED)
+    return found.repartitionById(parts, "part").mapInArrow(collect, "doc_id long, spans binary")
 
 
 def suffix_dedup(documents: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -255,7 +268,7 @@ def suffix_dedup(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     prepared(documents.sparkSession)
     given = with_bases(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "bytes")
     own = given.where("doc_id IS NOT NULL")
-    anchors = written(shared_anchors(own, byte_units, width), "byte-anchors")
+    anchors = written(shared_anchors(own, byte_units, width, TASKS), "byte-anchors")
     spans = written(copied_runs(own, anchors, width), "byte-spans")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(k, T._parse_datatype_string(v)) for k, v in RESULT.items()), T.StructField("kept", T.BinaryType())])
 
