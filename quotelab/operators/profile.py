@@ -56,9 +56,8 @@ def profile(quotes: DataFrame, target_rows: int = prefix.TARGET_ROWS) -> DataFra
     measures = {
         "rows": rows,
         "columns": F.lit(len(quotes.columns)).cast("long"),
-        "duplicate_event_ids": rows
-        - F.count_distinct("request_event_id")
-        - F.max(F.when(F.col("request_event_id").isNull(), 1).otherwise(0))
+        # Completed below; equal ids beyond the first, where all missing ones count as equal.
+        "duplicate_event_ids": rows - F.max(F.when(F.col("request_event_id").isNull(), 1).otherwise(0))
         if "request_event_id" in quotes.columns
         else F.lit(0).cast("long"),
         "request_date_min": F.min(created),
@@ -78,11 +77,18 @@ def profile(quotes: DataFrame, target_rows: int = prefix.TARGET_ROWS) -> DataFra
         "very_low_price_ratio_rows": F.count_if(too_low),
         "very_high_price_ratio_rows": F.count_if(too_high),
         "address_available_rows": F.count_if(number(quotes, "enrichment_address_available") == 1),
-        "unique_venue_keys": F.count_distinct("event_venue_anonymous_key")
-        if "event_venue_anonymous_key" in quotes.columns
-        else F.lit(0).cast("long"),
+        "unique_venue_keys": F.lit(0).cast("long"),
     }
-    return quotes.agg(*[measure.alias(name) for name, measure in measures.items()])
+    result = quotes.agg(*[measure.alias(name) for name, measure in measures.items()])
+    # Each column's distinct values are counted alone, so that they don't travel with all other sums.
+    for name, column, sign in (
+        ("duplicate_event_ids", "request_event_id", -1),
+        ("unique_venue_keys", "event_venue_anonymous_key", 1),
+    ):
+        if column in quotes.columns:
+            distinct = quotes.select(F.count_distinct(column).alias("_distinct"))
+            result = result.crossJoin(distinct).withColumn(name, F.col(name) + sign * F.col("_distinct")).drop("_distinct")
+    return result
 
 
 def top_values(df: DataFrame, column: str, n: int = 20) -> DataFrame:
