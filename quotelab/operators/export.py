@@ -16,7 +16,7 @@ from quotelab.functions.predicates import (
     outcome_class,
     untouched_status,
 )
-from quotelab.operators.history import with_prior_history
+from quotelab.operators.history import client_times
 from quotelab.session import bounded, left_join_spread
 
 # Output column -> option column of the CRM.
@@ -112,24 +112,18 @@ def _optional(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def quote_rows(tables: dict[str, DataFrame], as_of, after_quote: bool = True) -> DataFrame:
     """The wide row: 92 columns, or only those known when the quote is sent plus the outcome.
 
-    Outcomes are computed on the joined row, so the events are scanned once more only for the
-    client history.
+    Every join moves the row as it is by then, so what adds least comes first and the texts of the
+    details last.  Client and history arrive together, by client and time.  Outcomes are computed on
+    the joined row; the events are scanned once more for client and times alone.
     """
+    events = tables["app_event"]
     clients = tables["app_client"].select(
         F.col("id").alias("_client_id"), "how_find", "raison_sociale"
     )
+    known = client_times(events).join(clients, F.col("_client") == F.col("_client_id")).drop("_client_id")
     details = tables["app_eventdetails"].withColumnRenamed("id", "_details_id")
-    rows = (
-        with_prior_history(tables["app_event"])
-        .join(clients, F.col("client_id") == F.col("_client_id"))
-        .join(details, F.col("event_details_id") == F.col("_details_id"))
-        .drop("_client_id", "_details_id")
-    )
-    rows = _optional(rows, tables["app_eventproduct"], "event_product_id")
-    rows = _optional(rows, tables["app_eventoption"], "event_option_id")
+    rows = events
     if after_quote:
-        rows = _optional(rows, tables["app_eventacompte"], "event_acompte_id")
-        rows = _optional(rows, tables["app_eventpostprestation"], "event_post_presta_id")
         emails = email_stats(tables["app_emailtracking"]).withColumnRenamed("event_id", "_email_id")
         calls = followup_stats(tables["app_eventrelance"]).withColumnRenamed("event_id", "_call_id")
         rows = (
@@ -137,6 +131,13 @@ def quote_rows(tables: dict[str, DataFrame], as_of, after_quote: bool = True) ->
             .join(calls, F.col("id") == F.col("_call_id"), "left")
             .drop("_email_id", "_call_id")
         )
+        rows = _optional(rows, tables["app_eventpostprestation"], "event_post_presta_id")
+        rows = _optional(rows, tables["app_eventacompte"], "event_acompte_id")
+    rows = _optional(rows, tables["app_eventproduct"], "event_product_id")
+    same = (F.col("client_id") == F.col("_client")) & F.unix_micros("created_at").eqNullSafe(F.col("_at"))
+    rows = rows.join(known, same).drop("_client", "_at")
+    rows = _optional(rows, tables["app_eventoption"], "event_option_id")
+    rows = rows.join(details, F.col("event_details_id") == F.col("_details_id")).drop("_details_id")
     columns = {
         **_identity(),
         **_event_columns(),

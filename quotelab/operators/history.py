@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotelab.operators import prefix
+from quotelab.session import materialize
 
 # Request column -> stock code.
 PRODUCT_CODES = {
@@ -75,6 +76,57 @@ def with_prior_history(
     )
 
 
+def client_times(
+    events: DataFrame,
+    client: str = "client_id",
+    created: str = "created_at",
+    signed: str = "signer_at",
+    target_rows: int = prefix.TARGET_ROWS,
+) -> DataFrame:
+    """One row per client and creation time (``_client``, ``_at`` in microseconds) with the history before it.
+
+    The same counts as ``with_prior_history``, for callers that join wide rows by client anyway: only
+    client and times travel through the time lines.  Requests without time share one row with no
+    history; those without client have none.
+    """
+    at, signed_at = F.unix_micros(created), F.unix_micros(F.greatest(created, signed))
+    lines = materialize(
+        events.where(F.col(client).isNotNull()).select(
+            F.col(client).alias("_client"), at.alias("_at"), F.when(at.isNotNull() & F.col(signed).isNotNull(), signed_at).alias("_signed_at")
+        ),
+        "lines",
+    )
+    request = F.struct(F.col("_at").alias("at"), F.lit(1).alias("requests"), F.lit(0).alias("signatures"))
+    signature = F.struct(F.col("_signed_at").alias("at"), F.lit(0).alias("requests"), F.lit(1).alias("signatures"))
+    facts = F.when(F.col("_signed_at").isNotNull(), F.array(request, signature)).otherwise(F.array(request))
+    points = lines.where("_at IS NOT NULL").select("_client", F.inline(facts)).withColumn(
+        "request_at", F.when(F.col("requests") > 0, F.col("at"))
+    )
+    before = prefix.running(
+        points,
+        ["_client"],
+        "at",
+        sums={"requests_before": "requests", "signatures_before": "signatures"},
+        latest={"last_at": "request_at"},
+        blocks=prefix.block_count(lines, target_rows),
+        ties=True,
+        target_rows=target_rows,
+    ).where("requests > 0")
+    timed = before.select(
+        "_client",
+        F.col("at").alias("_at"),
+        F.col("requests_before").cast("long").alias("prior_request_count"),
+        F.col("signatures_before").cast("long").alias("prior_signed_count"),
+        F.timestamp_micros("last_at").alias("prior_last_request_at"),
+    ).dropDuplicates(["_client", "_at"])
+    nothing = F.lit(0).cast("long")
+    untimed = lines.where("_at IS NULL").select("_client").distinct().select(
+        "_client", F.lit(None).cast("long").alias("_at"), nothing.alias("prior_request_count"),
+        nothing.alias("prior_signed_count"), F.lit(None).cast("timestamp").alias("prior_last_request_at"),
+    )
+    return timed.unionByName(untimed)
+
+
 def prior_history(events: DataFrame, **options) -> DataFrame:
     """One row per event id with its strictly-prior client history."""
     names = {"client": "client_id", "created": "created_at", "signed": "signer_at"}
