@@ -33,6 +33,8 @@ CAPACITY_STARTS = ["capacite|accueillir|jusqu|max", "[1-9][0-9]"]
 SEATED_WORDS = ["assis", "banquet", "repas"]
 CAPACITY_RANGE = (20, 3000)
 CONTEXT = 50
+#: Markup that is read before its rows leave.
+PAGE_CHARACTERS = 1 << 20
 
 
 @cache
@@ -152,13 +154,22 @@ def host_of(url: str) -> str:
 
 
 def read_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """mapInPandas body: one row per page with its text and links."""
+    """mapInPandas body: one row per page with its text and links.
+
+    Links are many small objects: rows leave as soon as they come from ``PAGE_CHARACTERS`` of markup.
+    """
+    names = ["url", "host", "text", "links"]
     for batch in batches:
-        rows = []
+        rows, size = [], 0
         for url, markup in zip(batch["url"], batch["html"], strict=True):
             text, targets = page_parts(markup)
             rows.append((url, host_of(url), text, [link for t in targets if (link := resolved(url, t))]))
-        yield pd.DataFrame(rows, columns=["url", "host", "text", "links"])
+            size += len(markup or "")
+            if size >= PAGE_CHARACTERS:
+                yield pd.DataFrame(rows, columns=names)
+                rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
 
 PAGE_SCHEMA = "url string, host string, text string, links array<struct<url:string,host:string,path:string>>"
