@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quotelab.llm.common import not_named, numbers, prepared, set_aside, table, texts
+from quotelab.llm.common import not_named, numbers, prepared, set_aside, table, texts, with_found
 from quotelab.llm.first_copy import SPANS, Words, all_spans, with_bases
 from quotelab.llm.tokens import nonspace_bytes, pieces, words_of
 
@@ -83,7 +83,7 @@ def substring_dedup(documents: DataFrame, window: int = WINDOW, keep_text: bool
         [*(T.StructField(c, T.StringType()) if c == "text" else documents.schema[c] for c in names),
          *(T.StructField(k, T._parse_datatype_string(v)) for k, v in RESULT.items())]
     )
-    return rows.join(spans, "doc_id", "left").select("text", "base", "given", "spans").mapInArrow(_removed(names), schema)
+    return with_found(rows, spans, "spans").select("text", "base", "given", "spans").mapInArrow(_removed(names), schema)
 
 
 def _removed(names: list[str]):

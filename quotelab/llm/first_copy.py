@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotelab.llm.common import dealt, distinct, grouped, numbers, parts_of, prepared, spans_of, texts, unpacked, written
+from quotelab.llm.common import dealt, distinct, grouped, numbers, parted, parts_of, prepared, spans_of, texts, unpacked, written
 from quotelab.llm.tokens import Words, documents_of, mixed, pieces, whole_windows, window_hashes, winnowed
 
 U64 = np.uint64
+#: ``hash``: the upper 48 bits of a hash of the anchor; equal ones by chance only send a text in vain.
 ANCHOR = np.dtype([("hash", "<u8"), ("doc", "<i8")])
+UNSENT_BITS = U64(16)
 PACKED = "part int, shared boolean, payload binary"
 #: Text that a task gathers before it merges and sends.
 FLUSH_BYTES = 32 << 20
@@ -56,6 +58,49 @@ def anchors_of(units: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     return at, grams[at]
 
 
+def sided(units: Words, window: int, at: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+    """Hashes of the anchors at ``at`` with the units before them, and with those behind them, and which of
+    these lie in one document.
+
+    Of what a window holds besides its anchor, at least half, rounded up, lies on one side of it: so two
+    equal windows agree in one of the two, and far fewer texts share these than share the anchor alone.
+    """
+    gram, total = window // 2, len(units.hashes)
+    side = -(-(window - gram) // 2)
+    hashes = window_hashes(units.hashes, gram + side)
+    good = whole_windows(units.first, gram + side, total)
+    out = []
+    for begin in (at - side, at):
+        inside = (begin >= 0) & (begin < len(good))
+        begin = np.where(inside, begin, 0)
+        out.append((hashes[begin], inside & good[begin]) if len(good) else (np.zeros(len(at), U64), inside))
+    return tuple(out)
+
+
+def marks(hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """The 32 bits that tell a document's anchors apart, behind the number of the document in its batch."""
+    return (docs.astype(U64) << U64(32)) | (mixed(hashes) >> U64(32))
+
+
+def shared_marks(lists: pa.Array, start: int, stop: int) -> np.ndarray:
+    """Ascending ``marks`` of the shared anchors of a slice's documents."""
+    docs, values = [], []
+    for d in range(start, stop):
+        for x in lists[d].values:
+            some = np.frombuffer(x.as_buffer(), np.uint32)
+            values.append(some)
+            docs.append(np.full(len(some), d - start, U64))
+    if not values:
+        return np.zeros(0, U64)
+    return np.sort((np.concatenate(docs) << U64(32)) | np.concatenate(values).astype(U64))
+
+
+def among(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    if not len(ascending):
+        return np.zeros(len(values), bool)
+    return ascending[np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)] == values
+
+
 def _runs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``rows`` sorted by hash and document, where each hash begins, and the run of each row."""
     rows = rows[np.lexsort((rows["doc"], rows["hash"]))]
@@ -100,17 +145,17 @@ def with_bases(documents: DataFrame, name: str) -> DataFrame:
     return placed.select(*documents.columns, F.coalesce("base", F.lit(0)).alias("base"))
 
 
-def shared_anchors(documents: DataFrame, units: Units, window: int, tasks: int = 1) -> DataFrame:
-    """``doc_id, anchors``: packed hashes of the document's anchors that other documents hold too.
+def shared_anchors(documents: DataFrame, units: Units, window: int, tasks: int = 1, sides: bool = False) -> DataFrame:
+    """``doc_id, anchors``: packed marks of the document's anchors that other documents hold too.
 
-    Hashes are compared in ``tasks`` tasks for each shuffle partition of the session.
+    Hashes are compared in ``tasks`` tasks for each shuffle partition of the session.  With ``sides`` it is
+    anchors with what is before or behind them (``sided``) that are compared.
     """
     parts = tasks * parts_of(documents.sparkSession)
 
     def sent(rows: list[np.ndarray]) -> pa.RecordBatch:
         send, known = _split(distinct(np.concatenate(rows), "hash", "doc"))
-        # Anchors are minima, so their hashes are small: they are spread by a hash of the hash.
-        out = [(p, False, b) for p, b in dealt(part_of(mixed(send["hash"]), parts), send)]
+        out = [(p, False, b) for p, b in dealt(part_of(send["hash"] << UNSENT_BITS, parts), send)]
         out += [(p, True, b) for p, b in dealt(known["doc"] % parts, known)]
         return _batch(*map(list, zip(*out, strict=True))) if out else _batch([], [], [])
 
@@ -121,8 +166,13 @@ def shared_anchors(documents: DataFrame, units: Units, window: int, tasks: int =
             for start, _, data, offsets in pieces(texts(batch)):
                 some = units(data, offsets)
                 at, hashes = anchors_of(some, window)
+                if sides:
+                    both = sided(some, window, at)
+                    at = np.concatenate([at[good] for _, good in both])
+                    hashes = np.concatenate([x[good] for x, good in both])
                 rows = np.empty(len(at), ANCHOR)
-                rows["hash"], rows["doc"] = hashes, ids[start + documents_of(some.first)[at]]
+                # Anchors are minima, so their hashes are small: they are spread by a hash of the hash.
+                rows["hash"], rows["doc"] = mixed(hashes) >> UNSENT_BITS, ids[start + documents_of(some.first)[at]]
                 held.append(distinct(rows, "hash", "doc"))
                 size += len(data)
                 if size >= FLUSH_BYTES:
@@ -142,7 +192,8 @@ def shared_anchors(documents: DataFrame, units: Units, window: int, tasks: int =
             known.append(rows[(rows["doc"][at] != rows["doc"][last])[run]])
         rows = distinct(np.concatenate(known), "doc", "hash") if known else np.zeros(0, ANCHOR)
         at = grouped(rows["doc"])
-        lists = [rows["hash"][a:b].tobytes() for a, b in spans_of(at, len(rows))]
+        mark = (rows["hash"] >> (U64(32) - UNSENT_BITS)).astype(np.uint32)
+        lists = [mark[a:b].tobytes() for a, b in spans_of(at, len(rows))]
         for i in range(0, len(at), 20_000):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows["doc"][at[i : i + 20_000]]), pa.array(lists[i : i + 20_000], pa.binary())],
@@ -201,14 +252,9 @@ def copied_spans(documents: DataFrame, anchors: DataFrame, units: Units, window:
                 at, hashes = anchors_of(some, window)
                 owner = documents_of(some.first)
                 wanted = np.zeros(total + 1, np.int64)
-                bounds = np.searchsorted(owner[at], np.arange(stop - start + 1))
-                for d in range(stop - start):
-                    shared = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), U64) for x in lists[start + d].values]))
-                    a, b = bounds[d], bounds[d + 1]
-                    where = np.minimum(np.searchsorted(shared, hashes[a:b]), len(shared) - 1)
-                    mine = at[a:b][shared[where] == hashes[a:b]]
-                    np.add.at(wanted, np.maximum(mine - (window - window // 2), 0), 1)  # windows that hold it
-                    wanted[mine + 1] -= 1
+                mine = at[among(marks(hashes, owner[at]), shared_marks(lists, start, stop))]
+                np.add.at(wanted, np.maximum(mine - (window - window // 2), 0), 1)  # windows that hold it
+                wanted[mine + 1] -= 1
                 good = whole_windows(some.first, window, total)
                 where = np.flatnonzero((np.cumsum(wanted)[: len(good)] > 0) & good)
                 rows = np.empty(len(where), WINDOW)
@@ -261,7 +307,8 @@ def copied_spans(documents: DataFrame, anchors: DataFrame, units: Units, window:
                 names=["doc_id", "spans"],
             )
 
-    packed = documents.join(anchors, "doc_id").select("doc_id", "text", "base", "anchors").mapInArrow(ask, PACKED)
+    some, _ = parted(documents, anchors)
+    packed = some.join(anchors, "doc_id").select("doc_id", "text", "base", "anchors").mapInArrow(ask, PACKED)
     found = packed.repartitionById(parts, "part").mapInArrow(answer, PACKED)
     return found.repartitionById(parts, "part").mapInArrow(gather, "doc_id long, spans binary")
 

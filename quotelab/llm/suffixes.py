@@ -2,7 +2,7 @@
 
 Equal strings of ``width`` bytes have the same winnowing minimum, so suffixes are dealt by it: runs of
 windows that share a minimum travel as one piece of text, and only where another document has that
-minimum too.  Each range of minima sorts its suffixes by difference cover: triples at two of three
+minimum too, with the same bytes before it or behind it.  Each range of minima sorts its suffixes by difference cover: triples at two of three
 positions are sorted and named, the string of names is sorted recursively, remaining suffixes are merged
 in, and neighbours in the order are compared over ``width`` bytes.  Names stop growing once they cover
 ``width`` bytes, since no later byte matters.
@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quotelab.llm.common import dealt, grouped, numbers, parts_of, prepared, spans_of, table, texts, unpacked, written
+from quotelab.llm.common import dealt, grouped, numbers, packed, parted, parts_of, prepared, spans_of, table, texts, unpacked, unpacked_at, with_found, written
 from quotelab.llm.debruijn import marked
-from quotelab.llm.first_copy import PACKED, part_of, shared_anchors, with_bases
+from quotelab.llm.first_copy import PACKED, among, anchors_of, marks, part_of, shared_anchors, shared_marks, sided, with_bases
 from quotelab.llm.tokens import BYTE_VALUE, Words, documents_of, mixed, pieces, sliding_minimum, whole_windows, window_hashes
 
 U64 = np.uint64
@@ -113,17 +113,14 @@ def first_copies(text: np.ndarray, docs: np.ndarray, starts: np.ndarray, width:
 
 
 def _pack(rows: np.ndarray, text: np.ndarray) -> bytes:
-    return np.int64(len(rows)).tobytes() + b"".join(np.ascontiguousarray(rows[c]).tobytes() for c in RUN.names) + text.tobytes()
+    return np.int64(len(rows)).tobytes() + packed(rows) + text.tobytes()
 
 
 def _unpack(payload) -> tuple[np.ndarray, np.ndarray]:
     raw = payload.as_buffer()
-    n, at = int(np.frombuffer(raw, np.int64, 1)[0]), 8
-    rows = np.empty(n, RUN)
-    for c in RUN.names:
-        rows[c] = np.frombuffer(raw, RUN[c], n, at)
-        at += n * RUN[c].itemsize
-    return rows, np.frombuffer(raw, np.uint8, raw.size - at, at)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    at = 8 + n * RUN.itemsize
+    return unpacked_at(raw, RUN, n, 8), np.frombuffer(raw, np.uint8, raw.size - at, at)
 
 
 def gather(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -172,17 +169,21 @@ def copied_runs(documents: DataFrame, anchors: DataFrame, width: int) -> DataFra
                 low = sliding_minimum(grams, width - gram + 1)
                 if not good.any():
                     continue
+                # Windows that hold a shared anchor together with what is before it, or behind it.
+                anchor, _ = anchors_of(units, width)
+                shared = shared_marks(lists, start, stop)
+                covered = np.zeros(total + 1, np.int64)
+                side = -(-(width - gram) // 2)
+                for (hashes, inside), most, least in zip(sided(units, width, anchor), (width - gram, width - gram - side), (side, 0), strict=True):
+                    mine = anchor[inside & among(marks(hashes, owner[anchor]), shared)]
+                    np.add.at(covered, np.maximum(mine - most, 0), 1)
+                    np.add.at(covered, mine - least + 1, -1)
+                wanted = (np.cumsum(covered)[: len(low)] > 0) & good
                 new = np.ones(len(low), bool)
-                new[1:] = (low[1:] != low[:-1]) | (owner[1 : len(low)] != owner[: len(low) - 1]) | (good[1:] != good[:-1])
+                new[1:] = (low[1:] != low[:-1]) | (owner[1 : len(low)] != owner[: len(low) - 1]) | (wanted[1:] != wanted[:-1])
                 at = np.flatnonzero(new)
-                wanted = np.zeros(len(at), bool)
-                bounds = np.searchsorted(owner[at], np.arange(stop - start + 1))
-                for d in range(stop - start):
-                    shared = np.concatenate([np.frombuffer(x.as_buffer(), U64) for x in lists[start + d].values])
-                    wanted[bounds[d] : bounds[d + 1]] = np.isin(low[at[bounds[d] : bounds[d + 1]]], shared)
                 ends = np.append(at[1:], len(low))
-                wanted &= good[at]
-                at, ends = at[wanted], ends[wanted]
+                at, ends = at[wanted[at]], ends[wanted[at]]
                 rows = np.empty(len(at), RUN)
                 rows["doc"], rows["at"] = ids[start + owner[at]], at - offsets[owner[at]] + bases[start + owner[at]]
                 rows["length"] = ends - at + width - 1
@@ -252,8 +253,9 @@ def copied_runs(documents: DataFrame, anchors: DataFrame, width: int) -> DataFra
         for i in range(0, len(first), 20_000):
             yield pa.RecordBatch.from_arrays([pa.array(rows["doc"][first[i : i + 20_000]]), pa.array(lists[i : i + 20_000], pa.binary())], names=["doc_id", "spans"])
 
-    packed = documents.join(anchors, "doc_id").select("doc_id", "text", "base", "anchors").mapInArrow(ask, PACKED)
-    found = packed.repartitionById(TASKS * parts, "part").mapInArrow(answer, PACKED)
+    some, _ = parted(documents, anchors)
+    pieces_ = some.join(anchors, "doc_id").select("doc_id", "text", "base", "anchors").mapInArrow(ask, PACKED)
+    found = pieces_.repartitionById(TASKS * parts, "part").mapInArrow(answer, PACKED)
     return found.repartitionById(parts, "part").mapInArrow(collect, "doc_id long, spans binary")
 
 
@@ -268,7 +270,7 @@ def suffix_dedup(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     prepared(documents.sparkSession)
     given = with_bases(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "bytes")
     own = given.where("doc_id IS NOT NULL")
-    anchors = written(shared_anchors(own, byte_units, width, TASKS), "byte-anchors")
+    anchors = written(shared_anchors(own, byte_units, width, TASKS, sides=True), "byte-anchors")
     spans = written(copied_runs(own, anchors, width), "byte-spans")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(k, T._parse_datatype_string(v)) for k, v in RESULT.items()), T.StructField("kept", T.BinaryType())])
 
@@ -292,7 +294,7 @@ def suffix_dedup(documents: DataFrame, width: int = WIDTH) -> DataFrame:
                     names=schema.names,
                 )
 
-    return given.join(spans, "doc_id", "left").select("doc_id", "text", "base", "spans").mapInArrow(cut, schema)
+    return with_found(given, spans, "spans").select("doc_id", "text", "base", "spans").mapInArrow(cut, schema)
 
 
 def op8_difference_cover_dedup(spark: SparkSession, folder: str) -> DataFrame:
