@@ -14,7 +14,9 @@ the sizes still allow stay below the bound is discarded, and the last block make
 
 Components need no pair twice: first each row is compared with the smallest row it shares a column with,
 keeping the partner of largest overlap; then only pairs that still lie in different components follow,
-all of them, so no link is lost and a group of copies never expands into all its pairs.
+all of them, so no link is lost and a group of copies never expands into all its pairs.  Where many rows
+share a column, their sketches are compared inside tasks, block against block, and only pairs that may link
+become rows; of these each row's likeliest go first, and what that joins is not compared any more.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelab.llm.common import dealt, distinct, grouped, parts_of, prepared, table, texts, unpacked, written
+from quotelab.llm.common import dealt, distinct, grouped, parted, parts_of, prepared, table, texts, unpacked, written
 from quotelab.llm.components import components
 from quotelab.llm.first_copy import part_of
 from quotelab.llm.tokens import documents_of, mixed, nonspace_bytes, pieces, whole_windows, window_hashes, words_of
@@ -44,6 +46,9 @@ BLOCKS = 4
 #: A row that very many pairs name is dealt to this many tasks, each with its own copy of the row's set.
 SALTS = 64
 
+#: Rows that share a column are compared pair by pair in a join up to this number, beyond it block by block inside tasks.
+FEW, BLOCK_ROWS = 16, 1024
+
 POSTING = np.dtype([("node", "<u8"), ("at", "<i4"), ("hash", "<u8"), ("size", "<i4")])
 
 
@@ -243,19 +248,75 @@ def reach(overlap: F.Column, rest: F.Column, sizes: F.Column, percent: int) -> F
     return (overlap + rest) * (100 + percent) >= sizes * percent
 
 
+ALIKE = "a long, b long, p long, q long, bits long"
+
+
 def alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """``a, b, p, q`` (the sizes) of pairs that their sketches do not rule out."""
+    """``a, b, p, q, bits`` (the sizes, and in how many bits the sketches differ) of pairs that their
+    sketches do not rule out."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column(4).to_pylist(), batch.column(5).to_pylist()
             sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            keep = differing_bits(x, y) * (100 + percent) <= sizes * (100 - percent)
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in range(4)], names=["a", "b", "p", "q"])
+            bits = differing_bits(x, y)
+            keep = bits * (100 + percent) <= sizes * (100 - percent)
+            columns = [*(batch.column(i).filter(pa.array(keep)) for i in range(4)), pa.array(bits[keep])]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "p", "q", "bits"])
 
     some = joined(pairs.select("a", "b"), classes.select(F.col("low").alias("node"), F.struct("size", "sketch").alias("x")), "x", "y")
     some = some.select("a", "b", F.col("x.size").alias("p"), F.col("y.size").alias("q"), F.col("x.sketch").alias("x"), F.col("y.sketch").alias("y"))
-    return some.mapInArrow(of, "a long, b long, p long, q long")
+    return some.mapInArrow(of, ALIKE)
+
+
+def blocks_alike(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """What ``alike`` finds among the pairs of ``rows`` (``hash, node, size, at, component, n``) that share a
+    ``hash``, are of different components and of possible sizes and places.
+
+    The ``n`` rows of a hash are cut in blocks.  Each two blocks meet in one task, which compares the sketches
+    of all their rows at once; only pairs that may link come out.
+    """
+
+    def of(found: pa.Table) -> pa.Table:
+        found = found.sort_by("node")
+        node, size, at, component, mine, low, high = (found[c].to_numpy() for c in ("node", "size", "at", "component", "mine", "low_block", "high_block"))
+        sketch = found["sketch"].to_pylist()
+        width = np.array([len(x) for x in sketch])
+        out = []
+        groups = [(w, b) for w in np.unique(width).tolist() for b in sorted({low[0], high[0]})]
+        where = {(w, b): np.flatnonzero((width == w) & (mine == b)) for w, b in groups}
+        bits = {key: np.frombuffer(b"".join(sketch[i] for i in rows), np.uint64).reshape(len(rows), -1) for key, rows in where.items()}
+        for one in groups:
+            for other in groups:
+                # No size within the threshold has a sketch so much wider; blocks are compared with the other one.
+                if one[0] > other[0] or one[0] * 200 <= other[0] * percent or (low[0] == high[0]) != (one[1] == other[1]):
+                    continue
+                x, y = where[one], where[other]
+                folded = np.bitwise_xor.reduce(bits[other].reshape(len(y), -1, one[0] // 8), axis=1)
+                for i, row in zip(x.tolist(), bits[one], strict=True):
+                    p, q = int(size[i]), size[y].astype(np.int64)
+                    near = (np.minimum(p, q) * 100 >= np.maximum(p, q) * percent) & (component[y] != component[i])
+                    near &= np.minimum(p - int(at[i]), q - at[y]) * (100 + percent) >= (p + q) * percent
+                    if one[0] == other[0]:
+                        near &= node[y] < node[i] if one[1] == other[1] else np.full(len(y), one[1] < other[1])
+                    some = np.flatnonzero(near)
+                    if len(some):
+                        differ = np.bitwise_count(folded[some] ^ row).sum(axis=1).astype(np.int64)
+                        good = differ * (100 + percent) <= (p + q[some]) * (100 - percent)
+                        j = y[some[good]]
+                        a, b = np.maximum(node[i], node[j]), np.minimum(node[i], node[j])
+                        p_, q_ = np.where(node[j] < node[i], p, size[j]), np.where(node[j] < node[i], size[j], p)
+                        out.append(np.stack((a, b, p_, q_, differ[good]), axis=1))
+        all_ = np.concatenate(out) if out else np.zeros((0, 5), np.int64)
+        return pa.table({name: all_[:, c] for c, name in enumerate(("a", "b", "p", "q", "bits"))})
+
+    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+    cut = rows.withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cut = cut.withColumns({"low_block": F.least("mine", "other"), "high_block": F.greatest("mine", "other")})
+    cut = cut.join(classes.select(F.col("low").alias("node"), "sketch"), "node")
+    cut = cut.select("hash", "node", "size", "at", "component", "sketch", "mine", "low_block", "high_block")
+    return cut.groupBy("hash", "low_block", "high_block").applyInArrow(of, ALIKE).distinct()
 
 
 def overlaps(x: pa.Array, y: pa.Array) -> np.ndarray:
@@ -275,8 +336,8 @@ def overlaps(x: pa.Array, y: pa.Array) -> np.ndarray:
     return np.bincount(row[1:][both], minlength=len(x))
 
 
-def verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs ``a, b`` whose whole sets reach the threshold.
+def verified(left: DataFrame, documents: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of ``left`` (written, from ``alike``) whose whole sets reach the threshold.
 
     Overlaps are added up block of columns by block; a pair is discarded as soon as its count and what
     the rest of its sets allows stay below the bound.  Each block is a job of its own, so that only its
@@ -289,10 +350,10 @@ def verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, k: int,
             seen = [pa.array(np.diff(np.frombuffer(z.buffers()[1], np.int32)[z.offset : z.offset + len(z) + 1]) // 8, pa.int64()) for z in (x, y)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(overlaps(x, y), pa.int64()), *seen], names=["a", "b", "more", "seen_p", "seen_q"])
 
-    left = written(alike(pairs, classes, percent), "alike")
     asked = left.select(F.col("a").alias("low")).union(left.select("b")).distinct()
-    ids = classes.join(asked, "low", "left_semi").select(F.col("doc").alias("doc_id")).distinct()
-    sets = packed_sets(documents.join(ids, "doc_id", "left_semi"), k)
+    asked = written(asked, "asked")
+    ids = written(classes.join(asked, "low", "left_semi").select(F.col("doc").alias("doc_id")).distinct(), "asked-ids")
+    sets = packed_sets(parted(documents, ids)[0], k)
     # Rows that repeat an id have its sets repeatedly, one is enough; sets of no pair are left out.
     sets = sets.join(asked.withColumnRenamed("low", "node"), "node", "left_semi").dropDuplicates(["node"])
     sets = written(sets, "sets")
@@ -308,6 +369,21 @@ def verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, k: int,
     return left.select("a", "b")
 
 
+def likeliest(pairs: DataFrame) -> DataFrame:
+    """Of each row's pairs the one whose sketches differ least for their sizes."""
+    entry = F.struct((F.col("bits") / (F.col("p") + F.col("q"))).alias("share"), "a", "b", "p", "q", "bits")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("end"), entry.alias("entry"))
+    return ends.groupBy("end").agg(F.min("entry").alias("entry")).select("entry.*").drop("share").distinct()
+
+
+def still_apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose rows have not come into one component."""
+    for side in ("a", "b"):
+        name = labels.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in"))
+        pairs = pairs.join(name, side, "left").withColumn(f"{side}_in", F.coalesce(f"{side}_in", side))
+    return pairs.where("a_in <> b_in").drop("a_in", "b_in")
+
+
 def possible(one: str, other: str, percent: int) -> F.Column:
     """Whether sizes and the positions of a shared column leave the threshold within reach."""
     x, y = F.col(f"{one}.size").cast("long"), F.col(f"{other}.size").cast("long")
@@ -342,20 +418,32 @@ def jaccard_components(documents: DataFrame, k: int = SHINGLE, percent: int = PE
     met = met.where(possible("p", "q", percent)).groupBy(F.col("p.node").alias("a"), F.col("q.node").alias("b")).agg(F.count("*").alias("n"))
     best = met.groupBy("a").agg(F.max_by("b", F.struct("n", F.negative("b"))).alias("b"))
     best = written(best, "first-pairs")
-    links = verified(best, documents, classes, k, percent)
+    links = verified(written(alike(best, classes, percent), "alike"), documents, classes, k, percent)
 
     labels = components(links)
     placed = lists.drop("doc").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed_up = placed.groupBy("hash").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+    mixed_up = placed.groupBy("hash").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x < y")
     # Sizes that can link lie in the same step of this scale or in neighbouring ones.
-    step = F.floor(F.log(F.col("size").cast("double")) / np.log(101 / percent))
-    placed = written(placed.join(mixed_up.select("hash"), "hash", "left_semi").withColumn("step", step), "placed")
-    near = placed.withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
-    cross = placed.alias("p").join(near.alias("q"), ["hash", "step"]).where("p.node > q.node AND p.component <> q.component")
+    scale = F.floor(F.log(F.col("size").cast("double")) / np.log(101 / percent))
+    placed = written(placed.join(mixed_up.select("hash", "n"), "hash").withColumn("step", scale), "placed")
+    few = placed.where(F.col("n") <= FEW)
+    near = few.withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
+    cross = few.alias("p").join(near.alias("q"), ["hash", "step"]).where("p.node > q.node AND p.component <> q.component")
     cross = cross.where(possible("p", "q", percent)).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
-    cross = written(cross.join(best, ["a", "b"], "left_anti"), "cross-pairs")
-    if not cross.isEmpty():
-        labels = components(links.unionByName(verified(cross, documents, classes, k, percent)))
+    cross = alike(cross.join(best, ["a", "b"], "left_anti"), classes, percent)
+    many = blocks_alike(placed.where(F.col("n") > FEW), classes, percent).join(best, ["a", "b"], "left_anti")
+    cross = written(cross.unionByName(many).distinct(), "cross-pairs")
+    for step in range(3):
+        if cross.isEmpty():
+            break
+        # The likeliest partner of each row first: what this joins need not be compared any more.
+        some = written(likeliest(cross), "likeliest")
+        rest = step < 2 and cross.count() > 2 * some.count()
+        links = links.unionByName(verified(some if rest else cross, documents, classes, k, percent))
+        labels = components(links)
+        if not rest:
+            break
+        cross = written(still_apart(cross.join(some.select("a", "b"), ["a", "b"], "left_anti"), labels), "cross-pairs")
 
     known = classes.join(labels.withColumnRenamed("node", "low"), "low", "left")
     known = known.select("low", "high", "size", "doc", F.coalesce("component", "low").alias("group"))
@@ -371,11 +459,12 @@ def one_of_each(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT)
     Of rows that repeat an id and its text one stays, the first by a hash of all columns.  Rows without an
     id can't be compared by it and all stay.
     """
-    groups = written(jaccard_components(documents, k, percent), "groups")
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = documents.join(kept, "doc_id", "left_semi").select(*documents.columns)
-    twice = groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    twice = written(twice, "repeated-ids")
+    groups = written(jaccard_components(documents, k, percent), "groups").where("doc_id IS NOT NULL")
+    judged = groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("rows"))
+    judged = written(judged, "judged")
+    some, rest = parted(documents.where("doc_id IS NOT NULL"), judged.where("NOT stays"))
+    named = some.join(judged.where("NOT stays").select("doc_id"), "doc_id", "left_anti").select(*documents.columns).unionByName(rest)
+    twice = judged.where("rows > 1").select("doc_id")
     if not twice.isEmpty():
         row, of_all = F.struct(*documents.columns), F.hash(*documents.columns)
         same = named.join(twice, "doc_id", "left_semi").select("doc_id", F.xxhash64("text").alias("mark"), row.alias("row"), of_all.alias("order"))
