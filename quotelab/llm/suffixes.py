@@ -232,15 +232,30 @@ def copied_runs(documents: DataFrame, anchors: DataFrame, width: int) -> DataFra
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
+        found, size = [], 0  # of several ranges, so that rows sent don't multiply with ranges
+
+        def back() -> pa.RecordBatch:
+            rows = np.concatenate(found)
+            return batch_of([(p, True, b) for p, b in dealt(rows["doc"] % parts, rows)])
+
         for batch in batches:
             for part, known, payload in zip(*(batch.column(i) for i in range(3)), strict=True):
                 if known.as_py():
-                    yield batch_of([(part.as_py(), True, payload.as_py())])
+                    found.append(unpacked(payload, RUN))
+                    size += found[-1].nbytes
+                    if size >= FLUSH_BYTES:
+                        yield back()
+                        found, size = [], 0
                 else:
                     held.setdefault(part.as_py(), []).append(payload)
         for part in sorted(held):
-            rows = flagged(held.pop(part))
-            yield batch_of([(p, True, b) for p, b in dealt(rows["doc"] % parts, rows)])
+            found.append(flagged(held.pop(part)))
+            size += found[-1].nbytes
+            if size >= FLUSH_BYTES:
+                yield back()
+                found, size = [], 0
+        if size:
+            yield back()
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [unpacked(x, RUN) for batch in batches for x in batch.column(2)]
