@@ -12,22 +12,30 @@ range grows with the size of a group of copies.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotelab.llm.common import dealt, distinct, grouped, numbers, parted, parts_of, prepared, spans_of, texts, unpacked, written
-from quotelab.llm.tokens import Words, documents_of, mixed, pieces, whole_windows, window_hashes, winnowed
+from quotelab.llm.common import dealt, grouped, numbers, packed, parted, parts_of, prepared, spans_of, texts, unpacked, written
+from quotelab.llm.tokens import PIECE_BYTES, Words, documents_of, mixed, pieces, sliding_minimum, whole_windows, window_hashes, winnowed
 
 U64 = np.uint64
-#: ``hash``: the upper 48 bits of a hash of the anchor; equal ones by chance only send a text in vain.
+#: ``hash``: the upper 44 bits of a hash of the anchor; equal ones by chance only send a text in vain.
 ANCHOR = np.dtype([("hash", "<u8"), ("doc", "<i8")])
-UNSENT_BITS = U64(16)
+MARK = np.dtype([("doc", "<i8"), ("mark", "<u4")])
+#: Bits of a sorted hash that number the document among those a task has gathered.
+UNSENT_BITS = U64(20)
+#: Bits of a gram's hash that give way to its place, and a factor that tells a gram's sides apart.
+PLACE = U64(2**32 - 1)
+SIDE_BASE = U64(0x9FB21C651E98DF25)
 PACKED = "part int, shared boolean, payload binary"
 #: Text that a task gathers before it merges and sends.
 FLUSH_BYTES = 32 << 20
+#: Text whose units are bytes is worked on in pieces whose arrays stay in the cache.
+BYTE_PIECES = 256 << 10
 
 Units = Callable[[np.ndarray, np.ndarray], Words]
 
@@ -58,23 +66,55 @@ def anchors_of(units: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     return at, grams[at]
 
 
-def sided(units: Words, window: int, at: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
-    """Hashes of the anchors at ``at`` with the units before them, and with those behind them, and which of
-    these lie in one document.
+@dataclass
+class Runs:
+    """Windows one after another whose least gram is the same one, at ``anchor``: those from ``at`` to ``cut``
+    reach far enough before it, those from ``cut`` to ``stop`` far enough behind it."""
 
-    Of what a window holds besides its anchor, at least half, rounded up, lies on one side of it: so two
-    equal windows agree in one of the two, and far fewer texts share these than share the anchor alone.
+    doc: np.ndarray
+    at: np.ndarray
+    cut: np.ndarray
+    stop: np.ndarray
+    anchor: np.ndarray
+    least: np.ndarray
+    before: np.ndarray
+    behind: np.ndarray
+
+    def halves(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Hashes of what all windows of a half have in common, and which runs have that half."""
+        yield self.before, self.at < self.cut
+        yield self.behind, self.cut < self.stop
+
+
+def runs_of(units: Words, window: int) -> Runs:
+    """The windows of consecutive texts by the first of their least grams of half a window.
+
+    Of what a window holds besides that gram, at least half, rounded up, lies on one side of it: windows that
+    are equal agree in the gram with what is on this side, and far fewer texts share these than share the
+    gram alone.  The two are known by two grams that overlap.
     """
     gram, total = window // 2, len(units.hashes)
+    grams = window_hashes(units.hashes, gram)
+    n = max(0, total - window + 1)
+    least = sliding_minimum((grams & ~PLACE) | np.arange(len(grams), dtype=U64), window - gram + 1) & PLACE
+    new = np.ones(n, bool)
+    new[1:] = least[1:] != least[:-1]
+    first = units.first
+    for x in (first[:-1], np.maximum(first[:-1], first[1:] - window + 1)):
+        new[x[x < n]] = True
+    at = np.flatnonzero(new)
+    stop = np.append(at[1:], n)[: len(at)]
+    doc = np.searchsorted(first, at, "right") - 1
+    whole = at + window <= first[doc + 1]
+    at, stop, doc = at[whole], stop[whole], doc[whole]
+    anchor = least[at].astype(np.int64)
     side = -(-(window - gram) // 2)
-    hashes = window_hashes(units.hashes, gram + side)
-    good = whole_windows(units.first, gram + side, total)
-    out = []
-    for begin in (at - side, at):
-        inside = (begin >= 0) & (begin < len(good))
-        begin = np.where(inside, begin, 0)
-        out.append((hashes[begin], inside & good[begin]) if len(good) else (np.zeros(len(at), U64), inside))
-    return tuple(out)
+    cut = np.clip(anchor - side + 1, at, stop)
+    # Where a run lacks a half, its hash is of other units and not used.
+    own = grams[anchor] * SIDE_BASE
+    before = mixed(own + grams[np.maximum(anchor - side, 0)])
+    behind = mixed((own ^ SIDE_BASE) + grams[np.minimum(anchor + side, max(len(grams) - 1, 0))])
+    return Runs(doc, at, cut, stop, anchor, grams[anchor], before, behind)
 
 
 def marks(hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -84,15 +124,9 @@ def marks(hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
 
 def shared_marks(lists: pa.Array, start: int, stop: int) -> np.ndarray:
     """Ascending ``marks`` of the shared anchors of a slice's documents."""
-    docs, values = [], []
-    for d in range(start, stop):
-        for x in lists[d].values:
-            some = np.frombuffer(x.as_buffer(), np.uint32)
-            values.append(some)
-            docs.append(np.full(len(some), d - start, U64))
-    if not values:
-        return np.zeros(0, U64)
-    return np.sort((np.concatenate(docs) << U64(32)) | np.concatenate(values).astype(U64))
+    values = [np.frombuffer(lists[d].as_buffer(), np.uint32) for d in range(start, stop)]
+    docs = np.repeat(np.arange(len(values), dtype=U64), [len(x) for x in values])
+    return np.sort((docs << U64(32)) | np.concatenate(values).astype(U64)) if values else np.zeros(0, U64)
 
 
 def among(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
@@ -101,27 +135,19 @@ def among(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
     return ascending[np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)] == values
 
 
-def _runs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``rows`` sorted by hash and document, where each hash begins, and the run of each row."""
-    rows = rows[np.lexsort((rows["doc"], rows["hash"]))]
-    at = grouped(rows["hash"])
-    return rows, at, np.repeat(np.arange(len(at)), np.diff(np.append(at, len(rows)))[: len(at)])
-
-
 def _split(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What to send of distinct ``rows``, and those already known to be shared.
+    """What to send of distinct ``rows`` in order of hash and document, and those already known to be shared.
 
     A hash held by one document is sent once.  Of one that more hold, the two outer documents are
     sent, which tells the receiver that it is shared, and all holders are known here.
     """
     if not len(rows):  # no text as long as a window
         return rows, rows
-    rows, at, run = _runs(rows)
-    last = np.append(at[1:], len(rows)) - 1
-    known = (rows["doc"][at] != rows["doc"][last])[run]
+    at = grouped(rows["hash"])
+    size = np.diff(np.append(at, len(rows)))
     outer = np.zeros(len(rows), bool)
-    outer[at] = outer[last] = True
-    return rows[outer], rows[known & ~outer]
+    outer[at] = outer[at + size - 1] = True
+    return rows[outer], rows[np.repeat(size > 1, size) & ~outer]
 
 
 def with_bases(documents: DataFrame, name: str) -> DataFrame:
@@ -149,50 +175,84 @@ def shared_anchors(documents: DataFrame, units: Units, window: int, tasks: int =
     """``doc_id, anchors``: packed marks of the document's anchors that other documents hold too.
 
     Hashes are compared in ``tasks`` tasks for each shuffle partition of the session.  With ``sides`` it is
-    anchors with what is before or behind them (``sided``) that are compared.
+    the least grams of windows with what is before or behind them (``runs_of``) that are compared.
     """
-    parts = tasks * parts_of(documents.sparkSession)
-
-    def sent(rows: list[np.ndarray]) -> pa.RecordBatch:
-        send, known = _split(distinct(np.concatenate(rows), "hash", "doc"))
-        out = [(p, False, b) for p, b in dealt(part_of(send["hash"] << UNSENT_BITS, parts), send)]
+    owners = parts_of(documents.sparkSession)
+    parts = tasks * owners
+
+    def sent(hashes: list[np.ndarray], docs: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
+        names, number = np.unique(np.concatenate(ids), return_inverse=True)
+        # One number for hash and document, sorted; hashes in order are also in order of their parts.
+        mask = U64((1 << int(UNSENT_BITS)) - 1)
+        keys = np.concatenate(hashes)
+        hashes.clear()
+        keys &= ~mask
+        keys |= number.astype(U64)[np.concatenate(docs)]
+        docs.clear()
+        keys.sort()
+        keys = keys[grouped(keys)]
+        rows = np.empty(len(keys), ANCHOR)
+        rows["hash"], rows["doc"] = keys >> UNSENT_BITS, names[(keys & mask).astype(np.int64)]
+        del keys
+        send, known = _split(rows)
+        part = part_of(send["hash"] << UNSENT_BITS, parts)
+        at = grouped(part)
+        out = [(int(part[a]), False, packed(send[a:b])) for a, b in spans_of(at, len(part))]
         out += [(p, True, b) for p, b in dealt(known["doc"] % parts, known)]
         return _batch(*map(list, zip(*out, strict=True))) if out else _batch([], [], [])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        hashes, docs, ids, size, count = [], [], [], 0, 0
         for batch in batches:
-            ids = numbers(batch, "doc_id")
-            for start, _, data, offsets in pieces(texts(batch)):
+            given = numbers(batch, "doc_id")
+            for start, stop, data, offsets in pieces(texts(batch), BYTE_PIECES if sides else PIECE_BYTES):
                 some = units(data, offsets)
-                at, hashes = anchors_of(some, window)
                 if sides:
-                    both = sided(some, window, at)
-                    at = np.concatenate([at[good] for _, good in both])
-                    hashes = np.concatenate([x[good] for x, good in both])
-                rows = np.empty(len(at), ANCHOR)
-                # Anchors are minima, so their hashes are small: they are spread by a hash of the hash.
-                rows["hash"], rows["doc"] = mixed(hashes) >> UNSENT_BITS, ids[start + documents_of(some.first)[at]]
-                held.append(distinct(rows, "hash", "doc"))
-                size += len(data)
-                if size >= FLUSH_BYTES:
-                    yield sent(held)
-                    held, size = [], 0
-        if held:
-            yield sent(held)
+                    runs = runs_of(some, window)
+                    for values, has in runs.halves():
+                        hashes.append(mixed(values[has]))
+                        docs.append((runs.doc[has] + count).astype(np.int32))
+                else:
+                    at, values = anchors_of(some, window)
+                    # Anchors are minima, so their hashes are small: they are spread by a hash of the hash.
+                    hashes.append(mixed(values))
+                    docs.append((documents_of(some.first)[at] + count).astype(np.int32))
+                ids.append(given[start:stop])
+                size, count = size + len(data), count + stop - start
+                if size >= FLUSH_BYTES or count >= 1 << int(UNSENT_BITS) - 1:
+                    yield sent(hashes, docs, ids)
+                    hashes, docs, ids, size, count = [], [], [], 0, 0
+        if ids:
+            yield sent(hashes, docs, ids)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, known = [], []
         for batch in batches:
             for shared, payload in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 (known if shared else asked).append(unpacked(payload, ANCHOR))
-        rows, at, run = _runs(np.concatenate(asked) if asked else np.zeros(0, ANCHOR))
+        if not asked:
+            return
+        rows = np.concatenate(asked)
+        del asked
+        rows = rows[np.argsort(rows["hash"])]
+        at = grouped(rows["hash"])
         if len(rows):
-            last = np.append(at[1:], len(rows)) - 1
-            known.append(rows[(rows["doc"][at] != rows["doc"][last])[run]])
-        rows = distinct(np.concatenate(known), "doc", "hash") if known else np.zeros(0, ANCHOR)
+            several = np.minimum.reduceat(rows["doc"], at) != np.maximum.reduceat(rows["doc"], at)
+            known.append(rows[np.repeat(several, np.diff(np.append(at, len(rows))))])
+        rows = np.concatenate(known) if known else rows
+        found = np.empty(len(rows), MARK)
+        found["doc"], found["mark"] = rows["doc"], rows["hash"] >> (U64(32) - UNSENT_BITS)
+        del rows
+        for p, b in dealt(found["doc"] % owners, found):
+            yield _batch([p], [True], [b])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [unpacked(x, MARK) for batch in batches for x in batch.column(2)]
+        rows = np.concatenate(got) if got else np.zeros(0, MARK)
+        del got
+        rows = rows[np.argsort(rows["doc"])]
         at = grouped(rows["doc"])
-        mark = (rows["hash"] >> (U64(32) - UNSENT_BITS)).astype(np.uint32)
+        mark = np.ascontiguousarray(rows["mark"])
         lists = [mark[a:b].tobytes() for a, b in spans_of(at, len(rows))]
         for i in range(0, len(at), 20_000):
             yield pa.RecordBatch.from_arrays(
@@ -200,9 +260,9 @@ def shared_anchors(documents: DataFrame, units: Units, window: int, tasks: int =
                 names=["doc_id", "anchors"],
             )
 
-    packed = documents.select("doc_id", "text").mapInArrow(ask, PACKED)
-    found = packed.repartitionById(parts, "part").mapInArrow(answer, "doc_id long, anchors binary")
-    return found.groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors"))
+    asked = documents.select("doc_id", "text").mapInArrow(ask, PACKED)
+    found = asked.repartitionById(parts, "part").mapInArrow(answer, PACKED)
+    return found.repartitionById(owners, "part").mapInArrow(gather, "doc_id long, anchors binary")
 
 
 #: ``check`` is a second hash: with it, equal windows agree on 96 bits.
@@ -308,8 +368,8 @@ def copied_spans(documents: DataFrame, anchors: DataFrame, units: Units, window:
             )
 
     some, _ = parted(documents, anchors)
-    packed = some.join(anchors, "doc_id").select("doc_id", "text", "base", "anchors").mapInArrow(ask, PACKED)
-    found = packed.repartitionById(parts, "part").mapInArrow(answer, PACKED)
+    asked = some.join(anchors, "doc_id").select("doc_id", "text", "base", "anchors").mapInArrow(ask, PACKED)
+    found = asked.repartitionById(parts, "part").mapInArrow(answer, PACKED)
     return found.repartitionById(parts, "part").mapInArrow(gather, "doc_id long, spans binary")
 
 

@@ -1,9 +1,10 @@
 """Suffix-array removal of byte strings that an earlier document holds too, by difference cover.
 
-Equal strings of ``width`` bytes have the same winnowing minimum, so suffixes are dealt by it: runs of
-windows that share a minimum travel as one piece of text, and only where another document has that
-minimum too, with the same bytes before it or behind it.  Each range of minima sorts its suffixes by difference cover: triples at two of three
-positions are sorted and named, the string of names is sorted recursively, remaining suffixes are merged
+Equal strings of ``width`` bytes have the same least gram, at the same place, so suffixes are dealt by it:
+runs of windows whose least gram is the same one travel as one piece of text, and only where another document
+has that gram too, with the same bytes before it or behind it.  Equal pieces count once, and a piece that is
+alone with its gram needs no sorting.  Each range of grams sorts the suffixes of the others by difference cover: triples
+at two of three positions are sorted and named, the string of names is sorted recursively, remaining suffixes are merged
 in, and neighbours in the order are compared over ``width`` bytes.  Names stop growing once they cover
 ``width`` bytes, since no later byte matters.
 """
@@ -21,15 +22,17 @@ from pyspark.sql import types as T
 
 from quotelab.llm.common import dealt, grouped, numbers, packed, parted, parts_of, prepared, spans_of, table, texts, unpacked, unpacked_at, with_found, written
 from quotelab.llm.debruijn import marked
-from quotelab.llm.first_copy import PACKED, among, anchors_of, marks, part_of, shared_anchors, shared_marks, sided, with_bases
-from quotelab.llm.tokens import BYTE_VALUE, Words, documents_of, mixed, pieces, sliding_minimum, whole_windows, window_hashes
+from quotelab.llm.first_copy import BYTE_PIECES, PACKED, among, marks, part_of, runs_of, shared_anchors, shared_marks, with_bases
+from quotelab.llm.tokens import BYTE_VALUE, Words, mixed, pieces
 
 U64 = np.uint64
 WIDTH = 50
-#: For each shuffle partition of the session: tasks that sort, and ranges of minima, sorted one after another.
-TASKS, RANGES = 4, 64
+#: Tasks that sort for each shuffle partition of the session, and the ranges that each sorts one after another.
+TASKS, RANGES = 2, 32
 FLUSH_BYTES = 16 << 20
 RUN = np.dtype([("doc", "<i8"), ("at", "<i4"), ("length", "<i4")])
+#: ``gram``: where in the piece its least gram is; ``range``: of those that its task sorts.
+PIECE = np.dtype([*RUN.descr, ("gram", "<u2"), ("range", "u1")])
 SPAN = np.dtype([("at", "<i4"), ("length", "<i4")])
 RESULT = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"}
 
@@ -46,6 +49,12 @@ def _names(*columns: np.ndarray) -> np.ndarray:
         if key.max(initial=0) >= (1 << 62) // (int(column.max(initial=0)) + 2):
             key = np.unique(key, return_inverse=True)[1]
         key = key * (int(column.max(initial=0)) + 1) + column
+    key = key - key.min(initial=0)
+    most = int(key.max(initial=0))
+    if most < 8 * len(key):  # counting is less work than sorting
+        seen = np.zeros(most + 1, bool)
+        seen[key] = True
+        return np.cumsum(seen)[key]
     return np.unique(key, return_inverse=True)[1] + 1
 
 
@@ -119,8 +128,8 @@ def _pack(rows: np.ndarray, text: np.ndarray) -> bytes:
 def _unpack(payload) -> tuple[np.ndarray, np.ndarray]:
     raw = payload.as_buffer()
     n = int(np.frombuffer(raw, np.int64, 1)[0])
-    at = 8 + n * RUN.itemsize
-    return unpacked_at(raw, RUN, n, 8), np.frombuffer(raw, np.uint8, raw.size - at, at)
+    at = 8 + n * PIECE.itemsize
+    return unpacked_at(raw, PIECE, n, 8), np.frombuffer(raw, np.uint8, raw.size - at, at)
 
 
 def gather(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -131,7 +140,7 @@ def gather(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
 def copied_runs(documents: DataFrame, anchors: DataFrame, width: int) -> DataFrame:
     """``doc_id, spans``: packed spans of bytes to remove."""
     parts = parts_of(documents.sparkSession)
-    ranges = RANGES * parts
+    tasks = TASKS * parts
     gram = width // 2
 
     def batch_of(rows: list[tuple[int, bool, bytes]]) -> pa.RecordBatch:
@@ -139,18 +148,21 @@ def copied_runs(documents: DataFrame, anchors: DataFrame, width: int) -> DataFra
         return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(known, pa.bool_()), pa.array(payload, pa.binary())], names=["part", "shared", "payload"])
 
     def sent(held: list[tuple]) -> pa.RecordBatch:
-        rows, low, digest, text = (np.concatenate(x) for x in zip(*held, strict=True))
+        rows, least, text = (np.concatenate(x) for x in zip(*held, strict=True))
         begin = np.cumsum(rows["length"].astype(np.int64)) - rows["length"]
+        raw = memoryview(text)
+        digest = np.fromiter((hash(raw[a : a + n].tobytes()) for a, n in zip(begin.tolist(), rows["length"].tolist(), strict=True)), np.int64, len(rows))
         order = np.lexsort((rows["doc"], digest))
         at = grouped(digest[order])
         lowest = np.empty(len(rows), np.int64)
         lowest[order] = np.repeat(rows["doc"][order][at], np.diff(np.append(at, len(order)))[: len(at)])
         copy = rows["doc"] > lowest  # the whole piece is in an earlier document of this task
-        out = [(p, True, b) for p, b in dealt(rows["doc"][copy] % parts, rows[copy])]
+        out = [(p, True, b) for p, b in dealt(rows["doc"][copy] % parts, rows[copy][list(RUN.names)].astype(RUN))]
         mine = np.flatnonzero(~copy)
-        part = part_of(mixed(low[mine]), ranges)
-        order = np.argsort(part, kind="stable")
-        mine, part = mine[order], part[order]
+        part = part_of(mixed(least[mine]), tasks * RANGES)
+        rows["range"][mine] = part % RANGES
+        order = np.lexsort((rows["doc"][mine], part))
+        mine, part = mine[order], part[order] // RANGES
         for a, b in spans_of(grouped(part), len(part)):
             some = mine[a:b]
             out.append((int(part[a]), False, _pack(rows[some], gather(text, begin[some], rows["length"][some].astype(np.int64)))))
@@ -161,37 +173,19 @@ def copied_runs(documents: DataFrame, anchors: DataFrame, width: int) -> DataFra
         for batch in batches:
             ids, bases = numbers(batch, "doc_id"), numbers(batch, "base")
             lists = batch.column(batch.schema.get_field_index("anchors"))
-            for start, stop, data, offsets in pieces(texts(batch)):
-                units = byte_units(data, offsets)
-                owner, total = documents_of(offsets), len(data)
-                good = whole_windows(offsets, width, total)
-                grams = window_hashes(units.hashes, gram)
-                low = sliding_minimum(grams, width - gram + 1)
-                if not good.any():
-                    continue
-                # Windows that hold a shared anchor together with what is before it, or behind it.
-                anchor, _ = anchors_of(units, width)
+            for start, stop, data, offsets in pieces(texts(batch), BYTE_PIECES):
+                runs = runs_of(byte_units(data, offsets), width)
                 shared = shared_marks(lists, start, stop)
-                covered = np.zeros(total + 1, np.int64)
-                side = -(-(width - gram) // 2)
-                for (hashes, inside), most, least in zip(sided(units, width, anchor), (width - gram, width - gram - side), (side, 0), strict=True):
-                    mine = anchor[inside & among(marks(hashes, owner[anchor]), shared)]
-                    np.add.at(covered, np.maximum(mine - most, 0), 1)
-                    np.add.at(covered, mine - least + 1, -1)
-                wanted = (np.cumsum(covered)[: len(low)] > 0) & good
-                new = np.ones(len(low), bool)
-                new[1:] = (low[1:] != low[:-1]) | (owner[1 : len(low)] != owner[: len(low) - 1]) | (wanted[1:] != wanted[:-1])
-                at = np.flatnonzero(new)
-                ends = np.append(at[1:], len(low))
-                at, ends = at[wanted[at]], ends[wanted[at]]
-                rows = np.empty(len(at), RUN)
-                rows["doc"], rows["at"] = ids[start + owner[at]], at - offsets[owner[at]] + bases[start + owner[at]]
-                rows["length"] = ends - at + width - 1
+                before, behind = (has & among(marks(hashes, runs.doc), shared) for hashes, has in runs.halves())
+                some = before | behind
+                at = np.where(before, runs.at, runs.cut)[some]
+                ends = np.where(behind, runs.stop, runs.cut)[some]
+                owner, anchor = runs.doc[some], runs.anchor[some]
+                rows = np.zeros(len(at), PIECE)
+                rows["doc"], rows["at"] = ids[start + owner], at - offsets[owner] + bases[start + owner]
+                rows["length"], rows["gram"] = ends - at + width - 1, anchor - at
                 text = gather(data, at, rows["length"].astype(np.int64))
-                begin = np.cumsum(rows["length"].astype(np.int64)) - rows["length"]
-                raw = memoryview(text)
-                digest = np.fromiter((hash(raw[a : a + n].tobytes()) for a, n in zip(begin.tolist(), rows["length"].tolist(), strict=True)), np.int64, len(rows))
-                held.append((rows, low[at], digest, text))
+                held.append((rows, runs.least[some], text))
                 size += len(text)
                 if size >= FLUSH_BYTES:
                     yield sent(held)
@@ -199,28 +193,34 @@ def copied_runs(documents: DataFrame, anchors: DataFrame, width: int) -> DataFra
         if held:
             yield sent(held)
 
-    def flagged(payloads: list) -> np.ndarray:
-        rows, text = (np.concatenate(x) for x in zip(*map(_unpack, payloads), strict=True))
+    def flagged(rows: np.ndarray, text: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Spans of the pieces at ``begin``, of one range, that lie in an earlier document too."""
         lengths = rows["length"].astype(np.int64)
-        ends = np.cumsum(lengths)
         # Equal pieces are sorted once: that of the smallest document, whose spans its repeats share.
         raw, known = memoryview(text), {}
-        group = np.fromiter((known.setdefault(raw[b - n : b].tobytes(), len(known)) for b, n in zip(ends.tolist(), lengths.tolist(), strict=True)), np.int64, len(rows))
-        del known
+        group = np.fromiter((known.setdefault(raw[a : a + n].tobytes(), len(known)) for a, n in zip(begin.tolist(), lengths.tolist(), strict=True)), np.int64, len(rows))
         order = np.lexsort((rows["doc"], group))
         chosen = order[grouped(group[order])]
         later = rows["doc"] > rows["doc"][chosen][group]
-        windows = lengths[chosen] - width + 1
-        begin = np.cumsum(lengths[chosen]) - lengths[chosen]
+        # Equal windows have the same least gram: a piece that is alone with its own needs no sorting.
+        known = {}
+        same = np.fromiter((known.setdefault(raw[a : a + gram].tobytes(), len(known)) for a in (begin + rows["gram"])[chosen].tolist()), np.int64, len(chosen))
+        sorted_ = np.flatnonzero(np.bincount(same)[same] > 1)
+        del known
+        if not len(sorted_):
+            return rows[later][list(RUN.names)].astype(RUN)
+        some = chosen[sorted_]
+        windows = lengths[some] - width + 1
+        start = np.cumsum(lengths[some]) - lengths[some]
         inner = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        piece = np.repeat(np.arange(len(chosen)), windows)
-        copies = first_copies(gather(text, ends[chosen] - lengths[chosen], lengths[chosen]), rows["doc"][chosen][piece], begin[piece] + inner, width)
+        piece = np.repeat(np.arange(len(some)), windows)
+        copies = first_copies(gather(text, begin[some], lengths[some]), rows["doc"][some][piece], start[piece] + inner, width)
         new = copies.copy()
         new[1:] &= ~copies[:-1] | (piece[1:] != piece[:-1])
         last = copies.copy()
         last[:-1] &= ~copies[1:] | (piece[1:] != piece[:-1])
         at, end = np.flatnonzero(new), np.flatnonzero(last)
-        count = np.bincount(piece[at], minlength=len(chosen))
+        count = np.bincount(sorted_[piece[at]], minlength=len(chosen))
         same = np.flatnonzero(~later)
         each = count[group[same]]
         span = np.repeat((np.cumsum(count) - count)[group[same]] - (np.cumsum(each) - each), each) + np.arange(each.sum())
@@ -228,10 +228,10 @@ def copied_runs(documents: DataFrame, anchors: DataFrame, width: int) -> DataFra
         out = np.empty(len(own), RUN)
         out["doc"], out["at"] = rows["doc"][own], rows["at"][own] + inner[at[span]]
         out["length"] = (end - at)[span] + width
-        return np.concatenate((rows[later], out))
+        return np.concatenate((rows[later][list(RUN.names)].astype(RUN), out))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        held = []
         found, size = [], 0  # of several ranges, so that rows sent don't multiply with ranges
 
         def back() -> pa.RecordBatch:
@@ -239,21 +239,26 @@ def copied_runs(documents: DataFrame, anchors: DataFrame, width: int) -> DataFra
             return batch_of([(p, True, b) for p, b in dealt(rows["doc"] % parts, rows)])
 
         for batch in batches:
-            for part, known, payload in zip(*(batch.column(i) for i in range(3)), strict=True):
-                if known.as_py():
+            for known, payload in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if known:
                     found.append(unpacked(payload, RUN))
                     size += found[-1].nbytes
                     if size >= FLUSH_BYTES:
                         yield back()
                         found, size = [], 0
                 else:
-                    held.setdefault(part.as_py(), []).append(payload)
-        for part in sorted(held):
-            found.append(flagged(held.pop(part)))
-            size += found[-1].nbytes
-            if size >= FLUSH_BYTES:
-                yield back()
-                found, size = [], 0
+                    held.append(_unpack(payload))
+        if held:
+            rows, text = (np.concatenate(x) for x in zip(*held, strict=True))
+            del held
+            begin = np.cumsum(rows["length"].astype(np.int64)) - rows["length"]
+            order = np.argsort(rows["range"], kind="stable")
+            for a, b in spans_of(grouped(rows["range"][order]), len(order)):
+                found.append(flagged(rows[order[a:b]], text, begin[order[a:b]]))
+                size += found[-1].nbytes
+                if size >= FLUSH_BYTES:
+                    yield back()
+                    found, size = [], 0
         if size:
             yield back()
 

@@ -75,3 +75,47 @@ def test_packed_rows_come_back():
 
     for n in (0, 1, 1000):
         assert (common.unpacked(Payload(common.packed(rows[:n])), kind) == rows[:n]).all()
+
+
+def test_what_tasks_send_does_not_grow_with_ranges_or_documents(spark, monkeypatch):
+    """One row for each pair of tasks at most, however many documents share however many passages."""
+    random = np.random.default_rng(5)
+    letters = lambda n: "".join(chr(97 + x) for x in random.integers(0, 26, n))
+    common_ = [letters(120) for _ in range(30)]
+    rows = [(i, letters(60).join([letters(60), *common_[i % 3 :]])) for i in range(300)]
+    docs = documents(spark, rows).select("doc_id", "text").repartition(4).localCheckpoint()
+    made, of = {}, type(docs).mapInArrow
+
+    def seen(self, function, *given):
+        made.setdefault(function.__name__, []).append(out := of(self, function, *given))
+        return out
+
+    monkeypatch.setattr(type(docs), "mapInArrow", seen)
+    out = {r["doc_id"]: r["n_removed"] for r in suffixes.suffix_dedup(docs).collect()}
+    assert out[0] == 0 and all(out[i] >= 27 * 120 for i in range(3, 300))
+    parts = common.parts_of(spark)
+    tasks = 4 * parts
+    for asked in made["ask"]:
+        assert 0 < asked.count() <= asked.rdd.getNumPartitions() * (tasks + parts)
+    for answered in made["answer"]:
+        assert answered.count() <= tasks * parts
+
+
+@pytest.mark.parametrize("width", [7, 8, 50])
+def test_equal_windows_have_their_least_gram_at_the_same_place(width):
+    random = np.random.default_rng(width)
+    passage = random.integers(97, 100, 150).astype(np.uint8)
+    texts = [random.integers(97, 100, n).astype(np.uint8) for n in (0, 3, width, 90)]
+    texts = [*texts, np.concatenate((texts[3], passage)), np.zeros(0, np.uint8), np.concatenate((passage, texts[3])), np.full(120, 97, np.uint8)]
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    data = np.concatenate(texts)
+    runs = first_copy.runs_of(suffixes.byte_units(data, offsets), width)
+    found, halves = {}, {}
+    for k in range(len(runs.at)):
+        for s in range(runs.at[k], runs.stop[k]):
+            window = data[s : s + width].tobytes()
+            before = s < runs.cut[k]
+            here = (runs.anchor[k] - s, runs.least[k], before, (runs.before if before else runs.behind)[k])
+            assert halves.setdefault(window, here) == here and 0 <= here[0] <= width - width // 2
+            found[s] = runs.doc[k]
+    assert found == {s: d for d in range(len(texts)) for s in range(offsets[d], offsets[d + 1] - width + 1)}
