@@ -114,13 +114,16 @@ def quote_rows(tables: dict[str, DataFrame], as_of, after_quote: bool = True) ->
 
     Every join moves the row as it is by then, so what adds least comes first and the texts of the
     details last.  Client and history arrive together, by client and time.  Outcomes are computed on
-    the joined row; the events are scanned once more for client and times alone.
+    the joined row; the events are scanned once more for client and times alone, by ``app_event_times``
+    (a row per event with those columns) where ``tables`` has it.
     """
     events = tables["app_event"]
     clients = tables["app_client"].select(
         F.col("id").alias("_client_id"), "how_find", "raison_sociale"
     )
-    known = client_times(events).join(clients, F.col("_client") == F.col("_client_id")).drop("_client_id")
+    # A source whose events take joins to build may give their clients and times apart.
+    timed = tables.get("app_event_times", events)
+    known = client_times(timed).join(clients, F.col("_client") == F.col("_client_id")).drop("_client_id")
     details = tables["app_eventdetails"].withColumnRenamed("id", "_details_id")
     rows = events
     if after_quote:

@@ -16,6 +16,7 @@ from quotelab.session import configure
 from quotelab.sources.tables import read_parquet, schema
 
 AS_OF = "2001-01-01"
+SIGNED_AT = "case when o_orderstatus = 'F' then created + make_dt_interval(cast(o_orderkey % 400 - 20 as int)) end"
 
 
 def _conform(df: DataFrame, name: str) -> DataFrame:
@@ -66,7 +67,14 @@ def source_tables(spark: SparkSession, folder: str) -> Lazy:
 def crm_tables(spark: SparkSession, folder: str) -> Lazy:
     configure(spark)
     source = source_tables(spark, folder)
-    return Lazy(list(_VIEWS), lambda name: _conform(_VIEWS[name](source), name))
+
+    def make(name: str) -> DataFrame:
+        if name == "app_event_times":
+            times = _conform(_event_times(source), "app_event")
+            return times.select("client_id", "created_at", "signer_at")
+        return _conform(_VIEWS[name](source), name)
+
+    return Lazy([*_VIEWS, "app_event_times"], make)
 
 
 def _orders(source: Mapping) -> DataFrame:
@@ -101,8 +109,7 @@ def _events(source: Mapping) -> DataFrame:
         "case when o_orderstatus = 'F' then 'Presta FINI' when o_orderstatus = 'O' then 'Refused' "
         "when o_orderkey % 3 = 0 then 'Sended' when o_orderkey % 3 = 1 then 'Last Chance' end as status",
         "concat_ws('>', 'Initied', o_orderstatus) as history_status",
-        "case when o_orderstatus = 'F' then created + make_dt_interval(cast(o_orderkey % 400 - 20 as int)) end "
-        "as signer_at",
+        f"{SIGNED_AT} as signer_at",
         "gross as prix_brut",
         "net as prix_proposed",
         "case when o_orderstatus = 'F' and o_orderkey % 4 <> 0 then net "
@@ -112,6 +119,15 @@ def _events(source: Mapping) -> DataFrame:
     )
 
 
+def _event_times(source: Mapping) -> DataFrame:
+    """Client and times of every event, without the prices, which take a join with the order lines."""
+    return _orders(source).selectExpr(
+        "o_custkey as client_id",
+        "created as created_at",
+        f"{SIGNED_AT} as signer_at",
+    )
+
+
 def _clients(source: Mapping) -> DataFrame:
     return source["customer"].selectExpr(
         "c_custkey as id",

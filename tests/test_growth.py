@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quotelab.operators import export, history, profile
 from quotelab.plans import registry
+from quotelab.sources import star_schema
 from quotelab.sources.tables import SCHEMAS, schema
 
 T0 = datetime(2024, 1, 1)
@@ -64,3 +65,22 @@ def test_request_lines_are_packed(spark):
     files = glob.glob(f"{path}/part-*")
     assert files and all(f.endswith(".gz") for f in files)
     assert spark.read.text(path).count() == registry._requests(spark, "/root/testdata/sf0.001").count()
+
+
+def test_history_reads_the_events_without_their_prices(spark, monkeypatch, tmp_path):
+    """Client and times of the events come from the orders alone; their prices take a join with the lines."""
+    lines = "l_orderkey long, l_partkey long, l_extendedprice double, l_discount double"
+    orders = [(1, 1, "F", T0.date()), (2, 1, "O", T0.date()), (2, 1, "O", T0.date()), (3, None, "F", T0.date()), (None, 2, None, T0.date())]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 1, 10.0, 0.1), (2, 1, 5.0, 0.0), (2, 2, 7.0, 0.0)], lines).write.parquet(f"{tmp_path}/lineitem.parquet")
+    tables = star_schema.crm_tables(spark, str(tmp_path))
+    times = tables["app_event_times"]
+    assert "Join" not in times._jdf.queryExecution().optimizedPlan().toString()
+    same = tables["app_event"].select(*times.columns)
+    assert times.schema == same.schema
+    assert sorted(map(tuple, times.collect()), key=repr) == sorted(map(tuple, same.collect()), key=repr)
+    seen = []
+    monkeypatch.setattr(export, "client_times", lambda events: seen.append(events.columns) or history.client_times(events))
+    empty = {name: spark.createDataFrame([], schema(name)) for name in SCHEMAS}
+    export.quote_rows(empty | {"app_event_times": times.limit(0)}, "2024-06-15", after_quote=False)
+    assert seen == [times.columns]
