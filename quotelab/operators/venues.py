@@ -307,15 +307,18 @@ def enrich(
     pages: DataFrame | None = None,
     confidence: Callable[[Column, Column], Column] = match_confidence,
     row: str = "request_event_id",
+    queries: DataFrame | None = None,
 ) -> DataFrame:
     """Add the venue columns and the enrichment status to every quote.
 
     An override of the venue key wins.  Otherwise the best candidate of the lookup is used; the
     fetcher's own failures arrive as candidates with a ``status`` and become the row's status.
-    With ``pages`` the capacities stated on the venue's site are added.
+    With ``pages`` the capacities stated on the venue's site are added.  ``queries`` are the written
+    ``lookup_queries(quotes)``, where the caller has them.
     """
-    # Far fewer than quotes, and normalized in Python: written once, used for matching and joining.
-    queries = materialize(lookup_queries(quotes), "lookups")
+    # Long to normalize: written once, used for matching and joining.
+    if queries is None:
+        queries = materialize(lookup_queries(quotes), "lookups")
     failed = (
         places.where(F.col("status").isNotNull())
         .groupBy("query_hash")

@@ -348,11 +348,20 @@ def pricing_queries() -> dict[str, Query]:
     }
 
 
+def _lookups(spark: SparkSession, folder: str) -> DataFrame:
+    """The lookups of all quotes, normalized and written once."""
+
+    def make() -> DataFrame:
+        return materialize(venues.lookup_queries(_quotes(spark, folder)), "lookups")
+
+    return _once(spark, "lookups", folder, make)
+
+
 def _places(spark: SparkSession, folder: str) -> DataFrame:
     """Lookup answers, kept once like a cache of fetched places."""
 
     def make() -> DataFrame:
-        queries = venues.lookup_queries(_quotes(spark, folder))
+        queries = _lookups(spark, folder)
         return materialize(lookup_places(source_tables(spark, folder), queries), "places")
 
     return _once(spark, "places", folder, make)
@@ -362,7 +371,9 @@ def _enriched(confidence) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         quotes = _quotes(spark, folder)
         overrides = venue_overrides(quotes)
-        enriched = venues.enrich(quotes, _places(spark, folder), overrides, confidence=confidence)
+        enriched = venues.enrich(
+            quotes, _places(spark, folder), overrides, confidence=confidence, queries=_lookups(spark, folder)
+        )
         return plain(
             _rounded(
                 enriched.select("request_event_id", *venues.VENUE_COLUMNS, "venue_enrichment_status")
@@ -385,7 +396,7 @@ def _normalized(spark: SparkSession, folder: str) -> DataFrame:
 
 def _overlap(confidence) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        queries = venues.lookup_queries(_quotes(spark, folder))
+        queries = _lookups(spark, folder)
         scored = venues.match_score(queries, _places(spark, folder), confidence)
         return _rounded(scored.select("query_hash", "pos", "confidence"))
 

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from quotelab.operators import export, history, profile
+from quotelab.operators import export, history, profile, venues
 from quotelab.plans import registry
 from quotelab.sources import star_schema
 from quotelab.sources.tables import SCHEMAS, schema
@@ -84,3 +84,19 @@ def test_history_reads_the_events_without_their_prices(spark, monkeypatch, tmp_p
     empty = {name: spark.createDataFrame([], schema(name)) for name in SCHEMAS}
     export.quote_rows(empty | {"app_event_times": times.limit(0)}, "2024-06-15", after_quote=False)
     assert seen == [times.columns]
+
+
+def test_lookups_are_normalized_once(spark, monkeypatch):
+    rows = [(1, " Salle A ", None), (2, "Salle A", "k"), (3, None, "k"), (4, "Château B", None)]
+    quotes = spark.createDataFrame(rows, "request_event_id long, enrichment_event_full_address_raw string, event_venue_anonymous_key string")
+    made = []
+    monkeypatch.setattr(venues, "lookup_queries", lambda q, f=venues.lookup_queries: made.append(1) or f(q))
+    monkeypatch.setattr(registry, "_PLANS", {})
+    monkeypatch.setattr(registry, "_quotes", lambda spark, folder: quotes)
+    source = {
+        "supplier": spark.createDataFrame([(1, 1)], "s_suppkey long, s_nationkey long"),
+    }
+    monkeypatch.setattr(registry, "source_tables", lambda spark, folder: source)
+    out = registry.venue_queries()["enriched_quotes"](spark, "lookups")
+    assert {r.request_event_id: r.venue_enrichment_status for r in out.collect()} == {1: "NO_MATCH", 2: "MANUAL_OVERRIDE", 3: "MANUAL_OVERRIDE", 4: "NO_MATCH"}
+    assert len(made) == 1
